@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
-from quillon.llm import token_count, token_files
+from quillon.llm import chat_format, decontaminate, lang_id, line_dedup, near_dedup, packing, quality_rules, token_count, token_files, warc
 
 QUERIES = {
+    "op1_quality_rules": quality_rules.query,
+    "op2_near_dedup": near_dedup.query,
+    "op3_packing": packing.query,
+    "op4_warc": warc.query,
+    "op5_language_id": lang_id.query,
     "op6_token_files": token_files.query,
+    "op7_line_dedup": line_dedup.query,
+    "op8_chat_format": chat_format.query,
+    "op9_decontaminate": decontaminate.query,
     "op10_token_counts": token_count.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_quality_rules": quality_rules.oracle(),
+    "op7_line_dedup": line_dedup.ORACLE,
+    "op8_chat_format": chat_format.ORACLE,
+}

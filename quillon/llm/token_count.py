@@ -2,9 +2,10 @@
 
 Documents are cut into segments (see ``tokens``: pre-tokens with the
 punctuation that clings to them). A block of documents keeps each document's
-segment frequencies as offsets into the block's list of distinct segments.
-Only those lists are shuffled: equal segments of all blocks meet, are counted
-once, and their counts are joined to the frequencies of the blocks.
+segment frequencies as offsets into the block's list of distinct segments. The
+lists, dealt into buckets by a hash of the segment and compressed, are all that
+is shuffled for the count: equal segments of all blocks meet in a bucket, are
+counted once, and their counts are joined to the frequencies of the blocks.
 
 Null and empty texts have 0 tokens and 0 bytes. Documents with the same id each
 keep a row. Other columns of the input are ignored.
@@ -12,11 +13,15 @@ keep a row. Other columns of the input are ignored.
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,14 +29,35 @@ from quillon.llm.shared import materialize
 from quillon.llm.tokens import Encoder, encoder, vocabulary
 
 #: A block is closed beyond so many distinct segments or documents.
-BLOCK_SEGMENTS, BLOCK_DOCS = 400_000, 20_000
+BLOCK_SEGMENTS, BLOCK_DOCS = 600_000, 50_000
 
 BLOCKS = pa.schema([
     ("block_id", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())),
-    ("at", pa.list_(pa.int32())), ("often", pa.list_(pa.int32())), ("segments", pa.list_(pa.string())),
+    ("at", pa.binary()), ("often", pa.binary()), ("chunks", pa.list_(pa.binary())),
 ])
 
 
+def squeeze(x: np.ndarray) -> bytes:
+    """Unsigned 32-bit integers, low bytes first: of small ones the other bytes vanish."""
+    return zstandard.compress(x.astype("<u4").view("u1").reshape(-1, 4).T.tobytes(), 1)
+
+
+def expand(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), "u1").reshape(4, -1).T).view("<u4").ravel()
+
+
+def pack_strings(strings: list[str]) -> bytes:
+    own = [s.encode() for s in strings]
+    return zstandard.compress(struct.pack("<I", len(own)) + np.fromiter(map(len, own), "<u4", len(own)).tobytes() + b"".join(own), 3)
+
+
+def unpack_strings(data: bytes) -> list[str]:
+    data = zstandard.decompress(data)
+    (n,) = struct.unpack_from("<I", data)
+    ends = (np.cumsum(np.frombuffer(data, "<u4", n, 4)) + 4 + 4 * n).tolist()
+    return [data[a:b].decode() for a, b in zip([4 + 4 * n, *ends[:-1]], ends, strict=False)]
+
+
 class PieceCounter:
     """Segments and their token counts for one vocabulary file."""
 
@@ -68,7 +94,7 @@ def counter(path: str) -> PieceCounter:
     return _COUNTERS[path]
 
 
-def _blocks(path: str):
+def _blocks(path: str, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -77,9 +103,24 @@ def _blocks(path: str):
         docs, sizes, n_bytes, at, often = [], [], [], [], []
 
         def close() -> pa.RecordBatch:
+            """Segments take their places anew: by bucket, and in order within."""
             nonlocal n
-            flat = lambda xs: np.concatenate(xs) if xs else np.zeros(0, "i4")
-            row = [[part << 32 | n], [docs[:]], [n_bytes[:]], [sizes[:]], [flat(at)], [flat(often)], [list(vocab)]]
+            segments = list(vocab)
+            of = np.fromiter((zlib.crc32(s.encode()) % buckets for s in segments), "i4", len(segments))
+            table = pa.table({"bucket": of, "segment": pa.array(segments, pa.string())})
+            order = pc.sort_indices(table, sort_keys=[("bucket", "ascending"), ("segment", "ascending")]).to_numpy()
+            place = np.empty(len(order), "i8")
+            place[order] = np.arange(len(order))
+            ends = np.cumsum(np.bincount(of, minlength=buckets))
+            chunks = [pack_strings([segments[i] for i in order[a:b]]) if b > a else None for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+            gaps, times = [], []
+            for p, x in zip(at, often, strict=True):
+                own = place[p]
+                o = np.argsort(own)
+                gaps.append(np.diff(own[o], prepend=0))
+                times.append(x[o])
+            flat = lambda xs: np.concatenate(xs) if xs else np.zeros(0, "i8")
+            row = [[part << 32 | n], [docs[:]], [n_bytes[:]], [sizes[:]], [squeeze(flat(gaps))], [squeeze(flat(times))], [chunks]]
             n += 1
             for x in (docs, sizes, n_bytes, at, often, vocab):
                 x.clear()
@@ -92,10 +133,8 @@ def _blocks(path: str):
                 n_bytes.append(len(text.encode()) if text else 0)
                 sizes.append(len(found))
                 if found:
-                    places = np.fromiter((vocab.setdefault(s, len(vocab)) for s in found), "i4", len(found))
-                    order = np.argsort(places)
-                    at.append(np.diff(places[order], prepend=np.int32(0)))
-                    often.append(np.fromiter(found.values(), "i4", len(found))[order])
+                    at.append(np.fromiter((vocab.setdefault(s, len(vocab)) for s in found), "i4", len(found)))
+                    often.append(np.fromiter(found.values(), "i4", len(found)))
                 if len(vocab) >= BLOCK_SEGMENTS or len(docs) >= BLOCK_DOCS:
                     yield close()
         if docs:
@@ -105,17 +144,22 @@ def _blocks(path: str):
 
 
 def _counted(path: str):
-    """Rows come ordered by segment, so that equal ones stand together and are counted once."""
+    """Rows come ordered by bucket; within one, a segment that several blocks hold is counted once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, last, n = counter(path), None, 0
+        c, bucket = counter(path), None
+        known: dict[str, int] = {}
         for batch in batches:
-            out = np.empty(batch.num_rows, "i4")
-            for i, s in enumerate(batch.column(2).to_pylist()):
-                if s != last:
-                    last, n = s, c.count(s)
-                out[i] = n
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], names=["block_id", "pos", "pieces"])
+            out = []
+            for b, chunk in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if b != bucket:
+                    bucket, known = b, {}
+                own = unpack_strings(chunk.as_py())
+                for s in own:
+                    if s not in known:
+                        known[s] = c.count(s)
+                out.append(squeeze(np.fromiter(map(known.__getitem__, own), "i8", len(own))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["block_id", "bucket", "pieces"])
 
     return run
 
@@ -123,22 +167,23 @@ def _counted(path: str):
 def _summed(path: str):
     def run(pieces: pa.Table, blocks: pa.Table) -> pa.Table:
         extra = counter(path).extra
-        of = np.zeros(max(1, pieces.num_rows), "i8")
-        of[pieces.column("pos").to_numpy()] = pieces.column("pieces").to_numpy()
+        order = np.argsort(pieces.column("bucket").to_numpy())
+        packed = pieces.column("pieces").combine_chunks()
+        of = np.concatenate([np.zeros(0, "i8"), *(expand(packed[int(i)].as_py()) for i in order)]).astype("i8")
         ids, lengths, sums = [], [], []
         for row in range(blocks.num_rows):
-            b = {n: blocks.column(n).combine_chunks()[row].values for n in ("doc_ids", "n_bytes", "sizes", "at", "often")}
-            sizes = b["sizes"].to_numpy()
+            b = {n: blocks.column(n).combine_chunks()[row] for n in ("doc_ids", "n_bytes", "sizes", "at", "often")}
+            sizes = b["sizes"].values.to_numpy()
             ends = np.cumsum(sizes, dtype="i8")
             # Places are gaps within a document; a running sum over all, less that before each document, restores them.
-            run_sum = np.cumsum(b["at"].to_numpy(), dtype="i8")
+            run_sum = np.cumsum(expand(b["at"].as_py()), dtype="i8")
             before = np.concatenate([[0], run_sum])[ends - sizes]
-            worth = of[run_sum - np.repeat(before, sizes)] * b["often"].to_numpy()
+            worth = of[run_sum - np.repeat(before, sizes)] * expand(b["often"].as_py())
             upto = np.concatenate([[0], np.cumsum(worth)])
             n = upto[ends] - upto[ends - sizes] - np.where(sizes > 0, extra, 0)
-            ids.append(b["doc_ids"])
-            lengths.append(b["n_bytes"])
-            sums.append(pa.array(n, pa.int64()))
+            ids.append(b["doc_ids"].values)
+            lengths.append(b["n_bytes"].values)
+            sums.append(pa.array(n.astype("i8"), pa.int64()))
         return pa.table({"doc_id": pa.chunked_array(ids, pa.int64()), "n_bytes": pa.chunked_array(lengths, pa.int64()), "n_tokens": pa.chunked_array(sums, pa.int64())})
 
     return run
@@ -147,19 +192,14 @@ def _summed(path: str):
 def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    kinds = "block_id long, doc_ids array<long>, n_bytes array<long>, sizes array<int>, at array<int>, often array<int>, segments array<string>"
-    blocks = materialize(rows.mapInArrow(_blocks(path), kinds), "token-blocks")
-    spread = blocks.select("block_id", F.posexplode("segments").alias("pos", "segment"))
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pieces = (
-        spread.repartition(parts, F.xxhash64("segment"))
-        .sortWithinPartitions("segment")
-        .select("block_id", "pos", "segment")
-        .mapInArrow(_counted(path), "block_id long, pos int, pieces int")
-    )
+    kinds = "block_id long, doc_ids array<long>, n_bytes array<long>, sizes array<int>, at binary, often binary, chunks array<binary>"
+    blocks = materialize(rows.mapInArrow(_blocks(path, 2 * parts), kinds), "token-blocks")
+    spread = blocks.select("block_id", F.posexplode("chunks").alias("bucket", "chunk")).where("chunk is not null")
+    pieces = spread.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_counted(path), "block_id long, bucket int, pieces binary")
     summed = (
         pieces.groupBy("block_id")
-        .cogroup(blocks.drop("segments").groupBy("block_id"))
+        .cogroup(blocks.drop("chunks").groupBy("block_id"))
         .applyInArrow(_summed(path), "doc_id long, n_bytes long, n_tokens long")
     )
     return summed.withColumn("over_limit", F.col("n_tokens") > limit)
