@@ -54,4 +54,4 @@ def grouped(value: Column, decimals: int = 0) -> Column:
 
 
 def euros(value: Column) -> Column:
-    return F.concat(grouped(value), F.lit(" €"))
+    return F.concat(grouped(value), F.lit("\u00a0€"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -24,6 +25,11 @@ def span(address: str, prefix: int) -> tuple[int, int]:
     return first, first + (1 << (32 - prefix)) - 1
 
 
+def given(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once; keeps generated code small where the body names it often."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def ipv4_number(ip: Column) -> Column:
     parts = F.split(ip, r"\.")
     return reduce(lambda n, i: n * 256 + F.try_element_at(parts, F.lit(i)).try_cast("long"), range(2, 5), F.try_element_at(parts, F.lit(1)).try_cast("long"))
@@ -31,30 +37,36 @@ def ipv4_number(ip: Column) -> Column:
 
 def blocked_ipv4(ip: Column) -> Column:
     """A handful of comparisons in the projection; no join with a table of ranges."""
-    n = ipv4_number(ip)
-    return reduce(lambda a, b: a | b, [n.between(*span(*r)) for r in BLOCKED_RANGES])
+    return given(ipv4_number(ip), lambda n: reduce(lambda a, b: a | b, [n.between(*span(*r)) for r in BLOCKED_RANGES]))
 
 
 def blocked_ip(ip: Column) -> Column:
     """Not public: IPv4 ranges; of IPv6 loopback, unspecified, link-local, unique local, and mapped IPv4."""
-    low = F.lower(ip)
-    mapped = F.regexp_extract(low, r"^::ffff:(\d+\.\d+\.\d+\.\d+)$", 1)
-    six = low.isin("::1", "::") | low.rlike("^fe[89ab]") | low.rlike("^f[cd][0-9a-f]{2}:") | (mapped.rlike(IPV4) & F.coalesce(blocked_ipv4(mapped), F.lit(False)))
-    return F.when(ip.rlike(IPV4), blocked_ipv4(ip)).otherwise(F.coalesce(six, F.lit(False)))
+
+    def judge(low: Column) -> Column:
+        mapped = F.regexp_replace(low, r"^::ffff:(?=\d+\.\d+\.\d+\.\d+$)", "")
+        six = low.isin("::1", "::") | low.rlike("^fe[89ab]") | low.rlike("^f[cd][0-9a-f]{2}:")
+        return F.when(mapped.rlike(IPV4), blocked_ipv4(mapped)).otherwise(F.coalesce(six, F.lit(False)))
+
+    return given(F.lower(ip), judge)
 
 
 def refusal(url: Column) -> Column:
     """Why an address may not be fetched, null if it may. Names are judged as they stand, without looking them up."""
     scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
     authority = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1)
-    host = F.regexp_extract(F.regexp_replace(authority, "^.*@", ""), r"^(\[[^\]]*\]|[^:]*)", 1)
-    bare = F.regexp_replace(host, r"^\[|\]$", "")
-    return (
-        F.when(url.isNull() | (scheme == "") | ((authority == "") & scheme.isin("http", "https")), "invalid")
-        .when(~scheme.isin("http", "https"), "scheme")
-        .when(authority.contains("@"), "credentials")
-        .when(bare.rlike(LOCAL_NAMES) | blocked_ip(bare), "address")
-    )
+
+    def judge(p: Column) -> Column:
+        host = F.regexp_extract(F.regexp_replace(p["authority"], "^.*@", ""), r"^(?:\[([^\]]*)\]|([^:]*))", 0)
+        bad = given(F.regexp_replace(host, r"^\[|\]$", ""), lambda h: h.rlike(LOCAL_NAMES) | blocked_ip(h))
+        web = p["scheme"].isin("http", "https")
+        return (
+            F.when((p["scheme"] == "") | ((p["authority"] == "") & web), "invalid").when(~web, "scheme")
+            .when(p["authority"].contains("@"), "credentials").when(bad, "address")
+        )
+
+    found = given(F.struct(scheme.alias("scheme"), authority.alias("authority")), judge)
+    return F.when(url.isNull(), "invalid").otherwise(found)
 
 
 def is_url(text: Column) -> Column:

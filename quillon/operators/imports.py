@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.operators.cuts import cut
+
 
 def unseen(records: DataFrame, existing: DataFrame, key: str = "gbp_place_id") -> DataFrame:
     """Records whose key isn't there yet; an empty or null key never matches."""
@@ -37,12 +39,12 @@ def deduplicate(records: DataFrame, existing: DataFrame, order: str = "row") ->
         least = left.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(f"__key_{name}")).agg(F.min(order).alias(name))
         return left.join(least, F.col(key) == F.col(f"__key_{name}"), "left").drop(f"__key_{name}")
 
-    undecided = without(rows, store).checkpoint()
+    undecided = cut(without(rows, store))
     kept = None
     while not undecided.isEmpty():
         marked = first(first(undecided, "__place", "__first_place"), "__who", "__first_who")
         won = marked.where(((F.col("__first_place").isNull()) | (F.col("__first_place") == F.col(order))) & (F.col("__first_who") == F.col(order)))
-        won = won.drop("__first_place", "__first_who").checkpoint()
+        won = cut(won.drop("__first_place", "__first_who"))
         kept = won if kept is None else kept.unionByName(won)
-        undecided = without(undecided, won).checkpoint()
+        undecided = cut(without(undecided, won))
     return (undecided if kept is None else kept).drop("__place", "__who")

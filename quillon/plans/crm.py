@@ -328,9 +328,9 @@ def labels_progress(spark, d):
     return t.jobs(spark, d).select("id", labels.progress(F.col("progress_current"), F.col("progress_total")).alias("progress"))
 
 
-@query(sql("""SELECT id, CASE WHEN at IS NULL THEN 'Sin analizar' WHEN h < 1 THEN 'Hace instantes' WHEN h < 24 THEN 'Hace ' || h || 'h' ELSE 'Hace ' || CAST(round(h / 24) AS BIGINT) || 'd' END AS age
-  FROM (SELECT id, at, CAST(round((epoch_us(TIMESTAMP '2024-02-01 00:00:00') - epoch_us(at)) / 3600000000) AS BIGINT) AS h
-    FROM (SELECT id, CASE WHEN id % 10 <> 0 THEN created_at END AS at FROM jobs))""", "jobs"))
+@query(sql("""SELECT id, CASE WHEN t0 IS NULL THEN 'Sin analizar' WHEN h < 1 THEN 'Hace instantes' WHEN h < 24 THEN 'Hace ' || h || 'h' ELSE 'Hace ' || CAST(round(h / 24) AS BIGINT) || 'd' END AS age
+  FROM (SELECT id, t0, CAST(round((epoch_us(TIMESTAMP '2024-02-01 00:00:00') - epoch_us(t0)) / 3600000000) AS BIGINT) AS h
+    FROM (SELECT id, CASE WHEN id % 10 <> 0 THEN created_at END AS t0 FROM jobs))""", "jobs"))
 def relative_age(spark, d):
     at = F.when(F.col("id") % 10 != 0, F.col("created_at"))
     return t.jobs(spark, d).select("id", labels.relative_age(at, F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")).alias("age"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.functions.urls import is_email, is_url
+from quillon.operators.cuts import cut
 
 # Accepted header names by field, in order of preference.
 ALIASES = {
@@ -76,7 +77,8 @@ def read_csv(spark: SparkSession, path: str, most_bytes: int | None = MOST_BYTES
     schema = T.StructType([*(T.StructField(c, T.StringType()) for c in columns), T.StructField(CORRUPT, T.StringType())])
     rows = spark.read.csv(path, schema=schema, header=True, sep=sep, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, enforceSchema=True, multiLine=True, quote='"', escape='"')
     # One file in one pass keeps its order; a number within the partition follows it.
-    return rows.withColumn(ORDINAL, F.monotonically_increasing_id() + 1)
+    # Malformed lines can't be asked for alone in an open file, so the parsed rows are written once.
+    return cut(rows.withColumn(ORDINAL, F.monotonically_increasing_id() + 1))
 
 
 def resolved(raw: DataFrame) -> DataFrame:
