@@ -132,7 +132,7 @@ class Package:
     def _directory(self, size: int) -> Iterator[Member]:
         tail_at = max(0, size - 22 - 0xFFFF)
         tail = self.read(tail_at, size - tail_at)
-        end = tail.rfind(END)
+        end = tail.rfind(END, 0, len(tail) - 18)
         while end >= 0 and end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != len(tail):  # the mark may also occur in the comment
             end = tail.rfind(END, 0, end)
         if end < 0:
