@@ -2,7 +2,7 @@
 
 Every measure is computed from the whole text of its row by built-in functions,
 so a document needs no shuffle. Rules compare integers: a document passes a rule
-if ``least * base <= 100 * measure <= most * base``.
+if ``100 * (measure + slack) >= least * base`` and ``100 * measure <= most * base``.
 
 Null, empty and word-free texts have all measures 0 and fail the base rule.
 Rows with the same id are judged each on its own; other columns are ignored.
@@ -32,19 +32,20 @@ STOP_WORDS = (
 
 
 class Rule(NamedTuple):
-    """In hundredths of ``base``; None: no bound."""
+    """In hundredths of ``base``; None: no bound. ``slack`` keeps short texts from failing by chance."""
 
     measure: str
     base: str
     least: int | None
     most: int | None
+    slack: int = 0
 
 
 #: Bounds wide enough for prose, lists and code comments; tables of symbols, shouting and boilerplate fall outside.
 RULES = (
     Rule("word_chars", "n_words", 200, 1500),
     Rule("n_symbols", "n_words", None, 30),
-    Rule("n_stop_words", "n_words", 3, None),
+    Rule("n_stop_words", "n_words", 3, None, 1),
     Rule("n_upper_words", "n_words", None, 50),
     Rule("n_dup_lines", "n_lines", None, 50),
     Rule("n_bullet_lines", "n_lines", None, 90),
@@ -117,7 +118,7 @@ def verdict(rules=RULES) -> Column:
     out = F.lit(True)
     for r in rules:
         if r.least is not None:
-            out = out & (100 * F.col(r.measure) >= r.least * F.col(r.base))
+            out = out & (100 * (F.col(r.measure) + r.slack) >= r.least * F.col(r.base))
         if r.most is not None:
             out = out & (100 * F.col(r.measure) <= r.most * F.col(r.base))
     return out
@@ -135,7 +136,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def oracle(rules=RULES) -> str:
     def bounds(r: Rule) -> list[str]:
-        return [f"100 * {r.measure} >= {r.least} * {r.base}"] * (r.least is not None) + [f"100 * {r.measure} <= {r.most} * {r.base}"] * (r.most is not None)
+        return [f"100 * ({r.measure} + {r.slack}) >= {r.least} * {r.base}"] * (r.least is not None) + [f"100 * {r.measure} <= {r.most} * {r.base}"] * (r.most is not None)
 
     stop = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))
     return rf"""
