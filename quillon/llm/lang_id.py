@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bounds of the sample that dictionaries are cut from: documents and characters of each for a language, and languages.
-SAMPLE_DOCS, SAMPLE_CHARS, MOST_LANGUAGES = 1_500, 4_000, 128
+SAMPLE_DOCS, SAMPLE_CHARS, MOST_LANGUAGES = 1_000, 4_000, 128
 #: Bytes of a dictionary, and of the chunks that texts are encoded in.
 DICTIONARY, CHUNK, LEVEL, MIN_MATCH = 64 << 10, 4 << 10, 5, 3
 #: A choice is rejected if the runner-up needs less than this share more.
@@ -37,13 +37,13 @@ def sample(labelled: DataFrame, text_col: str, lang_col: str, id_col: str) -> di
     """A bounded sample of texts for each language, the same on every run.
 
     Labels alone are counted first. From the counts follows, per language, the
-    share of hash values that is expected to hold three times the bound, so the
+    share of hash values that is expected to hold twice the bound, so the
     second pass brings a bounded number of rows to the driver whatever the size.
     """
     known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MOST_LANGUAGES).collect()
     span = 1 << 30
-    share = [(r[0], min(span, -(-3 * SAMPLE_DOCS * span // r[1]))) for r in counts]
+    share = [(r[0], min(span, -(-2 * SAMPLE_DOCS * span // r[1]))) for r in counts]
     if not share:
         return {}
     spot = F.pmod(F.xxhash64(F.col(id_col)), F.lit(span))

@@ -11,17 +11,22 @@ chained to their neighbours. A region can't be a hot key, since the order is cut
 into ranges of about equal size wherever it falls.
 
 Candidates whose one-bit sketches agree far less than the threshold implies are
-dropped; the others are confirmed on the full sets. Two rounds: the links that
-connect most documents of a region first, then all candidates that still join
-different components. Components are computed with joins. Only ids, hashes and
-candidates are shuffled; sets travel for candidates alone.
+dropped; the others are confirmed on the full sets. The links that connect most
+documents of a region come first, then all candidates that still join different
+components. Components are computed with joins. Only ids, hashes and candidates
+are shuffled; sets travel for candidates alone.
+
+Division and chaining leave out pairs of large regions. These matter only where
+a region still holds several components, so such regions are searched once more:
+documents outside a region's largest component against all of its others, their
+best partners first, then all the rest. Large regions are split for that by the
+side that is searched.
 
 Null texts and texts without words have no shingles and no links. Texts with
 fewer words than a shingle have their whole sequence as one. A null id is never
 linked. Rows with the same id are one document. Recall is that of the forest:
 for 24 trees and four common values a pair at the threshold of 0.8 is missed
-with a probability of 3e-6, before components bridge it; in regions that stay
-large to the full depth only neighbours in the order are compared.
+with a probability of 3e-6, before components bridge it.
 """
 
 from __future__ import annotations
@@ -44,6 +49,8 @@ TREES, DEPTH, SHARED, REGION = 24, 8, 4, 8
 BITS, DEVIATIONS = 128, 5
 #: Trees whose strongest links are confirmed first.
 FIRST_TREES = 2
+#: Partners a document tries first when a region is searched again, and documents of a region that one task searches.
+BEST, SEARCHED = 24, 20_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -193,17 +200,73 @@ def _pairs(agree: int):
     return run
 
 
-def candidates(signed: DataFrame, similarity: int) -> DataFrame:
-    """(a, b, early): pairs of ids that stand close in some tree's order."""
-    parts = int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def tree_rows(classes: DataFrame) -> DataFrame:
+    """A row for each representative and tree."""
     width = 2 * DEPTH
-    rows = signed.select("doc_id", "sketch", "trees", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    rows = rows.select("tree", F.expr(f"substring(trees, tree * {width} + 1, {width})").alias("key"), "doc_id", "sketch")
+    rows = classes.select("doc_id", "sketch", "trees", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    return rows.select("tree", F.expr(f"substring(trees, tree * {width} + 1, {width})").alias("key"), "doc_id", "sketch")
+
+
+def candidates(classes: DataFrame, similarity: int) -> DataFrame:
+    """(a, b, early): pairs of ids that stand close in some tree's order."""
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["tree", "key", "doc_id"]
-    found = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_pairs(least_agreement(similarity)), "a long, b long, early boolean")
+    rows = tree_rows(classes).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    found = rows.mapInArrow(_pairs(least_agreement(similarity)), "a long, b long, early boolean")
     return materialize(found.groupBy("a", "b").agg(F.max("early").alias("early")), "candidates")
 
 
+def _across(agree: int, most: int | None):
+    """Of a part of a region: each searching document with those of other components that its sketch agrees with."""
+
+    def run(t: pa.Table) -> pa.Table:
+        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), "u8").reshape(-1, BITS // 64)
+        ids, labels, seeks = (t.column(c).to_numpy() for c in ("doc_id", "label", "seeks"))
+        there = np.flatnonzero(~seeks)
+        out_a, out_b = [], []
+        for i in np.flatnonzero(seeks):
+            agrees = BITS - np.bitwise_count(sketch[there] ^ sketch[i]).sum(axis=1, dtype="i4")
+            good = np.flatnonzero((agrees >= agree) & (labels[there] != labels[i]))
+            if most is not None and len(good) > most:
+                good = good[np.argsort(-agrees[good], kind="stable")[:most]]
+            others = ids[there[good]]
+            out_a.append(np.minimum(others, ids[i]))
+            out_b.append(np.maximum(others, ids[i]))
+        flat = lambda xs: np.concatenate(xs) if xs else np.zeros(0, "i8")
+        pairs = np.unique(np.stack([flat(out_a), flat(out_b)], axis=1).astype("i8"), axis=0)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return run
+
+
+def candidates_across(classes: DataFrame, labels: DataFrame, similarity: int, most: int | None) -> DataFrame:
+    """(a, b): pairs of different components within regions too large for all pairs; of each document at most so many a region."""
+    own = labels.select(F.col("node").alias("__n"), F.col("label").alias("__l"))
+    known = materialize(classes.join(own, F.col("doc_id") == F.col("__n"), "left").select("doc_id", "trees", "sketch", F.coalesce("__l", "doc_id").alias("label")), "labelled")
+    rows = _labelled_rows(known)
+    sizes = rows.groupBy("region", "label").agg(F.count(F.lit(1)).alias("n"))
+    regions = sizes.groupBy("region").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("labels"))
+    mixed = regions.where((F.col("n") > REGION) & (F.col("labels") > 1)).select(F.col("region").alias("of"), F.col("top.label").alias("main"), F.ceil(F.col("n") / SEARCHED).cast("int").alias("parts"))
+    mixed = materialize(mixed, "mixed-regions")
+    inside = rows.join(mixed, F.col("region") == F.col("of")).drop("of")
+    spot = F.pmod(F.xxhash64("doc_id"), F.col("parts").cast("long")).cast("int")
+    sides = F.array(F.struct(spot.alias("part"), F.lit(False).alias("seeks")))
+    seeking = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(i.alias("part"), F.lit(True).alias("seeks")))
+    both = F.when(F.col("label") == F.col("main"), sides).otherwise(F.concat(sides, seeking))
+    spread = inside.select("region", "doc_id", "sketch", "label", F.explode(both).alias("side")).select("region", "doc_id", "sketch", "label", "side.*")
+    found = spread.groupBy("region", "part").applyInArrow(_across(least_agreement(similarity), most), "a long, b long")
+    return materialize(found.distinct(), "candidates")
+
+
+def _labelled_rows(known: DataFrame) -> DataFrame:
+    """(region, doc_id, sketch, label): a row for each tree, its region being the tree and the values shared at least."""
+    width = 2 * DEPTH
+    tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
+    rows = known.select("doc_id", "sketch", "label", "trees", tree)
+    region = F.concat(F.unhex(F.lpad(F.hex("tree"), 2, "0")), F.expr(f"substring(trees, tree * {width} + 1, {2 * SHARED})"))
+    return rows.select(region.alias("region"), "doc_id", "sketch", "label")
+
+
 # --- links ---------------------------------------------------------------------------------------
 
 
@@ -251,6 +314,21 @@ def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return both.select("a", "b", F.coalesce("label_a", "a").alias("label_a"), F.coalesce("label_b", "b").alias("label_b"))
 
 
+def _sets_of(rows: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """The full sets of the documents in pairs."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    return materialize(rows.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, own binary").dropDuplicates(["doc_id"]), "sets")
+
+
+def _joined(labels: DataFrame, pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """Labels after confirming the pairs that join different components."""
+    across = materialize(_labelled(pairs, labels).where("label_a <> label_b"), "across")
+    links = confirm(across, sets, similarity).join(across, ["a", "b"]).select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
+    tops = components(links).select(F.col("node").alias("was"), F.col("label").alias("top"))
+    moved = labels.join(tops, F.col("label") == F.col("was"), "left").select("node", F.coalesce("top", "label").alias("label"))
+    return materialize(moved.unionAll(tops.select(F.col("was").alias("node"), F.col("top").alias("label"))).distinct(), "labels")
+
+
 def groups(docs: DataFrame, words: int = 5, similarity: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest id reachable by links), kept (it is that document)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -260,16 +338,16 @@ def groups(docs: DataFrame, words: int = 5, similarity: int = 80, id_col: str =
         known.groupBy("mark").agg(F.min(F.struct("doc_id", "trees", "sketch")).alias("first")).select("mark", "first.*"), "classes"
     )
     pairs = candidates(classes, similarity)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = materialize(rows.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, own binary").dropDuplicates(["doc_id"]), "sets")
+    sets = _sets_of(rows, pairs, words)
     labels = components(confirm(pairs.where("early"), sets, similarity))
-    across = _labelled(pairs, labels).where("label_a <> label_b")
-    across = materialize(across, "across")
-    links = confirm(across, sets, similarity).join(across, ["a", "b"]).select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
-    joined = components(links).select(F.col("node").alias("label"), F.col("label").alias("final"))
+    labels = _joined(labels, pairs, sets, similarity)
+    for most in (BEST, None):
+        again = candidates_across(classes, labels, similarity, most)
+        if again.isEmpty():
+            break
+        labels = _joined(labels, again, _sets_of(rows, again, words), similarity)
     first = classes.select("mark", "doc_id").join(labels, F.col("doc_id") == F.col("node"), "left")
-    first = first.select(F.col("mark").alias("of"), F.coalesce("label", "doc_id").alias("label")).join(joined, "label", "left")
-    first = materialize(first.select("of", F.coalesce("final", "label").alias("component")), "components")
+    first = materialize(first.select(F.col("mark").alias("of"), F.coalesce("label", "doc_id").alias("component")), "components")
     out = signed.join(first, F.col("mark") == F.col("of"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
