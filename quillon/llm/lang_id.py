@@ -4,7 +4,8 @@ For each language a raw-content dictionary is made from a bounded sample of
 labelled documents: their words, the most frequent ones last, where matches are
 cheapest. A text, reduced to its lower-case words, is encoded whole, in chunks,
 with zstandard once for each language's dictionary; the language whose
-dictionary gives the smallest total is chosen. Where the runner-up is hardly
+dictionary gives the smallest total is chosen. Short texts are encoded several
+times over, so that their few matches count. Where the runner-up is hardly
 larger the choice is rejected.
 
 Null texts and texts without a letter are ``und`` with score 0 and rejected.
@@ -28,6 +29,8 @@ SAMPLE_DOCS, SAMPLE_CHARS, MOST_LANGUAGES = 1_000, 4_000, 128
 DICTIONARY, CHUNK, LEVEL, MIN_MATCH = 64 << 10, 4 << 10, 5, 3
 #: A choice is rejected if the runner-up needs less than this share more.
 MARGIN = 0.002
+#: Below so many bytes a text is encoded so many times over, since zstandard leaves what it can't shorten as it is.
+SHORT, COPIES = 512, 6
 
 #: Everything but letters; it says little about the language.
 OTHER = re.compile(r"[\W\d_]+")
@@ -93,7 +96,9 @@ class Compressors:
             self.each.append(zstandard.ZstdCompressor(compression_params=p, dict_data=d).compress)
 
     def sizes(self, text: str) -> list[int]:
-        data = words(text).encode()
+        data = f" {words(text).strip()} ".encode()
+        if len(data) < SHORT:
+            data *= COPIES
         chunks = [data[i : i + CHUNK] for i in range(0, len(data), CHUNK)]
         return [sum(len(f(c)) for c in chunks) for f in self.each]
 
