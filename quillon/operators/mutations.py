@@ -6,11 +6,12 @@ say. Writers stamp what a database would by trigger or default.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.operators.latest import latest
+from quillon.operators.ordered import with_previous
 
 
 def append(df: DataFrame, path: str) -> DataFrame:
@@ -51,12 +52,8 @@ def missing_rows(wanted: DataFrame, existing: DataFrame, key: str) -> DataFrame:
 
 def stage_changes(history: DataFrame, key: str = "lead_id", stage: str = "stage", at: str = "created_at", tie: str = "id") -> DataFrame:
     """Activities derived from successive stages of each lead: (lead, at, from_stage, to_stage) wherever the stage differs from the one before."""
-    order = Window.partitionBy(key).orderBy(at, tie)
-    before = F.lag(stage).over(order)
-    return (
-        history.select(key, tie, at, F.col(stage).alias("to_stage"), before.alias("from_stage"))
-        .where(F.col("from_stage").isNotNull() & (F.col("from_stage") != F.col("to_stage")))
-    )
+    moved = with_previous(history.select(key, tie, at, F.col(stage).alias("to_stage")), key, [at, tie], "to_stage", "from_stage")
+    return moved.where(F.col("from_stage").isNotNull() & (F.col("from_stage") != F.col("to_stage")))
 
 
 def last_touched(rows: DataFrame, key: str, at: str, name: str) -> DataFrame:

@@ -215,9 +215,15 @@ def demos_named(spark, d):
 
 @query(sql("SELECT s.ord, s.stage, l.id AS lead_id, l.business_id FROM stages s LEFT JOIN leads l ON s.stage = l.stage", "stages", "leads"))
 def leads_by_stage(spark, d):
-    """A row for each lead, and one without lead for each stage that has none: groups may be of any size."""
+    """A row for each lead, and one without lead for each stage that has none.
+
+    Groups may be of any size, so leads are never shuffled by stage: the twelve
+    stages are broadcast to them, and those without a lead are added.
+    """
     leads = t.leads(spark, d).select(F.col("id").alias("lead_id"), "business_id", F.col("stage").alias("s"))
-    return F.broadcast(stages(spark)).join(leads, F.col("stage") == F.col("s"), "left").select("ord", "stage", "lead_id", "business_id")
+    held = leads.join(F.broadcast(stages(spark)), F.col("stage") == F.col("s")).select("ord", "stage", "lead_id", "business_id")
+    bare = stages(spark).join(F.broadcast(leads.where(F.col("s").isin(STAGES)).select("s").distinct()), F.col("stage") == F.col("s"), "left_anti")
+    return held.unionByName(bare.select("ord", "stage"), allowMissingColumns=True)
 
 
 _BY_STAGE = """SELECT s.ord, s.stage, s.label, count(l.id) AS n_leads, CAST(coalesce(sum(CAST(round(l.value_estimate * 100) AS BIGINT)), 0) AS BIGINT) AS value_cents

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from quillon.functions import labels, urls
 from quillon.operators import imports, mutations
 from quillon.operators.latest import latest
+from quillon.operators.ordered import with_previous
 from quillon.operators.rate_limit import Limiter, limited
 from quillon.schemas import RECORD
 from quillon.sources import csv_import, pages
@@ -167,3 +168,15 @@ def test_follow_up(spark):
     a, d, n = mutations.follow_up(F.col("id"), F.col("a"), F.col("d"))
     got = df.select(a.alias("a"), d.cast("string").alias("d"), n.alias("n")).collect()
     assert [(r.a, r.d, r.n is None) for r in got] == [("call", "2026-01-02", False), (None, None, True), (None, None, True)]
+
+
+def test_previous_across_ranges(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice([1, 1, 1, 1, 2, 3, None]), i, rng.choice([10, 20, 30]), rng.choice(["a", "b", None])) for i in range(300)]
+    got = with_previous(spark.createDataFrame(rows, "k long, id long, at long, v string"), "k", ["at", "id"], "v", "before").collect()
+    want, last = {}, {}
+    for k, i, t, v in sorted(rows, key=lambda r: (r[0] or 0, r[2], r[1])):
+        want[i] = last.get(k)
+        last[k] = v
+    assert {r.id: r.before for r in got} == want and len(got) == 300
+    assert with_previous(spark.createDataFrame([], "k long, id long, v string"), "k", ["id"], "v", "b").collect() == []
