@@ -18,9 +18,8 @@ are shuffled; sets travel for candidates alone.
 
 Division and chaining leave out pairs of large regions. These matter only where
 a region still holds several components, so such regions are searched once more:
-documents outside a region's largest component against all of its others, their
-best partners first, then all the rest. Large regions are split for that by the
-side that is searched.
+documents outside a region's largest component are held against all others on
+their full sets, in squares of bounded size.
 
 Null texts and texts without words have no shingles and no links. Texts with
 fewer words than a shingle have their whole sequence as one. A null id is never
@@ -49,8 +48,10 @@ TREES, DEPTH, SHARED, REGION = 24, 8, 4, 8
 BITS, DEVIATIONS = 128, 5
 #: Trees whose strongest links are confirmed first.
 FIRST_TREES = 2
-#: Partners a document tries first when a region is searched again, and documents of a region that one task searches.
-BEST, SEARCHED = 24, 20_000
+#: Documents on a side of a square that one task searches.
+SQUARE = 512
+#: Ids of candidates that are broadcast at most (8 bytes each).
+LISTED = 500_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -216,55 +217,20 @@ def candidates(classes: DataFrame, similarity: int) -> DataFrame:
     return materialize(found.groupBy("a", "b").agg(F.max("early").alias("early")), "candidates")
 
 
-def _across(agree: int, most: int | None):
-    """Of a part of a region: each searching document with those of other components that its sketch agrees with."""
-
-    def run(t: pa.Table) -> pa.Table:
-        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), "u8").reshape(-1, BITS // 64)
-        ids, labels, seeks = (t.column(c).to_numpy() for c in ("doc_id", "label", "seeks"))
-        there = np.flatnonzero(~seeks)
-        out_a, out_b = [], []
-        for i in np.flatnonzero(seeks):
-            agrees = BITS - np.bitwise_count(sketch[there] ^ sketch[i]).sum(axis=1, dtype="i4")
-            good = np.flatnonzero((agrees >= agree) & (labels[there] != labels[i]))
-            if most is not None and len(good) > most:
-                good = good[np.argsort(-agrees[good], kind="stable")[:most]]
-            others = ids[there[good]]
-            out_a.append(np.minimum(others, ids[i]))
-            out_b.append(np.maximum(others, ids[i]))
-        flat = lambda xs: np.concatenate(xs) if xs else np.zeros(0, "i8")
-        pairs = np.unique(np.stack([flat(out_a), flat(out_b)], axis=1).astype("i8"), axis=0)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    return run
+def _labelled_docs(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    own = labels.select(F.col("node").alias("__n"), F.col("label").alias("__l"))
+    return docs.join(own, F.col("doc_id") == F.col("__n"), "left").withColumn("label", F.coalesce("__l", "doc_id")).drop("__n", "__l")
 
 
-def candidates_across(classes: DataFrame, labels: DataFrame, similarity: int, most: int | None) -> DataFrame:
-    """(a, b): pairs of different components within regions too large for all pairs; of each document at most so many a region."""
-    own = labels.select(F.col("node").alias("__n"), F.col("label").alias("__l"))
-    known = materialize(classes.join(own, F.col("doc_id") == F.col("__n"), "left").select("doc_id", "trees", "sketch", F.coalesce("__l", "doc_id").alias("label")), "labelled")
-    rows = _labelled_rows(known)
-    sizes = rows.groupBy("region", "label").agg(F.count(F.lit(1)).alias("n"))
-    regions = sizes.groupBy("region").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("labels"))
-    mixed = regions.where((F.col("n") > REGION) & (F.col("labels") > 1)).select(F.col("region").alias("of"), F.col("top.label").alias("main"), F.ceil(F.col("n") / SEARCHED).cast("int").alias("parts"))
-    mixed = materialize(mixed, "mixed-regions")
-    inside = rows.join(mixed, F.col("region") == F.col("of")).drop("of")
-    spot = F.pmod(F.xxhash64("doc_id"), F.col("parts").cast("long")).cast("int")
-    sides = F.array(F.struct(spot.alias("part"), F.lit(False).alias("seeks")))
-    seeking = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(i.alias("part"), F.lit(True).alias("seeks")))
-    both = F.when(F.col("label") == F.col("main"), sides).otherwise(F.concat(sides, seeking))
-    spread = inside.select("region", "doc_id", "sketch", "label", F.explode(both).alias("side")).select("region", "doc_id", "sketch", "label", "side.*")
-    found = spread.groupBy("region", "part").applyInArrow(_across(least_agreement(similarity), most), "a long, b long")
-    return materialize(found.distinct(), "candidates")
-
-
-def _labelled_rows(known: DataFrame) -> DataFrame:
-    """(region, doc_id, sketch, label): a row for each tree, its region being the tree and the values shared at least."""
+def mixed_rows(classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """(region, doc_id, sketch) of the regions too large for all pairs that hold several components, a region being a tree and the values shared at least."""
     width = 2 * DEPTH
-    tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
-    rows = known.select("doc_id", "sketch", "label", "trees", tree)
-    region = F.concat(F.unhex(F.lpad(F.hex("tree"), 2, "0")), F.expr(f"substring(trees, tree * {width} + 1, {2 * SHARED})"))
-    return rows.select(region.alias("region"), "doc_id", "sketch", "label")
+    rows = _labelled_docs(classes.select("doc_id", "trees", "sketch"), labels)
+    rows = rows.select("doc_id", "sketch", "label", "trees", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    rows = rows.select(F.xxhash64("tree", F.expr(f"substring(trees, tree * {width} + 1, {2 * SHARED})")).alias("region"), "doc_id", "sketch", "label")
+    sizes = rows.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+    mixed = materialize(sizes.where((F.col("n") > REGION) & (F.col("low") != F.col("high"))).select(F.col("region").alias("of")), "mixed-regions")
+    return materialize(rows.join(mixed, F.col("region") == F.col("of")).select("region", "doc_id", "sketch"), "mixed-rows")
 
 
 # --- links ---------------------------------------------------------------------------------------
@@ -307,6 +273,57 @@ def confirm(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return both.mapInArrow(_confirmed(similarity), "a long, b long")
 
 
+def _confirmed_across(similarity: int):
+    """Links between seeking and held documents of different components, one for each seeking document and component."""
+
+    def run(t: pa.Table) -> pa.Table:
+        ids, labels, seeks = (t.column(c).to_numpy() for c in ("doc_id", "label", "seeks"))
+        own = [np.frombuffer(x.as_buffer(), "u8") for c in t.column("own").chunks for x in c]
+        held = np.flatnonzero(~seeks)
+        sizes = np.array([len(own[i]) for i in held], "i8")
+        tokens = np.concatenate([own[i] for i in held]) if len(held) else np.zeros(0, "u8")
+        order = np.argsort(tokens, kind="stable")
+        tokens, owner = tokens[order], np.repeat(np.arange(len(held)), sizes)[order]
+        found = []
+        for i in np.flatnonzero(seeks):
+            low = np.searchsorted(tokens, own[i])
+            n = np.searchsorted(tokens, own[i], side="right") - low
+            at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+            both = np.bincount(owner[at], minlength=len(held))
+            good = (100 * both >= similarity * (len(own[i]) + sizes - both)) & (labels[held] != labels[i])
+            _, first = np.unique(labels[held[good]], return_index=True)
+            found += [(int(labels[i]), int(labels[j])) for j in held[good][first]]
+        pairs = sorted(set(found))
+        return pa.table({"a": pa.array([x for x, _ in pairs], pa.int64()), "b": pa.array([y for _, y in pairs], pa.int64())})
+
+    return run
+
+
+def links_across(mixed: DataFrame, labels: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """(a, b): labels of components that a link joins within a mixed region.
+
+    Of a region's pairs of different components one side at least is outside its
+    largest component, the main one. All regions with the same main component are
+    one search: the documents outside it against all. Searches are cut into squares
+    of bounded size, so sets meet in tasks of bounded memory, each pair in one of
+    them, and only links leave it.
+    """
+    rows = materialize(_labelled_docs(mixed, labels), "labelled")
+    sizes = rows.groupBy("region", "label").agg(F.count(F.lit(1)).alias("n"))
+    mains = sizes.groupBy("region").agg(F.max(F.struct(F.col("n"), (-F.col("label")).alias("l"))).alias("top")).select(F.col("region").alias("of"), (-F.col("top.l")).alias("main"))
+    inside = rows.join(materialize(mains, "mains"), F.col("region") == F.col("of"))
+    members = materialize(inside.select("main", "doc_id", "label").distinct().withColumn("seeks", F.col("label") != F.col("main")), "members")
+    cuts = members.groupBy(F.col("main").alias("of")).agg(F.ceil(F.count(F.lit(1)) / SQUARE).cast("int").alias("across"), F.ceil(F.count_if("seeks") / SQUARE).cast("int").alias("down"))
+    placed = members.join(materialize(cuts, "cuts"), F.col("main") == F.col("of"))
+    spot = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n).cast("long")).cast("int")
+    each = lambda n, f: F.transform(F.sequence(F.lit(0), F.col(n) - 1), f)
+    held = each("down", lambda i: F.struct(spot("across").alias("x"), i.alias("y"), F.lit(False).alias("seeks")))
+    seeking = each("across", lambda i: F.struct(i.alias("x"), spot("down").alias("y"), F.lit(True).alias("seeks")))
+    square = F.explode(F.when(F.col("seeks"), F.concat(held, seeking)).otherwise(held)).alias("s")
+    spread = placed.select("main", "doc_id", "label", square).select("main", "doc_id", "label", "s.*")
+    return spread.join(sets, "doc_id").groupBy("main", "x", "y").applyInArrow(_confirmed_across(similarity), "a long, b long").distinct()
+
+
 def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     a = labels.select(F.col("node").alias("a"), F.col("label").alias("label_a"))
     b = labels.select(F.col("node").alias("b"), F.col("label").alias("label_b"))
@@ -314,16 +331,16 @@ def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return both.select("a", "b", F.coalesce("label_a", "a").alias("label_a"), F.coalesce("label_b", "b").alias("label_b"))
 
 
-def _sets_of(rows: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    """The full sets of the documents in pairs."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def _sets_of(rows: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """The full sets of some documents."""
+    wanted = materialize(ids.distinct(), "wanted")
+    if wanted.count() <= LISTED:  # else texts are shuffled to meet the ids
+        wanted = F.broadcast(wanted)
     return materialize(rows.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, own binary").dropDuplicates(["doc_id"]), "sets")
 
 
-def _joined(labels: DataFrame, pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """Labels after confirming the pairs that join different components."""
-    across = materialize(_labelled(pairs, labels).where("label_a <> label_b"), "across")
-    links = confirm(across, sets, similarity).join(across, ["a", "b"]).select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
+def _moved(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after links (a, b) between them."""
     tops = components(links).select(F.col("node").alias("was"), F.col("label").alias("top"))
     moved = labels.join(tops, F.col("label") == F.col("was"), "left").select("node", F.coalesce("top", "label").alias("label"))
     return materialize(moved.unionAll(tops.select(F.col("was").alias("node"), F.col("top").alias("label"))).distinct(), "labels")
@@ -338,14 +355,13 @@ def groups(docs: DataFrame, words: int = 5, similarity: int = 80, id_col: str =
         known.groupBy("mark").agg(F.min(F.struct("doc_id", "trees", "sketch")).alias("first")).select("mark", "first.*"), "classes"
     )
     pairs = candidates(classes, similarity)
-    sets = _sets_of(rows, pairs, words)
+    sets = _sets_of(rows, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), words)
     labels = components(confirm(pairs.where("early"), sets, similarity))
-    labels = _joined(labels, pairs, sets, similarity)
-    for most in (BEST, None):
-        again = candidates_across(classes, labels, similarity, most)
-        if again.isEmpty():
-            break
-        labels = _joined(labels, again, _sets_of(rows, again, words), similarity)
+    across = materialize(_labelled(pairs, labels).where("label_a <> label_b"), "across")
+    links = confirm(across, sets, similarity).join(across, ["a", "b"]).select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
+    labels = _moved(labels, links)
+    mixed = mixed_rows(classes, labels)
+    labels = _moved(labels, links_across(mixed, labels, _sets_of(rows, mixed.select("doc_id"), words), similarity))
     first = classes.select("mark", "doc_id").join(labels, F.col("doc_id") == F.col("node"), "left")
     first = materialize(first.select(F.col("mark").alias("of"), F.coalesce("label", "doc_id").alias("component")), "components")
     out = signed.join(first, F.col("mark") == F.col("of"), "left")

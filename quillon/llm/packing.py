@@ -28,6 +28,9 @@ from pyspark.sql import functions as F
 from quillon.llm.shared import materialize
 from quillon.llm.tokens import encoder, vocabulary
 
+#: Relative distance from the optimum at which no more patterns are sought.
+GAP = 3e-4
+
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bin int"
 
 
@@ -35,24 +38,24 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 def best_pattern(sizes: np.ndarray, values: np.ndarray, room: int) -> tuple[float, np.ndarray]:
-    """Unbounded knapsack by dynamic programming: the most value that fits, and how often each item is taken."""
-    best, last = np.zeros(room + 1), np.full(room + 1, -1)
-    order = np.argsort(sizes, kind="stable")
-    by_size, worth = sizes[order], values[order]
-    upto = np.searchsorted(by_size, np.arange(room + 1), side="right")
+    """Unbounded knapsack over distinct sizes by dynamic programming: the most value that fits, and how often each item is taken."""
+    worth, of = np.full(room + 1, -np.inf), np.zeros(room + 1, "i8")
+    worth[sizes], of[sizes] = values, np.arange(len(sizes))
+    best, last = np.zeros(room + 1), np.zeros(room + 1, "i8")
     for c in range(1, room + 1):
-        best[c] = best[c - 1]
-        if n := upto[c]:
-            gain = worth[:n] + best[c - by_size[:n]]
-            if gain[k := int(np.argmax(gain))] > best[c] + 1e-12:
-                best[c], last[c] = gain[k], k
+        gain = worth[1 : c + 1] + best[c - 1 :: -1]
+        k = int(gain.argmax())
+        if gain[k] > best[c - 1] + 1e-12:
+            best[c], last[c] = gain[k], k + 1
+        else:
+            best[c] = best[c - 1]
     taken, c = np.zeros(len(sizes)), room
     while c > 0:
-        if (k := last[c]) < 0:
-            c -= 1
+        if size := int(last[c]):
+            taken[of[size]] += 1
+            c -= size
         else:
-            taken[order[k]] += 1
-            c -= by_size[k]
+            c -= 1
     return float(best[room]), taken
 
 
@@ -67,7 +70,7 @@ def cutting_patterns(sizes: np.ndarray, demand: np.ndarray, room: int, rounds: i
     for _ in range(rounds):
         duals = inverse.sum(axis=0)
         value, column = best_pattern(sizes, duals, room)
-        if value <= 1 + 1e-9:
+        if value <= 1 + GAP:  # the optimum is at least the present plan divided by this value
             break
         step = inverse @ column
         can = step > 1e-9
