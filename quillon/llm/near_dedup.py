@@ -63,7 +63,7 @@ class _Words(dict):
     """64-bit hash of each word; a full table starts anew."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 300_000:
+        if len(self) >= 150_000:
             self.clear()
         out = self[word] = xxhash.xxh3_64_intdigest(word)
         return out

@@ -49,7 +49,7 @@ class Segments(dict):
     """Segment -> its ids as little-endian unsigned 32-bit bytes, computed when first asked for."""
 
     #: Entries of the newer and of the older half; when the newer is full, the older goes. Longer segments are not kept.
-    MOST, LONGEST = 350_000, 64
+    MOST, LONGEST = 250_000, 64
 
     def __init__(self, encode):
         super().__init__()
