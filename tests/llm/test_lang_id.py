@@ -1,4 +1,5 @@
 import os
+import random
 import zlib
 
 import pytest
@@ -39,3 +40,15 @@ def test_narrow_margins_are_rejected(spark):
     same = {"a": l.dictionary([TEXTS["en"]]), "b": l.dictionary([TEXTS["en"]])}
     r = l.identify(spark.createDataFrame([(1, TEXTS["en"])], "doc_id long, text string"), same).first()
     assert (r.lang_pred, r.score, r.accepted) == ("a", 0.0, False)
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no test data")
+def test_gibberish_and_unlearned_languages_are_rejected(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text", "lang")
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9)))
+    gibberish = spark.createDataFrame([(i, " ".join(word() for _ in range(rng.randint(15, 600)))) for i in range(200)], "doc_id long, text string")
+    judged = l.identify(gibberish, l.train(docs.where(~l.held_out()))).collect()
+    assert sum(not r.accepted for r in judged) >= 0.98 * len(judged)
+    judged = l.identify(docs.where("lang = 'fr' and text is not null"), l.train(docs.where("lang <> 'fr'"))).collect()
+    assert len(judged) > 100 and sum(not r.accepted for r in judged) >= 0.9 * len(judged)
