@@ -20,11 +20,11 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bounds of the sample that dictionaries are cut from: documents and characters of each for a language, and languages.
-SAMPLE_DOCS, SAMPLE_CHARS, MOST_LANGUAGES = 1_000, 4_000, 128
+#: Bounds of the sample that dictionaries are cut from: documents and characters of each for a language.
+SAMPLE_DOCS, SAMPLE_CHARS = 1_000, 4_000
 #: Bytes of a dictionary, and of the chunks that texts are encoded in.
 DICTIONARY, CHUNK, LEVEL, MIN_MATCH = 64 << 10, 4 << 10, 5, 3
 #: A choice is rejected if it saves less than this share of what the runner-up needs. Set from leads on held-out documents of sf0.1:
@@ -37,33 +37,22 @@ SHORT, COPIES = 512, 6
 OTHER = re.compile(r"[\W\d_]+")
 
 
-def sample(labelled: DataFrame, text_col: str, lang_col: str, id_col: str) -> dict[str, list[str]]:
-    """A bounded sample of texts for each language, the same on every run.
+def sample(labelled: DataFrame, text_col: str, lang_col: str, id_col: str) -> DataFrame:
+    """A bounded sample (lang, text) for each language, the same on every run.
 
-    Labels alone are counted first. From the counts follows, per language, the
-    share of hash values that is expected to hold twice the bound, so the
-    second pass brings a bounded number of rows to the driver whatever the size.
+    Labels are counted first. From the counts follows, per language, the share
+    of hash values that is expected to hold twice the bound, and at least the
+    smallest hash there is, so the second pass shuffles a bounded number of
+    rows whatever the size and no language is left without any.
     """
-    known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MOST_LANGUAGES).collect()
     span = 1 << 30
-    share = [(r[0], min(span, -(-2 * SAMPLE_DOCS * span // r[1]))) for r in counts]
-    if not share:
-        return {}
-    spot = F.pmod(F.xxhash64(F.col(id_col)), F.lit(span))
-    limit = F.create_map(*[F.lit(x) for lang, most in share for x in (lang, most)])
-    picked = (
-        known.select(F.col(lang_col).alias("lang"), F.substring(F.col(text_col), 1, SAMPLE_CHARS).alias("text"), spot.alias("spot"))
-        .where(F.col("spot") < F.element_at(limit, F.col("lang")))
-        .limit(20 * SAMPLE_DOCS * len(share))
-        .collect()
-    )
-    out: dict[str, list[str]] = {}
-    for r in sorted(picked, key=lambda r: (r["lang"], r["spot"], r["text"])):
-        texts = out.setdefault(r["lang"], [])
-        if len(texts) < SAMPLE_DOCS:
-            texts.append(r["text"])
-    return out
+    known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    known = known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(span)).alias("spot"))
+    share = F.greatest(F.ceil(F.lit(2 * SAMPLE_DOCS * span) / F.count(F.lit(1))), F.min("spot") + 1)
+    limits = known.groupBy("lang").agg(share.alias("limit"))
+    picked = known.join(F.broadcast(limits), "lang").where("spot < limit").select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), "spot")
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("spot", "text"))
+    return picked.withColumn("n", first).where(F.col("n") <= SAMPLE_DOCS).select("lang", "text")
 
 
 def words(text: str) -> str:
@@ -130,8 +119,14 @@ def _predict(dictionaries: dict[str, bytes], margin: float):
     return F.pandas_udf(run, "lang_pred string, score double, accepted boolean")
 
 
+def _dictionary(rows: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"lang": rows["lang"].iloc[:1], "dictionary": [dictionary(rows["text"].tolist())]})
+
+
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> dict[str, bytes]:
-    return {lang: dictionary(texts) for lang, texts in sample(labelled, text_col, lang_col, id_col).items()}
+    """A dictionary for every language that occurs; they are made where the samples lie, and alone reach the driver."""
+    made = sample(labelled, text_col, lang_col, id_col).groupBy("lang").applyInPandas(_dictionary, "lang string, dictionary binary")
+    return {r["lang"]: bytes(r["dictionary"]) for r in made.collect()}
 
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN, text_col: str = "text") -> DataFrame:

@@ -52,3 +52,13 @@ def test_gibberish_and_unlearned_languages_are_rejected(spark):
     assert sum(not r.accepted for r in judged) >= 0.98 * len(judged)
     judged = l.identify(docs.where("lang = 'fr' and text is not null"), l.train(docs.where("lang <> 'fr'"))).collect()
     assert len(judged) > 100 and sum(not r.accepted for r in judged) >= 0.9 * len(judged)
+
+
+def test_every_label_gets_a_dictionary(spark, monkeypatch):
+    monkeypatch.setattr(l, "SAMPLE_DOCS", 2)
+    rows = [(i, f"word{i}", f"l{i:03}") for i in range(150)]
+    rows += [(7, f"many{i}", "one-id") for i in range(300)] + [(8, "copy", "copies")] * 300
+    rows += [(i, f"own{i}", "xx") for i in range(1000, 1300)]
+    got = l.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(got) == {r[2] for r in rows} and all(d.strip() for d in got.values())
+    assert got["l149"] == b" word " and all(len(got[x].split()) <= 2 for x in ("one-id", "xx"))
