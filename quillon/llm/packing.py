@@ -2,11 +2,14 @@
 
 Every document becomes its token ids and an end id, cut at multiples of the
 sequence length; what is left over at the end is a shorter piece. Lengths are
-counted in bins of ``unit`` tokens. Over that histogram, whose size is fixed, a
-linear program chooses how often each pattern (a multiset of bins that fits a
-sequence) is cut; columns are generated by a knapsack dynamic program that
-prices patterns with the program's duals. Multiplicities are rounded down and
-the few items left are packed first-fit by falling length. Pieces are ranked
+counted in bins of ``unit`` tokens, those under a sixteenth of a sequence
+exactly. Over that histogram, whose size is fixed, a linear program chooses how
+often each pattern (a multiset of bins that fits a sequence) is cut; columns are
+generated by a knapsack dynamic program that prices patterns with the program's
+duals. Multiplicities are rounded down and the few items left are packed
+first-fit by falling length. The program runs for the longer pieces first; short
+ones fill the room that these leave, and the rest of them have a program of
+their own. Pieces are ranked
 within their bin in order of (doc_id, start), and arithmetic on the rank gives
 each its sequence; only the histogram and the patterns ever reach the driver.
 
@@ -30,6 +33,8 @@ from quillon.llm.tokens import encoder, vocabulary
 
 #: Relative distance from the optimum at which no more patterns are sought.
 GAP = 3e-4
+#: Pieces under this part of a sequence are counted by their exact length.
+SHORT = 16
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bin int"
 
@@ -42,8 +47,10 @@ def best_pattern(sizes: np.ndarray, values: np.ndarray, room: int) -> tuple[floa
     worth, of = np.full(room + 1, -np.inf), np.zeros(room + 1, "i8")
     worth[sizes], of[sizes] = values, np.arange(len(sizes))
     best, last = np.zeros(room + 1), np.zeros(room + 1, "i8")
+    longest = int(sizes.max())
     for c in range(1, room + 1):
-        gain = worth[1 : c + 1] + best[c - 1 :: -1]
+        low = max(0, c - longest)
+        gain = worth[1 : c - low + 1] + best[low:c][::-1]
         k = int(gain.argmax())
         if gain[k] > best[c - 1] + 1e-12:
             best[c], last[c] = gain[k], k + 1
@@ -116,6 +123,30 @@ def first_fit(sizes: np.ndarray, left: np.ndarray, room: int) -> list[tuple[np.n
     return out
 
 
+def sequence_plan(sizes: np.ndarray, demand: np.ndarray, length: int, unit: int) -> list[tuple[np.ndarray, int]]:
+    """Patterns over bins given in tokens: those of the longer pieces, filled up with short ones, and those of the short ones left."""
+    long = sizes >= length // SHORT
+    short, left, out = sizes[~long], demand[~long].astype("i8"), []
+    for pattern, times in cutting_patterns(sizes[long] // unit, demand[long], length // unit):
+        room = length - int((pattern * sizes[long]).sum())
+        while times:
+            add, free = np.zeros(len(short), "i8"), room
+            for k in np.argsort(-short, kind="stable"):
+                add[k] = min(free // short[k], left[k])
+                free -= int(add[k] * short[k])
+            n = int(min([times, *(left[add > 0] // add[add > 0])]))
+            whole = np.zeros(len(sizes), "i8")
+            whole[long], whole[~long] = pattern, add
+            out.append((whole, n))
+            left, times = left - n * add, times - n
+    some = np.flatnonzero(~long)[left > 0]
+    for pattern, times in cutting_patterns(sizes[some], left[left > 0].astype(float), length):
+        whole = np.zeros(len(sizes), "i8")
+        whole[some] = pattern
+        out.append((whole, times))
+    return out
+
+
 def assignment(sizes: np.ndarray, plan: list[tuple[np.ndarray, int]]) -> dict[int, tuple[np.ndarray, ...]]:
     """Per bin: first rank, items a sequence, first sequence and first slot of each pattern that holds it."""
     out: dict[int, list[list[int]]] = {int(s): [] for s in sizes}
@@ -135,6 +166,11 @@ def assignment(sizes: np.ndarray, plan: list[tuple[np.ndarray, int]]) -> dict[in
 # --- on the executors ----------------------------------------------------------------------------
 
 
+def bin_of(size: int, length: int, unit: int) -> int:
+    """Tokens that a piece is counted as."""
+    return size if size < length // SHORT else -(-size // unit) * unit
+
+
 def _pieces(path: str, length: int, unit: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, end = encoder(path), np.array([end_id], "<u4").tobytes()
@@ -146,7 +182,7 @@ def _pieces(path: str, length: int, unit: int, end_id: int, with_ids: bool):
                 for start in range(0, n, length):
                     own = ids[4 * start : 4 * (start + length)]
                     size = len(own) // 4
-                    for column, x in zip(rows, (doc_id, start, size, zlib.crc32(own), n, -(-size // unit), own), strict=False):
+                    for column, x in zip(rows, (doc_id, start, size, zlib.crc32(own), n, bin_of(size, length, unit), own), strict=False):
                         column.append(x)
             kinds = [pa.int64()] * 5 + [pa.int32()] + [pa.binary()] * with_ids
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "bin", "ids"][: len(rows)]
@@ -209,7 +245,7 @@ def pack(docs: DataFrame, path: str, length: int = 2048, unit: int = 8, end_id:
         before[part, b] = total[b]
         total[b] += n
     sizes = np.array(sorted(total), "i8")
-    places = assignment(sizes, cutting_patterns(sizes, np.array([total[int(s)] for s in sizes], float), length // unit))
+    places = assignment(sizes, sequence_plan(sizes, np.array([total[int(s)] for s in sizes], float), length, unit))
     kept = PIECES.replace(", bin int", "") + ", ids binary" * with_ids
     placed = ranked.mapInArrow(_placed(before, places), kept + ", sequence_id long, slot long")
     earlier = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)

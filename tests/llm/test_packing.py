@@ -67,3 +67,21 @@ def test_cutting_stock_meets_its_bound():
 def test_knapsack():
     value, taken = p.best_pattern(np.array([3, 5, 7]), np.array([0.3, 0.52, 0.71]), 10)
     assert abs(value - 1.04) < 1e-9 and taken.tolist() == [0, 2, 0]
+
+
+def test_short_texts_leave_little_padding(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(["the", "of", "on"]) for _ in range(rng.randint(4, 19)))) for i in range(6000)]
+    assert check(rows, p.pack(spark.createDataFrame(rows, "doc_id long, text string"), PATH).collect(), 2048) > 0.96
+    bare = [(i, rng.choice([None, ""])) for i in range(4096)]
+    assert check(bare, p.pack(spark.createDataFrame(bare, "doc_id long, text string"), PATH).collect(), 2048) == 1
+
+
+def test_plan_of_short_and_long_pieces():
+    rng = np.random.default_rng(5)
+    for scale in (10, 60, 400):
+        lengths = np.minimum(rng.lognormal(np.log(scale), 1, 20_000).astype("i8") + 1, 2048)
+        sizes, demand = np.unique([p.bin_of(int(x), 2048, 8) for x in lengths], return_counts=True)
+        plan = p.sequence_plan(sizes, demand.astype(float), 2048, 8)
+        assert (sum(a * t for a, t in plan) == demand).all() and all((a * sizes).sum() <= 2048 for a, _ in plan)
+        assert lengths.sum() / 2048 / sum(t for _, t in plan) > 0.98
