@@ -2,8 +2,9 @@
 
 A test item of m characters may occur in a document with up to k edits. Split
 into k + 1 pieces, at least one piece of such an occurrence is exact. All pieces
-are looked up at once in every text (Aho-Corasick); around each hit the item is
-verified with Myers' bit-parallel distance, so no occurrence within the budget is
+are looked up at once in every text (Aho-Corasick). Since an edit breaks at most
+q of an item's runs of q characters, hits around which too few of these occur are
+passed over; around the others the item is verified with Myers' bit-parallel distance, so no occurrence within the budget is
 missed and none beyond it is reported.
 
 Texts and items are compared in lower case with every run of white space and
@@ -15,6 +16,7 @@ match; rows with the same id are searched each on its own.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,7 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Edits allowed in hundredths of an item's length, and the least length of a piece (which bounds the edits of short items).
-EDITS, PIECE = 6, 14
+EDITS, PIECE = 10, 8
+#: Characters of the runs that an item and a part of a text must share before they are compared.
+GRAM = 4
 #: Characters of items in one block; more are searched in further passes.
 BLOCK_CHARS = 4_000_000
 
@@ -76,7 +80,7 @@ class Matcher:
     def __init__(self, items: list[tuple[int, str]], edits: int = EDITS, piece: int = PIECE):
         import ahocorasick
 
-        self.items: list[tuple[int, str, int, dict[str, int]]] = []
+        self.items: list[tuple[int, str, int, dict[str, int], Counter]] = []
         self.search = ahocorasick.Automaton()
         where: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
@@ -85,7 +89,7 @@ class Matcher:
             k = budget(len(own), edits, piece)
             for at, p in pieces(own, k):
                 where.setdefault(p, []).append((len(self.items), at))
-            self.items.append((item_id, own, k, masks(own)))
+            self.items.append((item_id, own, k, masks(own), Counter(own[i : i + GRAM] for i in range(len(own) - GRAM + 1))))
         for p, places in where.items():
             self.search.add_word(p, (len(p), places))
         if where:
@@ -101,20 +105,35 @@ class Matcher:
                 starts.setdefault(item, []).append(end + 1 - n - at)
         out = []
         for item, found in starts.items():
-            item_id, pattern, k, peq = self.items[item]
+            item_id, pattern, k, peq, grams = self.items[item]
             if pattern in own:
                 out.append((item_id, 0))
                 continue
             if not k:
                 continue
             best, m = k + 1, len(pattern)
-            for low, high in _merged(sorted(set(found)), k, m):
+            for low, high in _merged(_likely(own, sorted(set(found)), k, m, grams), k, m):
                 best = min(best, myers(peq, m, own[max(0, low) : high])[0])
             if best <= k:
                 out.append((item_id, best))
         return sorted(out)
 
 
+def _likely(own: str, starts: list[int], k: int, m: int, grams: Counter) -> list[int]:
+    """The places around which enough of an item's runs occur for k edits; those within k of each other are tried together."""
+    least, out, i = m - GRAM + 1 - k * GRAM, [], 0
+    while i < len(starts):
+        j = i
+        while j < len(starts) and starts[j] - starts[i] <= k:
+            j += 1
+        low, high = max(0, starts[i] - k), min(len(own), starts[j - 1] + m + k)
+        there = {own[x : x + GRAM] for x in range(low, high - GRAM + 1)}
+        if sum(map(grams.__getitem__, there & grams.keys())) >= least:
+            out += starts[i:j]
+        i = j
+    return out
+
+
 def _merged(starts: list[int], k: int, m: int) -> Iterator[tuple[int, int]]:
     """Stretches of the text that hold every occurrence starting within k of a place; overlapping ones once."""
     i = 0

@@ -73,3 +73,18 @@ def test_blocks_and_empty_tables(spark, monkeypatch):
     monkeypatch.undo()
     assert d.matches(docs, items.where("false")).collect() == [] and d.matches(docs.where("false"), items).collect() == []
     assert len(list(d.item_blocks(items, "item_id", "text", chars=5))) == 2
+
+
+def test_items_with_words_replaced_are_found():
+    rng = random.Random(4)
+    word = lambda n, letters="abcdefghijklm": "".join(rng.choice(letters) for _ in range(n))
+    for n, replaced in [(81, 1), (130, 2), (250, 4)]:
+        for _ in range(20):
+            item = [word(5) for _ in range(n // 6)]
+            item.append(word(n - 6 * len(item)))
+            leak = item.copy()
+            for i in rng.sample(range(len(item) - 1), replaced):
+                leak[i] = word(5, "nopqrstuvwxyz")
+            text = " ".join(word(5) for _ in range(40))
+            assert [x for x, _ in d.Matcher([(1, " ".join(item))]).find(f"{text} {' '.join(leak)} {text}")] == [1]
+            assert d.Matcher([(1, " ".join(item))]).find(f"{text} {text}") == []
