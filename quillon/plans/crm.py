@@ -174,9 +174,18 @@ def recent_jobs(spark, d):
     return t.jobs(spark, d).orderBy(F.desc("created_at"), F.desc("id")).limit(10)
 
 
+@query(sql("SELECT * FROM lead_activities ORDER BY lead_id, created_at DESC, id", "lead_activities"))
+def activities_list(spark, d, lead_id=None):
+    """The activities of every lead, or of one, latest first."""
+    rows = t.lead_activities(spark, d)
+    if lead_id is not None:
+        rows = rows.where(F.col("lead_id") == lead_id)
+    return rows.orderBy("lead_id", F.desc("created_at"), "id")
+
+
 @query(sql("SELECT * FROM lead_activities WHERE lead_id = 42 ORDER BY created_at DESC, id DESC", "lead_activities"))
 def activities_by_lead(spark, d):
-    return t.lead_activities(spark, d).where("lead_id = 42").orderBy(F.desc("created_at"), F.desc("id"))
+    return activities_list(spark, d, lead_id=42).orderBy(F.desc("created_at"), F.desc("id"))
 
 
 @query(sql("SELECT id, business_id, status, created_at FROM proposals ORDER BY created_at DESC, id DESC", "proposals"))
@@ -298,7 +307,7 @@ def proposal_price(spark, d):
   LEFT JOIN (SELECT lead_id, count(*) AS n, max(created_at) AS last_at FROM lead_activities GROUP BY 1) a ON l.id = a.lead_id""",
   "businesses", "latest_scans", "latest_reports", "latest_scores", "leads", "latest_proposals", "latest_demos", "lead_activities"))
 def business_360(spark, d):
-    """Each business with all that is latest about it. Activities, of which there may be any number, come as count and last; activities_by_lead lists them."""
+    """Each business with all that is latest about it. Activities, of which there may be any number, come as count and last; activities_list lists them."""
     rows = t.businesses(spark, d).select("id", "name")
     for name, history, at in (
         ("scan", t.website_scans(spark, d), "scanned_at"), ("report", t.ai_reports(spark, d), "generated_at"), ("score", t.scores(spark, d), "computed_at"),

@@ -42,3 +42,11 @@ def test_query(spark, duck, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 6
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_activities_of_all_leads_are_listed(spark):
+    rows = [tuple(r) for r in QUERIES["activities_list"](spark, DIR).select("lead_id", "created_at", "id").collect()]
+    assert rows == sorted(sorted(rows, key=lambda r: r[2]), key=lambda r: (r[0], -r[1].timestamp())) and len({r[0] for r in rows}) > 1
+    counts = Counter(r[0] for r in rows)
+    for lead in list(counts)[:2]:
+        assert QUERIES["activities_list"](spark, DIR, lead_id=lead).count() == counts[lead]
