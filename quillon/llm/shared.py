@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
 
+_OPEN = threading.local()
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names for shared files; a temporary one only where the session names none."""
+    """The folder the cluster names for shared files. Without one there is no place that all executors are known to see, so this refuses."""
     found = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="quillon-")
-        spark.conf.set(SETTING, found)
+        raise ValueError(f"{SETTING} names no folder; set it to one that the driver and all executors share")
     return found.rstrip("/")
 
 
@@ -23,13 +26,29 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/quillon/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written within go when it ends, but for those to keep."""
+    outer, _OPEN.paths = getattr(_OPEN, "paths", None), []
+    try:
+        yield
+    finally:
+        paths, _OPEN.paths = _OPEN.paths, outer
+        for path in paths:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def materialize(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     Cuts the lineage and survives the loss of executors, since no part of the
-    result lives on one of them.
+    result lives on one of them. What is kept is the caller's to delete, with
+    the folder, once the result has been read.
     """
     spark = df.sparkSession
     path = fresh_path(spark, label)
+    if not keep and getattr(_OPEN, "paths", None) is not None:
+        _OPEN.paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
