@@ -1,8 +1,9 @@
 """Language identification by compression.
 
-For each language a raw-content dictionary is made from a bounded sample of
-labelled documents: their words, the most frequent ones last, where matches are
-cheapest. A text, reduced to its lower-case words, is encoded whole, in chunks,
+For each label that occurs a raw-content dictionary is made from a bounded
+sample of its documents, read whole: their words, the most frequent ones last,
+where matches are cheapest. Words are counted by Spark; only the dictionaries,
+of fixed size, reach the driver. A text, reduced to its lower-case words, is encoded whole, in chunks,
 with zstandard once for each language's dictionary; the language whose
 dictionary gives the smallest total is chosen. Short texts are encoded several
 times over, so that their few matches count. Where the runner-up is hardly
@@ -10,7 +11,8 @@ larger the choice is rejected.
 
 Null texts and texts without a letter are ``und`` with score 0 and rejected.
 Ties go to the language that comes first by name. Without any labelled row
-everything is ``und``. Rows with the same id are judged each on its own.
+everything is ``und``. Rows with the same id are judged each on its own; for the
+sample, rows with equal id and text are equal, and a null id is one like others.
 """
 
 from __future__ import annotations
@@ -20,11 +22,12 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bounds of the sample that dictionaries are cut from: documents and characters of each for a language.
-SAMPLE_DOCS, SAMPLE_CHARS = 1_000, 4_000
+#: Bound of the sample that dictionaries are cut from: documents for a language.
+SAMPLE_DOCS = 1_000
 #: Bytes of a dictionary, and of the chunks that texts are encoded in.
 DICTIONARY, CHUNK, LEVEL, MIN_MATCH = 64 << 10, 4 << 10, 5, 3
 #: A choice is rejected if it saves less than this share of what the runner-up needs. Set from leads on held-out documents of sf0.1:
@@ -50,7 +53,7 @@ def sample(labelled: DataFrame, text_col: str, lang_col: str, id_col: str) -> Da
     known = known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(span)).alias("spot"))
     share = F.greatest(F.ceil(F.lit(2 * SAMPLE_DOCS * span) / F.count(F.lit(1))), F.min("spot") + 1)
     limits = known.groupBy("lang").agg(share.alias("limit"))
-    picked = known.join(F.broadcast(limits), "lang").where("spot < limit").select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), "spot")
+    picked = known.join(F.broadcast(limits), "lang").where("spot < limit").select("lang", "text", "spot")
     first = F.row_number().over(Window.partitionBy("lang").orderBy("spot", "text"))
     return picked.withColumn("n", first).where(F.col("n") <= SAMPLE_DOCS).select("lang", "text")
 
@@ -59,9 +62,22 @@ def words(text: str) -> str:
     return OTHER.sub(" ", text.lower())
 
 
-def dictionary(texts: list[str], size: int = DICTIONARY) -> bytes:
-    """Raw content: the most frequent words of the sample, rising in frequency."""
-    counts = Counter(w for t in texts for w in words(t).split())
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(lang, word, n) of texts (lang, text), added up within tasks before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts: Counter = Counter()
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                counts.update((lang, w) for w in words(text).split())
+            langs, found = zip(*counts, strict=True) if counts else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(found, pa.string()), pa.array(counts.values(), pa.int64())], names=["lang", "word", "n"])
+
+    return texts.select("lang", "text").mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+
+def dictionary(counts: dict[str, int], size: int = DICTIONARY) -> bytes:
+    """Raw content: as many of the most frequent words as there is room for, rising in frequency."""
     out, n = [], 0
     for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0])):
         n += len(b := f" {w}".encode())
@@ -120,13 +136,18 @@ def _predict(dictionaries: dict[str, bytes], margin: float):
 
 
 def _dictionary(rows: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"lang": rows["lang"].iloc[:1], "dictionary": [dictionary(rows["text"].tolist())]})
+    return pd.DataFrame({"lang": rows["lang"].iloc[:1], "dictionary": [dictionary(dict(zip(rows["word"], rows["n"], strict=True)))]})
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> dict[str, bytes]:
-    """A dictionary for every language that occurs; they are made where the samples lie, and alone reach the driver."""
-    made = sample(labelled, text_col, lang_col, id_col).groupBy("lang").applyInPandas(_dictionary, "lang string, dictionary binary")
-    return {r["lang"]: bytes(r["dictionary"]) for r in made.collect()}
+    """A dictionary for every label that occurs; one whose sample holds no word has a dictionary of a blank."""
+    texts = sample(labelled, text_col, lang_col, id_col)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    # A word takes two bytes at least, so no more than these can have a place.
+    most = word_counts(texts).withColumn("place", place).where(F.col("place") <= DICTIONARY // 2).select("lang", "word", "n")
+    made = {r["lang"]: bytes(r["dictionary"]) for r in most.groupBy("lang").applyInPandas(_dictionary, "lang string, dictionary binary").collect()}
+    known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang")).distinct()
+    return {r["lang"]: made.get(r["lang"], b" ") for r in known.collect()}
 
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN, text_col: str = "text") -> DataFrame:

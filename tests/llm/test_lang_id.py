@@ -1,6 +1,7 @@
 import os
 import random
 import zlib
+from collections import Counter
 
 import pytest
 
@@ -37,7 +38,7 @@ def test_defined_cases(spark):
 
 
 def test_narrow_margins_are_rejected(spark):
-    same = {"a": l.dictionary([TEXTS["en"]]), "b": l.dictionary([TEXTS["en"]])}
+    same = {"a": l.dictionary({"the": 3, "man": 1}), "b": l.dictionary({"the": 3, "man": 1})}
     r = l.identify(spark.createDataFrame([(1, TEXTS["en"])], "doc_id long, text string"), same).first()
     assert (r.lang_pred, r.score, r.accepted) == ("a", 0.0, False)
 
@@ -59,6 +60,57 @@ def test_every_label_gets_a_dictionary(spark, monkeypatch):
     rows = [(i, f"word{i}", f"l{i:03}") for i in range(150)]
     rows += [(7, f"many{i}", "one-id") for i in range(300)] + [(8, "copy", "copies")] * 300
     rows += [(i, f"own{i}", "xx") for i in range(1000, 1300)]
-    got = l.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    rows += [(None, f"nobody{i % 7}", "no-id") for i in range(200)] + [(9000, "12 - 3", "no-words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = l.train(df)
+    assert got == l.train(df.repartition(7))
+    assert got.pop("no-words") == b" " and rows.pop()
     assert set(got) == {r[2] for r in rows} and all(d.strip() for d in got.values())
     assert got["l149"] == b" word " and all(len(got[x].split()) <= 2 for x in ("one-id", "xx"))
+
+
+def by_hand(rows, texts):
+    """All of it anew, without the module's functions: (language, lead) of each text."""
+    import zstandard
+
+    fold = lambda t: " ".join("".join(c if c.isalpha() else " " for c in t.lower()).split())
+    counts: dict = {}
+    for _, text, lang in rows:
+        if text is not None and lang is not None:
+            counts.setdefault(lang, {})
+            for w in fold(text).split():
+                counts[lang][w] = counts[lang].get(w, 0) + 1
+    makers = {}
+    for lang, own in counts.items():
+        whole = b""
+        for w in sorted(own, key=lambda w: (-own[w], w)):
+            if len(whole) + len(w.encode()) + 1 >= 65536:
+                break
+            whole = b" " + w.encode() + whole
+        p = zstandard.ZstdCompressionParameters.from_level(5, min_match=3, write_content_size=False, write_checksum=False, write_dict_id=False)
+        d = zstandard.ZstdCompressionDict(whole + b" ", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(compression_params=p)
+        makers[lang] = zstandard.ZstdCompressor(compression_params=p, dict_data=d)
+    out = []
+    for text in texts:
+        if not text or not any(c.isalpha() for c in text):
+            out.append(("und", 0.0))
+            continue
+        data = f" {fold(text)} ".encode()
+        data = data * 6 if len(data) < 512 else data
+        sizes = sorted((sum(len(m.compress(data[i : i + 4096])) for i in range(0, len(data), 4096)), lang) for lang, m in makers.items())
+        out.append((sizes[0][1], 1 - sizes[0][0] / sizes[1][0]))
+    return out
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no test data")
+def test_against_brute_force(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text", "lang").where("crc32(cast(doc_id as string)) % 4 <> 2")
+    learned = docs.where("doc_id % 3 = 0")
+    rows = [tuple(r) for r in learned.collect()]
+    assert max(Counter(r[2] for r in rows).values()) <= l.SAMPLE_DOCS
+    judged = [(r.text, r.lang_pred, r.score, r.accepted) for r in l.identify(docs, l.train(learned)).collect()]
+    judged += [(r.text, r.lang_pred, r.score, r.accepted) for r in l.identify(spark.createDataFrame([("",), (None,), ("?",), ("la casa de la",), ("a " * 30_000,)], "text string"), l.train(learned)).collect()]
+    want = by_hand(rows, [j[0] for j in judged])
+    for (_, lang, score, accepted), (other, lead) in zip(judged, want, strict=True):
+        assert lang == other and score == pytest.approx(lead) and accepted == (lead >= 0.03 and lang != "und")
