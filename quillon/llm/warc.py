@@ -1,17 +1,19 @@
 """WARC archives packaged in ZIP files: writing, and reading without extraction.
 
-A package is a ZIP file with two stored (uncompressed) members: the archive, in
-which every record is a gzip member of its own, and an index with a line of
-JSON for each record. The reader parses the end record, the ZIP64 locator and
+A package is a ZIP file of stored (uncompressed) members: archives, in which
+every record is a gzip member of its own, and indexes with a line of JSON for
+each record; those written here have one of each. The reader parses the end record, the ZIP64 locator and
 end record, the central directory with its ZIP64 fields and the members' local
 headers, and so knows where the stored members lie in the package; it then
-fetches the index and each record by byte range.
+fetches each index once and deals its entries out in slices, whose records are
+fetched by byte range.
 
 Of records with equal payloads the one with the smallest id is a response, the
 others are revisits of it and carry no payload; payloads under ``min_bytes`` are
 always responses. Rows that repeat the smallest id are responses, too. Null
 payloads are empty. Null ids are written without a number, come last in a tie,
-and read back as null. Packages are files in a shared folder; a manifest names
+and read back as null; of equal payloads that all have null ids every one is a
+response, since a revisit could name none. Packages are files in a shared folder; a manifest names
 those of the attempts that succeeded.
 """
 
@@ -36,7 +38,8 @@ from pyspark.sql import functions as F
 from quillon.llm.shared import fresh_path, materialize
 
 #: The format's names and signatures.
-ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
+ARCHIVES, INDEXES = "archive/", "indexes/"
+ARCHIVE, INDEX = "data.warc.gz", "index.cdxj"
 DATE = "2020-01-01T00:00:00Z"
 END, END64, LOCATOR, ENTRY, LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
@@ -46,6 +49,8 @@ HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PACKAGE_BYTES, PACKAGE_RECORDS = 128 << 20, 50_000
 #: Records read by one task at a time.
 SLICE = 2_000
+#: A payload is joined apart if it makes up more than one in so many of the pages that share theirs; so many there are at most.
+HOT = 1_000
 
 
 # --- records -------------------------------------------------------------------------------------
@@ -92,10 +97,10 @@ def parse_record(data: bytes) -> Record:
     first, *lines = head.decode().split("\r\n")
     if not first.startswith("WARC/"):
         raise ValueError("not a WARC record")
-    h = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+    h = {k.strip().lower(): v.removeprefix(" ") for k, _, v in (x.partition(":") for x in lines)}
     body = rest[: int(h["content-length"])]
     payload = body.partition(b"\r\n\r\n")[2]
-    stated = h["warc-payload-digest"].removeprefix("sha1:")
+    stated = h["warc-payload-digest"].strip().removeprefix("sha1:")
     if h["warc-type"] == "revisit":
         return Record(_number(h["warc-record-id"]), h["warc-target-uri"], "revisit", stated, int(h["warc-identified-payload-length"]), _number(h["warc-refers-to"]), b"")
     found = sha1_base32(payload)
@@ -200,19 +205,19 @@ class Writer:
 
     def __init__(self, stream):
         self.zip = zipfile.ZipFile(stream, "w", zipfile.ZIP_STORED, allowZip64=True)
-        self.archive = self.zip.open(zipfile.ZipInfo(ARCHIVE), "w", force_zip64=True)
+        self.archive = self.zip.open(zipfile.ZipInfo(ARCHIVES + ARCHIVE), "w", force_zip64=True)
         self.at, self.lines = 0, []
 
     def add(self, page_id, url, payload: bytes, refers_to, is_revisit: bool) -> None:
         data, digest = record(page_id, url, payload, refers_to, is_revisit)
         packed = gzip.compress(data, 3, mtime=0)
         self.archive.write(packed)
-        self.lines.append(json.dumps({"id": page_id, "url": url, "offset": self.at, "length": len(packed), "digest": digest}, ensure_ascii=False))
+        self.lines.append(json.dumps({"id": page_id, "url": url, "offset": self.at, "length": len(packed), "digest": digest, "filename": ARCHIVE}, ensure_ascii=False))
         self.at += len(packed)
 
     def close(self) -> None:
         self.archive.close()
-        with self.zip.open(zipfile.ZipInfo(INDEX), "w") as index:
+        with self.zip.open(zipfile.ZipInfo(INDEXES + INDEX), "w") as index:
             for line in self.lines:
                 index.write(line.encode() + b"\n")
         self.zip.close()
@@ -255,9 +260,16 @@ def write_archives(pages: DataFrame, out: str, min_bytes: int = 0, id_col: str =
     # Only payloads that several pages share; what is shuffled for it is an id and a digest a page, added up before.
     firsts = materialize(
         rows.where(F.octet_length("html") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1").select(F.col("digest").alias("same"), "first_id"), "first-pages",
+        .where("n > 1").select(F.col("digest").alias("same"), "first_id", "n"), "first-pages",
     )
-    joined = rows.join(firsts, F.col("digest") == F.col("same"), "left")
+    # Where the table of shared payloads is large, pages are shuffled to meet it; those with a hot payload are spread by id.
+    least = firsts.agg((F.sum("n") / HOT).alias("least"))
+    hot = materialize(firsts.join(F.broadcast(least), F.col("n") > F.col("least")).select(F.col("same").alias("hot"), F.col("first_id").alias("hot_id")), "hot-pages")
+    rows = rows.join(F.broadcast(hot), F.col("digest") == F.col("hot"), "left")
+    is_hot = F.col("hot").isNotNull()
+    rows = rows.withColumn("meets", F.when(~is_hot, F.col("digest"))).withColumn("spread", F.when(is_hot, F.xxhash64("page_id", "url")).otherwise(0))
+    joined = rows.join(firsts.select("same", "first_id"), (F.col("meets") == F.col("same")) & (F.col("spread") == 0), "left")
+    joined = joined.withColumn("first_id", F.coalesce("hot_id", "first_id"))
     again = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     parts = joined.select("page_id", "url", "html", F.when(again, F.col("first_id")).alias("refers_to"), again.alias("is_revisit"))
     return materialize(parts.mapInArrow(_written(out), "path string, n_records long"), "packages")
@@ -266,19 +278,53 @@ def write_archives(pages: DataFrame, out: str, min_bytes: int = 0, id_col: str =
 RECORDS = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long"
 
 
-def _read(out: str, with_payload: bool):
+SLICES = pa.schema([("path", pa.string()), ("offsets", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64()))])
+
+
+def index_entries(package: Package) -> Iterator[tuple[int, int]]:
+    """Where the records of all indexes lie in the package, and their lengths. An entry without file name is of the only archive."""
+    starts = {n.removeprefix(ARCHIVES): package.start(n) for n in package.members if n.startswith(ARCHIVES) and not n.endswith("/")}
+    for name in package.members:
+        if not name.startswith(INDEXES) or name.endswith("/"):
+            continue
+        for line in package.member(name).splitlines():
+            if (at := line.find(b"{")) < 0:
+                continue
+            e = json.loads(line[at:])
+            of = e.get("filename") or (next(iter(starts)) if len(starts) == 1 else None)
+            if of not in starts:
+                raise ValueError(f"the index names the archive {of}, which the package doesn't hold")
+            yield starts[of] + int(e["offset"]), int(e["length"])
+
+
+def _slices(out: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, first, last in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for path in batch.column(0).to_pylist():
                 file, package = open_package(path, out)
                 with file:
-                    base, found = package.start(ARCHIVE), []
-                    for line in package.member(INDEX).splitlines()[first:last]:
-                        e = json.loads(line)
-                        found.append(parse_record(zlib.decompress(package.read(base + e["offset"], e["length"]), 31)))
-                        if len(found) >= 500 or len(found[-1].payload) > 1 << 20:
+                    found = list(index_entries(package))
+                parts = [found[i : i + SLICE] for i in range(0, len(found), SLICE)]
+                columns = [[path] * len(parts), [[at for at, _ in p] for p in parts], [[n for _, n in p] for p in parts]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, SLICES, strict=True)], schema=SLICES)
+
+    return run
+
+
+def _read(out: str, with_payload: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _ = pafs.FileSystem.from_uri(out)
+        for batch in batches:
+            for path, offsets, lengths in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with fs.open_input_file(path) as file:
+                    found, held = [], 0
+                    for at, n in zip(offsets, lengths, strict=True):
+                        file.seek(at)
+                        found.append(parse_record(zlib.decompress(file.read(n), 31)))
+                        held += len(found[-1].payload)
+                        if len(found) >= 500 or held > 8 << 20:
                             yield _batch(found, with_payload)
-                            found = []
+                            found, held = [], 0
                     yield _batch(found, with_payload)
 
     return run
@@ -293,12 +339,28 @@ def _batch(found: list[Record], with_payload: bool) -> pa.RecordBatch:
 def read_archives(manifest: DataFrame, out: str, with_payload: bool = False) -> DataFrame:
     """Every record of the packages, by range reads: page_id, url, record_type, payload_digest, payload_bytes, refers_to, and the payload if asked for."""
     parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    first = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_records") - 1, F.lit(SLICE).cast("long")))
-    slices = manifest.where("n_records > 0").select("path", first.alias("first")).select("path", "first", (F.col("first") + SLICE).alias("last"))
-    return slices.repartition(parts, "path", "first").mapInArrow(_read(out, with_payload), RECORDS + ", payload binary" * with_payload)
+    slices = manifest.select("path").mapInArrow(_slices(out), "path string, offsets array<long>, lengths array<long>")
+    return slices.repartition(parts, "path", F.col("offsets")[0]).mapInArrow(_read(out, with_payload), RECORDS + ", payload binary" * with_payload)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     out = fresh_path(spark, "warc")
     manifest = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), out)
     return read_archives(manifest, out).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex, strlen(coalesce(html, '')) AS payload_bytes
+  FROM pages),
+f AS (SELECT hex, min(page_id) AS first_id FROM p GROUP BY hex),
+d AS (
+  SELECT hex, first_id, list_aggregate(list_transform(range(32), lambda i:
+           substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(hex, CAST(5 * (i // 4) + 1 AS INTEGER), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31 AS INTEGER), 1)
+         ), 'string_agg', '') AS payload_digest
+  FROM f)
+SELECT p.page_id, CAST(p.payload_bytes AS BIGINT) AS payload_bytes, d.payload_digest,
+       CASE WHEN d.first_id IS NULL OR p.page_id = d.first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN p.page_id = d.first_id THEN NULL ELSE d.first_id END AS refers_to
+FROM p JOIN d ON p.hex = d.hex
+"""

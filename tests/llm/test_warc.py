@@ -40,6 +40,10 @@ def test_small_payloads_repeated_rows_nulls_and_no_rows(spark):
         [("1", "response", "None"), ("2", "response", "None"), ("2", "response", "None"), ("2", "response", "None"), ("4", "revisit", "2"), ("None", "revisit", "2")]
     )
     out = shared.fresh_path(spark, "w")
+    nobody = spark.createDataFrame([(None, " u ", "same"), (None, "v", "same")], "page_id long, url string, html string")
+    got = warc.read_archives(warc.write_archives(nobody, out), out).collect()
+    assert sorted((r.url, r.record_type, r.refers_to) for r in got) == [(" u ", "response", None), ("v", "response", None)]
+    out = shared.fresh_path(spark, "w")
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.read_archives(warc.write_archives(none, out), out).collect() == []
 
@@ -82,3 +86,36 @@ def test_directories():
         p.member("c")
     with pytest.raises(ValueError):
         warc.Package(io.BytesIO(b"x" * 100), 100)
+
+
+def test_all_archives_and_indexes_of_a_package():
+    import gzip
+    import json
+
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        lines = {}
+        for name in ("a.warc.gz", "b.warc.gz"):
+            packed = [gzip.compress(warc.record(i, f"u{i}", name.encode(), None, False)[0]) for i in (1, 2)]
+            z.writestr(f"archive/{name}", b"".join(packed))
+            lines[name] = [json.dumps({"offset": str(len(packed[0]) * i), "length": len(p), "filename": name}) for i, p in enumerate(packed)]
+        z.writestr("indexes/one.cdxj", f"org,u)/ 2020 {lines['b.warc.gz'][0]}\n\n{lines['a.warc.gz'][1]}\n")
+        z.writestr("indexes/two.cdxj", lines["a.warc.gz"][0])
+        z.writestr("pages/pages.jsonl", "{}")
+    p = warc.Package(buffer, buffer.getbuffer().nbytes)
+    found = [warc.parse_record(gzip.decompress(p.read(at, n))) for at, n in warc.index_entries(p)]
+    assert [(r.page_id, r.payload) for r in found] == [(1, b"b.warc.gz"), (2, b"a.warc.gz"), (1, b"a.warc.gz")]
+
+
+def test_a_hot_payload_where_pages_are_shuffled(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = shared.fresh_path(spark, "w")
+        rows = [(i, "u", "hot" if i % 3 else f"pair {i // 6}") for i in range(3000)]
+        got = {r.page_id: r for r in warc.read_archives(warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), out), out).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    first: dict = {}
+    for i, _, h in rows:
+        assert got[i].refers_to == (first[h] if h in first else None)
+        first.setdefault(h, i)
