@@ -4,12 +4,14 @@ A file holds documents in ascending order, one row each: id, offset of its
 first token among all of the file's, number of tokens, and the ids as a list
 column. Ids are dictionary-encoded bit-packed integers or delta-encoded, row
 groups hold about the same number of tokens, and page indexes let a reader
-fetch the metadata columns, some row groups or some pages without the rest.
+fetch the metadata columns, some row groups or some pages without the rest:
+``read_range`` reads a range of ids so, ``read_tokens`` whole files.
 
-Documents are range-partitioned by id, so a file is one range and the files in
-order are all documents in order. A manifest names the files of the attempts
+Documents are range-partitioned by id and a hash of the text, so a file is one
+range, the files in order are all documents in order, and an id (or none) that
+very many rows have is divided. A manifest names the files of the attempts
 that succeeded. Null texts count as empty; a document with no text still has
-its end id. Rows with the same id are ordered by text.
+its end id. Rows with the same id are ordered by that hash, equal ones together.
 """
 
 from __future__ import annotations
@@ -22,14 +24,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.shared import fresh_path, materialize
 from quillon.llm.tokens import encoder, vocabulary
 
-#: Tokens in a row group, about; and bytes in a page.
-GROUP_TOKENS, PAGE_BYTES = 1 << 20, 64 << 10
+#: Tokens in a row group, about; bytes in a page, and documents at most.
+GROUP_TOKENS, PAGE_BYTES, PAGE_DOCS = 1 << 20, 64 << 10, 256
 
 FILE = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("n_tokens", pa.int32()), ("ids", pa.list_(pa.field("element", pa.uint16(), nullable=False)))])
 WIDE = FILE.set(3, pa.field("ids", pa.list_(pa.field("element", pa.uint32(), nullable=False))))
@@ -54,7 +56,7 @@ def _writer(path: str, out: str, end_id: int, encoding: str):
             nonlocal writer, held_tokens, first
             if writer is None:
                 writer = pq.ParquetWriter(
-                    name, schema, filesystem=fs, compression="zstd", write_page_index=True, data_page_size=PAGE_BYTES,
+                    name, schema, filesystem=fs, compression="zstd", write_page_index=True, data_page_size=PAGE_BYTES, max_rows_per_page=PAGE_DOCS,
                     use_dictionary=["ids.list.element"] if encoding == "dictionary" else False,
                     column_encoding={"doc_id": "DELTA_BINARY_PACKED", "first": "DELTA_BINARY_PACKED", "n_tokens": "DELTA_BINARY_PACKED"} | ({"ids.list.element": "DELTA_BINARY_PACKED"} if encoding == "delta" else {}),
                 )
@@ -88,21 +90,25 @@ def write_tokens(docs: DataFrame, path: str, out: str, end_id: int = 1, encoding
     """Encode and write all documents to files in the shared folder ``out``; a row of the manifest for each row group."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", F.xxhash64("text")]
+    ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order, "text")
     kinds = "part int, path string, row_group int, n_docs long, n_tokens long"
     return materialize(ordered.mapInArrow(_writer(path, out, end_id, encoding), kinds), "token-manifest")
 
 
-def with_starts(manifest: DataFrame) -> DataFrame:
-    """Adds ``base``: tokens in all row groups before. A file is one row of what is summed on the driver, and its size is bounded by the number of partitions."""
-    spark = manifest.sparkSession
-    files = manifest.groupBy("part").agg(F.sum("n_tokens").alias("n")).toPandas().sort_values("part")
-    base = spark.createDataFrame(list(zip(files["part"].tolist(), (files["n"].cumsum() - files["n"]).tolist(), strict=True)), "part int, file_base long")
-    from pyspark.sql import Window
+def _file_bases(manifest: DataFrame) -> DataFrame:
+    """(part, path, file_base): tokens in all files before. A file is one row of what is summed on the driver, and their number that of the partitions."""
+    files = manifest.groupBy("part", "path").agg(F.sum("n_tokens").alias("n")).toPandas().sort_values("part")
+    bases = zip(files["part"].tolist(), files["path"].tolist(), (files["n"].cumsum() - files["n"]).tolist(), strict=True)
+    return F.broadcast(manifest.sparkSession.createDataFrame(list(bases), "part int, path string, file_base long"))
 
+
+def with_starts(manifest: DataFrame) -> DataFrame:
+    """Adds ``base``: tokens in all row groups before."""
+    base = _file_bases(manifest).drop("path")
     within = Window.partitionBy("part").orderBy("row_group").rowsBetween(Window.unboundedPreceding, -1)
     return (
-        manifest.join(F.broadcast(base), "part")
+        manifest.join(base, "part")
         .withColumn("base", F.col("file_base") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
         .select("path", "row_group", "base", "n_docs", "n_tokens")
     )
@@ -155,6 +161,18 @@ def read_tokens(manifest: DataFrame, out: str, with_ids: bool = True) -> DataFra
     return _spread(manifest).mapInArrow(_tokens(out, columns), "doc_id long, start long, n_tokens long" + ", ids array<long>" * with_ids)
 
 
+def read_range(manifest: DataFrame, out: str, low: int, high: int, with_ids: bool = True) -> DataFrame:
+    """As ``read_tokens``, of the documents with ids from low to high: files and row groups are chosen by their statistics, pages by the page index."""
+    spark = manifest.sparkSession
+    if manifest.isEmpty():
+        return spark.createDataFrame([], "doc_id long, start long, n_tokens long" + ", ids array<long>" * with_ids)
+    bases = _file_bases(manifest).select(F.element_at(F.split("path", "/"), -1).alias("file"), "file_base")
+    # By name, which carries a random number: files of attempts that failed are in the folder but not in the manifest.
+    rows = spark.read.parquet(out).where(F.col("doc_id").between(low, high)).select("doc_id", "first", "n_tokens", *["ids"] * with_ids, F.col("_metadata.file_name").alias("file"))
+    start = (F.col("file_base") + F.col("first")).alias("start")
+    return rows.join(bases, "file").select("doc_id", start, F.col("n_tokens").cast("long").alias("n_tokens"), *[F.col("ids").cast("array<long>").alias("ids")] * with_ids)
+
+
 def read_digests(manifest: DataFrame, out: str) -> DataFrame:
     """Per document of the files: doc_id, start, n_tokens, ids_crc32 of its ids as little-endian unsigned 32-bit integers."""
     return _spread(manifest).mapInArrow(_digests(out), "doc_id long, start long, n_tokens long, ids_crc32 long")

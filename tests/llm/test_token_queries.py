@@ -43,7 +43,7 @@ def test_files_round_trip(spark, encoding, monkeypatch):
     out = shared.fresh_path(spark, "t")
     manifest = token_files.write_tokens(frame(spark), vocabulary("word_bpe_49k.json"), out, encoding=encoding)
     want, start = [], 0
-    for i, t in sorted(TEXTS, key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or "")):
+    for i, t in sorted(TEXTS, key=lambda x: (x[0] is not None, x[0] or 0)):
         ids = [*wanted("word_bpe_49k.json", t), 1]
         want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), ids))
         start += len(ids)
@@ -59,3 +59,64 @@ def test_files_empty(spark):
     out = shared.fresh_path(spark, "t")
     manifest = token_files.write_tokens(frame(spark, []), vocabulary("word_bpe_49k.json"), out)
     assert token_files.read_digests(manifest, out).collect() == []
+    assert token_files.read_range(manifest, out, 0, 9).collect() == []
+
+
+def _scanned(df):
+    """Rows that the scan of a plan has given, after it ran."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    todo, out = [plan], 0
+    while todo:
+        node = todo.pop()
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            todo.append(node.executedPlan())
+            continue
+        if node.nodeName().startswith("ResultQueryStage"):
+            todo.append(node.plan())
+            continue
+        if "Scan parquet" in node.nodeName():
+            out += node.metrics().apply("numOutputRows").value()
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return out
+
+
+@pytest.mark.parametrize("encoding", ["dictionary", "delta"])
+def test_selective_reads(spark, encoding, monkeypatch):
+    """A range of ids reads some groups and some pages of several files; encodings and indexes stand in the footer."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(token_files, "GROUP_TOKENS", 20_000)
+    monkeypatch.setattr(token_files, "PAGE_DOCS", 64)
+    out = shared.fresh_path(spark, "t")
+    rows = [(i, f"some words of document {i} " * 6) for i in range(6000)]
+    manifest = token_files.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), vocabulary("word_bpe_49k.json"), out, encoding=encoding)
+    assert manifest.select("path").distinct().count() > 1 and manifest.count() > 2 * manifest.select("path").distinct().count()
+    whole = {r.doc_id: tuple(r) for r in token_files.read_tokens(manifest, out).collect()}
+    part = token_files.read_range(manifest, out, 3010, 3019)
+    assert sorted(tuple(r) for r in part.collect()) == [whole[i] for i in range(3010, 3020)]
+    most = max(r.n_docs for r in manifest.collect())
+    scanned = _scanned(token_files.read_range(manifest, out, 3010, 3019))
+    assert 10 <= scanned < most / 2 < len(rows)  # less than a group: pages were chosen
+    assert token_files.read_range(manifest, out, -5, -1).count() == 0
+    slim = token_files.read_range(manifest, out, 3010, 3019, with_ids=False)
+    assert "ids" not in slim._jdf.queryExecution().executedPlan().toString() and slim.count() == 10
+    for path in glob.glob(out.removeprefix("file://") + "/*.parquet"):
+        group = pq.ParquetFile(path).metadata.row_group(0)
+        columns = {group.column(i).path_in_schema: group.column(i) for i in range(group.num_columns)}
+        assert all(c.has_offset_index for c in columns.values()) and columns["doc_id"].has_column_index
+        assert "DELTA_BINARY_PACKED" in columns["doc_id"].encodings
+        assert ("RLE_DICTIONARY" if encoding == "dictionary" else "DELTA_BINARY_PACKED") in columns["ids.list.element"].encodings
+
+
+def test_many_rows_without_id_are_divided(spark):
+    out = shared.fresh_path(spark, "t")
+    rows = [(None, f"text number {i}") for i in range(3000)] + [(7, f"other {i}") for i in range(1000)]
+    manifest = token_files.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), vocabulary("word_bpe_49k.json"), out)
+    docs = [r.n for r in manifest.groupBy("part").agg({"n_docs": "sum"}).withColumnRenamed("sum(n_docs)", "n").collect()]
+    assert len(docs) == 4 and max(docs) < 2000
+    got = sorted((r.start, r.n_tokens) for r in token_files.read_digests(manifest, out).collect())
+    assert len(got) == 4000 and all(a + n == b for (a, n), (b, _) in zip(got, got[1:]))
