@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 #: What stands around a turn; ``{role}`` is replaced.
 BEFORE, AFTER = "<|{role}|>\n", "<|end|>\n"
 SPOKEN = "assistant"
+#: Turns whose lengths are added up together.
+CHUNK = 256
 
 
 def _header(role: Column) -> Column:
@@ -33,17 +35,33 @@ def render(turns: Column) -> Column:
     return F.array_join(F.transform(turns, lambda t: F.concat(_header(t["role"]), t["text"], F.lit(AFTER))), "")
 
 
-def mask(turns: Column) -> Column:
-    """Spans [start, end) in render(turns) of what the assistant says, as array<struct<start, end>>."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
+def _sums(lengths: Column) -> Column:
+    """Of each length, the sum of those before it."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("sums"))
+    step = lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["sums"], F.array(acc["at"])).alias("sums"))
+    return F.aggregate(lengths, start, step, lambda acc: acc["sums"])
 
-    def step(acc: Column, t: Column) -> Column:
-        begin = acc["at"] + F.char_length(_header(t["role"]))
-        end = begin + F.char_length(t["text"])
-        span = F.array(F.struct(begin.alias("start"), end.alias("end")))
-        return F.struct((end + len(AFTER)).alias("at"), F.when(t["role"] == SPOKEN, F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
-    return F.aggregate(turns, start, step, lambda acc: acc["spans"])
+def mask(turns: Column) -> Column:
+    """Spans [start, end) in render(turns) of what the assistant says, as array<struct<start, end>>.
+
+    Lengths are added up within chunks and over chunks, so a conversation of
+    very many turns doesn't copy a growing array for each of them.
+    """
+    heads = F.transform(turns, lambda t: F.char_length(_header(t["role"])))
+    lengths = F.transform(turns, lambda t: F.char_length(_header(t["role"])) + F.char_length(t["text"]) + len(AFTER))
+    n = F.size(turns)
+    at = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / CHUNK).cast("int"))).otherwise(F.array().cast("array<int>"))
+
+    def spans(chunks: Column) -> Column:
+        bases = _sums(F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x)))
+        starts = F.flatten(F.zip_with(chunks, bases, lambda c, base: F.transform(_sums(c), lambda x: x + base)))
+        begins = F.zip_with(starts, heads, lambda x, h: x + h)
+        whole = F.zip_with(turns, begins, lambda t, x: F.struct(t["role"].alias("role"), x.alias("start"), (x + F.char_length(t["text"])).alias("end")))
+        return F.transform(F.filter(whole, lambda s: s["role"] == SPOKEN), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+
+    # Through a one-element array the chunks are made once, not for each use.
+    return F.flatten(F.transform(F.array(F.transform(at, lambda i: F.slice(lengths, i * CHUNK + 1, CHUNK))), spans))
 
 
 def common_turns(a: Column, b: Column) -> Column:

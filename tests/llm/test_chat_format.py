@@ -36,3 +36,17 @@ def test_pairs_from_conversations(spark):
     assert got[2].rejected is None and got[4].rejected is None and got[5].rejected is None
     assert c.format_preferences(c.swapped_replies(df.where("false"))).collect() == []
     assert "Python" not in made._jdf.queryExecution().toString()
+
+
+def test_very_many_turns(spark):
+    turns = [(A if i % 2 else U, "x" * (i % 7)) for i in range(20_001)]
+    r = c.format_preferences(pairs(spark, [(1, turns, [(U, "other")])])).first()
+    assert r.n_common == 0 and len(r.chosen_mask) == 10_000
+    assert all(r.chosen[s.start : s.end] == "x" * ((2 * i + 1) % 7) and r.chosen[: s.start].endswith("<|assistant|>\n") for i, s in list(enumerate(r.chosen_mask))[::37])
+
+
+def test_no_turns_and_early_divergence(spark):
+    rows = [(1, [], [(A, "only")]), (2, [(U, "a"), (A, "b"), (U, "c"), (A, "d")], [(U, "a"), (A, "B"), (U, "c"), (A, "d")])]
+    got = {r.pair_id: r for r in c.format_preferences(pairs(spark, rows)).collect()}
+    assert (got[1].n_common, got[1].chosen, got[1].chosen_mask) == (0, "", []) and len(got[1].rejected_mask) == 1
+    assert got[2].n_common == 1 and [got[2].rejected[s.start : s.end] for s in got[2].rejected_mask] == ["B", "d"]
