@@ -19,6 +19,7 @@ documents. Other columns of the input are ignored. An empty table gives no rows.
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -31,8 +32,10 @@ from pyspark.sql import functions as F
 from quillon.llm.shared import materialize
 from quillon.llm.tokens import encoder, vocabulary
 
-#: Relative distance from the optimum at which no more patterns are sought.
+#: Relative distance from the optimum at which no more patterns are sought: the last 0.03 % of sequences would take most of the columns.
 GAP = 3e-4
+#: Columns after which the search ends with the plan it has; plans for drawn lengths end by the gap after a few hundred.
+ROUNDS = 5000
 #: Pieces under this part of a sequence are counted by their exact length.
 SHORT = 16
 
@@ -66,8 +69,8 @@ def best_pattern(sizes: np.ndarray, values: np.ndarray, room: int) -> tuple[floa
     return float(best[room]), taken
 
 
-def cutting_patterns(sizes: np.ndarray, demand: np.ndarray, room: int, rounds: int = 5000) -> list[tuple[np.ndarray, int]]:
-    """Patterns and how often each is cut, so that every item is used exactly once. Ends early, at a valid if longer plan, after ``rounds`` columns."""
+def cutting_patterns(sizes: np.ndarray, demand: np.ndarray, room: int, rounds: int = ROUNDS) -> list[tuple[np.ndarray, int]]:
+    """Patterns and how often each is cut, so that every item is used exactly once. After ``rounds`` columns it ends with the plan it has, which is valid, and warns how far that may be from the best."""
     m = len(sizes)
     if not m:
         return []
@@ -90,6 +93,8 @@ def cutting_patterns(sizes: np.ndarray, demand: np.ndarray, room: int, rounds: i
         inverse[row] = pivot
         basis[:, row] = column
         amounts = np.maximum(inverse @ demand, 0)
+    else:
+        warnings.warn(f"the plan may be {best_pattern(sizes, inverse.sum(axis=0), room)[0] - 1:.2%} longer than the best after {rounds} columns", stacklevel=2)
     times = np.floor(amounts + 1e-9).astype("i8")
     while (over := (basis @ times > demand)).any():  # never more than there is, whatever the rounding
         times[int(np.argmax((basis[over].sum(axis=0) > 0) & (times > 0)))] -= 1
@@ -123,11 +128,11 @@ def first_fit(sizes: np.ndarray, left: np.ndarray, room: int) -> list[tuple[np.n
     return out
 
 
-def sequence_plan(sizes: np.ndarray, demand: np.ndarray, length: int, unit: int) -> list[tuple[np.ndarray, int]]:
+def sequence_plan(sizes: np.ndarray, demand: np.ndarray, length: int, unit: int, rounds: int = ROUNDS) -> list[tuple[np.ndarray, int]]:
     """Patterns over bins given in tokens: those of the longer pieces, filled up with short ones, and those of the short ones left."""
     long = sizes >= length // SHORT
     short, left, out = sizes[~long], demand[~long].astype("i8"), []
-    for pattern, times in cutting_patterns(sizes[long] // unit, demand[long], length // unit):
+    for pattern, times in cutting_patterns(sizes[long] // unit, demand[long], length // unit, rounds):
         room = length - int((pattern * sizes[long]).sum())
         while times:
             add, free = np.zeros(len(short), "i8"), room
@@ -140,7 +145,7 @@ def sequence_plan(sizes: np.ndarray, demand: np.ndarray, length: int, unit: int)
             out.append((whole, n))
             left, times = left - n * add, times - n
     some = np.flatnonzero(~long)[left > 0]
-    for pattern, times in cutting_patterns(sizes[some], left[left > 0].astype(float), length):
+    for pattern, times in cutting_patterns(sizes[some], left[left > 0].astype(float), length, rounds):
         whole = np.zeros(len(sizes), "i8")
         whole[some] = pattern
         out.append((whole, times))
@@ -227,7 +232,7 @@ def _placed(before: dict[tuple[int, int], int], places: dict[int, tuple[np.ndarr
     return run
 
 
-def pack(docs: DataFrame, path: str, length: int = 2048, unit: int = 8, end_id: int = 1, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, path: str, length: int = 2048, unit: int = 8, end_id: int = 1, with_ids: bool = False, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids (little-endian unsigned 32-bit) if asked for."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -245,7 +250,7 @@ def pack(docs: DataFrame, path: str, length: int = 2048, unit: int = 8, end_id:
         before[part, b] = total[b]
         total[b] += n
     sizes = np.array(sorted(total), "i8")
-    places = assignment(sizes, sequence_plan(sizes, np.array([total[int(s)] for s in sizes], float), length, unit))
+    places = assignment(sizes, sequence_plan(sizes, np.array([total[int(s)] for s in sizes], float), length, unit, rounds))
     kept = PIECES.replace(", bin int", "") + ", ids binary" * with_ids
     placed = ranked.mapInArrow(_placed(before, places), kept + ", sequence_id long, slot long")
     earlier = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 from tokenizers import Tokenizer
 
 from quillon.llm import packing as p
@@ -85,3 +86,20 @@ def test_plan_of_short_and_long_pieces():
         plan = p.sequence_plan(sizes, demand.astype(float), 2048, 8)
         assert (sum(a * t for a, t in plan) == demand).all() and all((a * sizes).sum() <= 2048 for a, _ in plan)
         assert lengths.sum() / 2048 / sum(t for _, t in plan) > 0.98
+
+
+def test_a_program_cut_short_is_valid_and_says_so():
+    rng = np.random.default_rng(5)
+    sizes, demand = np.arange(30, 400, 7), rng.integers(1, 5000, 53).astype(float)
+    with pytest.warns(UserWarning, match="longer than the best after 3 columns"):
+        plan = p.cutting_patterns(sizes, demand, 1000, rounds=3)
+    assert (sum(n * pattern for pattern, n in plan) == demand).all() and all(pattern @ sizes <= 1000 for pattern, _ in plan)
+    whole = p.cutting_patterns(sizes, demand, 1000)
+    assert sum(n for _, n in whole) <= sum(n for _, n in plan) and (sum(n * pattern for pattern, n in whole) == demand).all()
+
+
+def test_ties_and_equal_lengths(spark):
+    rows = [(i, "same words in all") for i in range(500)]
+    got = p.pack(spark.createDataFrame(rows, "doc_id long, text string"), PATH, length=256).collect()
+    assert check(rows, got, 256) > 0.9
+    assert sorted(map(tuple, got)) == sorted(map(tuple, p.pack(spark.createDataFrame(rows[::-1], "doc_id long, text string").repartition(3), PATH, length=256).collect()))
