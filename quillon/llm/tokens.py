@@ -93,7 +93,7 @@ class Encoder:
     def _mode(self, spec: dict) -> str:
         """``byte``: a blank leads the next pre-token; ``word``: white space is dropped; ``whole``: neither is known to hold."""
         pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
-        if model["type"] != "BPE" or model.get("dropout") or model.get("unk_token") or any(
+        if model["type"] != "BPE" or model.get("dropout") or model.get("unk_token") or model.get("ignore_merges") or model.get("continuing_subword_prefix") or any(
             t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized") or re.search(r"\s", t["content"])
             for t in spec.get("added_tokens") or []
         ):
@@ -119,6 +119,8 @@ class Encoder:
         ids, merges = spec["model"]["vocab"], spec["model"]["merges"]
         special = {t["content"] for t in spec.get("added_tokens") or []}
         pairs = [m if isinstance(m, list) else m.split(" ") for m in merges]
+        if spec["model"].get("end_of_word_suffix"):
+            return None
         if any(ids.get(a + b) != 256 + i for i, (a, b) in enumerate(pairs)) or len(set(ids) - special) != 256 + len(pairs):
             return None
         back = {c: b for b, c in self.letters.items()}

@@ -36,3 +36,12 @@ def test_none_empty_and_long(enc):
     assert enc.ids(None) == enc.ids("") == b""
     text = "x" * 5000 + " the and" * 3000
     assert list(np.frombuffer(enc.ids(text), "<u4")) == library(enc, text)
+
+
+def test_every_vocabulary_entry(enc):
+    """Each entry alone and between words; merges by ranks and by the library could differ where an entry can't be built from its parts."""
+    back = {c: b for b, c in enc.letters.items()}
+    entries = [t.removesuffix("</w>") for t in enc.library.get_vocab()]
+    texts = [t for e in entries for w in [bytes(back.get(c, 63) for c in e).decode("utf-8", "replace")] for t in (w, f"so {w} it")]
+    for text, want in zip(texts, enc.library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert enc.ids(text) == np.array(want.ids, "<u4").tobytes(), repr(text)
