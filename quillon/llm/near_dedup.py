@@ -496,3 +496,29 @@ def groups(docs: DataFrame, words: int = 5, similarity: int = 80, id_col: str =
 
 def query(spark, sf_dir: str) -> DataFrame:
     return groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=2)
+
+
+#: Links between distinct texts by their shared shingles, then the least id that reaches a document.
+ORACLE = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), lambda w:
+           translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]]
+           ELSE list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) END AS s
+  FROM docs),
+kinds AS (SELECT s, min(doc_id) AS rep FROM sets WHERE len(s) > 0 GROUP BY s),
+tokens AS (SELECT rep, len(s) AS n, unnest(s) AS t FROM kinds),
+links AS (
+  SELECT x.rep AS a, y.rep AS b FROM tokens x JOIN tokens y ON x.t = y.t AND x.rep <> y.rep
+  GROUP BY x.rep, y.rep, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+reach AS (
+  SELECT rep AS a, rep AS b FROM kinds
+  UNION
+  SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT sets.doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles, coalesce(least.component_id, sets.doc_id) AS component_id,
+       coalesce(least.component_id, sets.doc_id) = sets.doc_id AS kept
+FROM sets LEFT JOIN kinds ON sets.s = kinds.s LEFT JOIN least ON kinds.rep = least.a
+"""

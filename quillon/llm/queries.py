@@ -19,6 +19,8 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": quality_rules.oracle(),
+    "op2_near_dedup": near_dedup.ORACLE,
+    "op4_warc": warc.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
     "op8_chat_format": chat_format.ORACLE,
 }
