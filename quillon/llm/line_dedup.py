@@ -76,10 +76,10 @@ def drop_shared_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, i
         .groupBy("__doc")
         .agg(F.collect_list("__hash").alias("__drops"))
     )
-    # Rows without id meet nothing; they are spread by their texts. The row's own columns travel as one, so that no name clashes.
+    # Rows without id meet nothing; they are spread by their texts. The row's other columns travel as one, so that no name clashes.
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     nobody = F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).otherwise(0)
-    rows = docs.select(F.struct(*own).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), nobody.alias("spread"))
+    rows = docs.select(F.struct(*[c for c in own if c != text_col]).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), nobody.alias("spread"))
     out = rows.join(drops, (F.col("id") == F.col("__doc")) & (F.col("spread") == 0), "left").withColumn("new", _without(min_chars)(F.col("text"), F.col("__drops")))
     keep = [F.col("new.text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in own]
     return out.select(*keep, "new.n_lines", "new.n_dropped")
