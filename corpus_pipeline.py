@@ -2,7 +2,22 @@
 
 Each stage works on all that the one before has kept; between stages the
 documents are written as Parquet. All but the last return the columns of
-``documents``.
+``documents``, whatever their names and number; a stage's own columns never
+meet them. An empty table gives no rows in every stage. Rows are judged one by
+one but for near-duplicates, where rows with the same id are one document.
+
+* language: null and empty texts, and texts without letters, are rejected.
+  Repeated rows get the same verdict. Documents without any label to learn from
+  are refused with an error rather than all rejected.
+* lines: null and empty texts stay as they are, as do rows without id.
+  Repeated rows lose the same lines; the largest id keeps a shared line.
+* near_duplicates: null and empty texts and rows without id are like nothing
+  and stay. All rows with the kept id stay; of equally good ones the smallest id does.
+* decontamination: null and empty texts hold no item and stay.
+* packing: null and empty texts are a single end id; rows with the same id are
+  separate documents, in ascending order of id.
+
+Very long texts are read whole in every stage.
 """
 
 from __future__ import annotations
@@ -18,22 +33,32 @@ from quillon.llm.tokens import vocabulary
 ORACLE_SQL = None
 
 
+def _apart(docs: DataFrame) -> DataFrame:
+    """Id and text, and the other columns as one, so that no stage's columns meet them."""
+    return docs.select("doc_id", "text", F.struct(*[c for c in docs.columns if c != "text"]).alias("doc"))
+
+
+def _whole(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select(*[F.col("text") if c == "text" else F.col("doc")[c].alias(c) for c in columns])
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with a margin stay."""
     dictionaries = lang_id.train(docs.where(~lang_id.held_out()))
-    judged = lang_id.identify(docs.withColumn("__doc", F.struct(*docs.columns)), dictionaries)
-    return judged.where("accepted").select("__doc.*")
+    if not dictionaries and not docs.isEmpty():
+        raise ValueError("no document has a label, so no language can be learned")
+    return _whole(lang_id.identify(_apart(docs), dictionaries).where("accepted"), docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many documents share go, but for one of each."""
-    return line_dedup.drop_shared_lines(docs).select(*docs.columns)
+    return _whole(line_dedup.drop_shared_lines(_apart(docs)), docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: five-word shingles, similarity of 0.8 or more."""
-    gone = near_dedup.groups(docs, words=5, similarity=80).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    gone = near_dedup.groups(docs, words=5, similarity=80).where(~F.col("kept")).select(F.col("doc_id").alias("id")).distinct()
+    return docs.alias("docs").join(gone.alias("gone"), F.col("docs.doc_id") == F.col("gone.id"), "left_anti")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
