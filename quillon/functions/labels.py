@@ -53,5 +53,16 @@ def grouped(value: Column, decimals: int = 0) -> Column:
     return F.when(F.abs(value) < 10_000, F.replace(text, F.lit("."), F.lit(""))).otherwise(text)
 
 
+def dollars(value: Column) -> Column:
+    """Two to four decimals."""
+    cents = F.regexp_replace(F.regexp_extract(F.format_number(value, 4), r"\.(\d{4})$", 1), "0{1,2}$", "")
+    whole = F.regexp_replace(grouped(F.round(value, 4), 4), r",\d{4}$", "")
+    return F.concat(whole, F.lit(","), cents, F.lit("\u00a0US$"))
+
+
+def day(at: Column) -> Column:
+    return F.date_format(at, "d/M/yyyy")
+
+
 def euros(value: Column) -> Column:
     return F.concat(grouped(value), F.lit("\u00a0€"))

@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.operators.cuts import cut
+from quillon.operators.mutations import append, with_defaults
+from quillon.schemas import BUSINESS
+
+#: So many undecided records or fewer are folded one after the other in one task.
+FOLDED = 50_000
 
 
 def unseen(records: DataFrame, existing: DataFrame, key: str = "gbp_place_id") -> DataFrame:
     """Records whose key isn't there yet; an empty or null key never matches."""
     own = F.nullif(F.col(f"r.{key}"), F.lit(""))
-    return records.alias("r").join(existing.select(F.col(key).alias("__k")).distinct(), own == F.col("__k"), "left_anti")
+    spread = F.when(own.isNull(), F.xxhash64("r.name")).otherwise(0)
+    return records.alias("r").join(existing.select(F.col(key).alias("__k")).distinct(), (own == F.col("__k")) & (spread == 0), "left_anti")
 
 
 def _keyed(rows: DataFrame) -> DataFrame:
@@ -19,6 +28,20 @@ def _keyed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("__place", F.nullif(F.col("gbp_place_id"), F.lit(""))).withColumn("__who", address)
 
 
+def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    places, names = set(), set()
+    for batch in batches:
+        keep = []
+        for place, who in zip(batch["__place"], batch["__who"], strict=True):
+            new = who not in names and (place is None or place not in places)
+            keep.append(new)
+            if new:
+                names.add(who)
+                if place is not None:
+                    places.add(place)
+        yield batch[keep]
+
+
 def deduplicate(records: DataFrame, existing: DataFrame, order: str = "row") -> DataFrame:
     """Records in order, each kept unless it matches the store or a record kept before it.
 
@@ -27,24 +50,47 @@ def deduplicate(records: DataFrame, existing: DataFrame, order: str = "row") ->
     the result is a fixpoint: of the undecided, those that come first under both
     their keys are kept, what matches them is dropped, and the rest goes on. Each
     round is two pre-aggregated minimums and joins; no group is gathered anywhere.
+    Once few enough are undecided, as in a chain that each round shortens by two,
+    they are folded in their order, which gives the same. Row numbers are taken to
+    be unique; of records with the same number and keys any may be the one kept.
     """
     rows = _keyed(records)
     store = _keyed(existing)
+    # Records without place id meet nothing by it; they are spread by their names.
+    nowhere = F.when(F.col("__place").isNull(), F.xxhash64("__who")).otherwise(0) == 0
 
     def without(left: DataFrame, kept: DataFrame) -> DataFrame:
-        left = left.join(kept.select(F.col("__place").alias("__p")).where("__p is not null").distinct(), F.col("__place") == F.col("__p"), "left_anti")
+        left = left.join(kept.select(F.col("__place").alias("__p")).where("__p is not null").distinct(), (F.col("__place") == F.col("__p")) & nowhere, "left_anti")
         return left.join(kept.select(F.col("__who").alias("__w")).distinct(), F.col("__who") == F.col("__w"), "left_anti")
 
-    def first(left: DataFrame, key: str, name: str) -> DataFrame:
+    def first(left: DataFrame, key: str, name: str, also: Column) -> DataFrame:
         least = left.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(f"__key_{name}")).agg(F.min(order).alias(name))
-        return left.join(least, F.col(key) == F.col(f"__key_{name}"), "left").drop(f"__key_{name}")
+        return left.join(least, (F.col(key) == F.col(f"__key_{name}")) & also, "left").drop(f"__key_{name}")
 
     undecided = cut(without(rows, store))
-    kept = None
-    while not undecided.isEmpty():
-        marked = first(first(undecided, "__place", "__first_place"), "__who", "__first_who")
+    kept = undecided.limit(0)
+    while undecided.limit(FOLDED + 1).count() > FOLDED:
+        marked = first(first(undecided, "__place", "__first_place", nowhere), "__who", "__first_who", F.lit(True))
         won = marked.where(((F.col("__first_place").isNull()) | (F.col("__first_place") == F.col(order))) & (F.col("__first_who") == F.col(order)))
         won = cut(won.drop("__first_place", "__first_who"))
-        kept = won if kept is None else kept.unionByName(won)
+        kept = kept.unionByName(won)
         undecided = cut(without(undecided, won))
-    return (undecided if kept is None else kept).drop("__place", "__who")
+    rest = undecided.coalesce(1).sortWithinPartitions(order).mapInPandas(_fold, undecided.schema)
+    return kept.unionByName(rest).drop("__place", "__who")
+
+
+def import_batch(records: DataFrame, errors: DataFrame, existing: DataFrame, path: str, owner_id: int, job_id: int) -> DataFrame:
+    """Append what is new to the table at ``path`` as rows of the owner and job; one row of counts: inserted, duplicates, error_rows, status, progress_current, progress_total.
+
+    Counts are those of the greedy rule. The new rows are fixed before they are
+    written, so that counts and table agree.
+    """
+    new = cut(deduplicate(records, existing))
+    now = F.current_timestamp()
+    append(with_defaults(new, BUSINESS, id=F.col("row"), owner_id=owner_id, source_job_id=job_id, created_at=now, updated_at=now), path)
+    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    counts = n(new, "inserted").crossJoin(n(records, "progress_total")).crossJoin(n(errors, "error_rows"))
+    return counts.select(
+        "inserted", (F.col("progress_total") - F.col("inserted")).alias("duplicates"), "error_rows", F.lit("COMPLETED").alias("status"),
+        F.col("progress_total").alias("progress_current"), "progress_total",
+    )

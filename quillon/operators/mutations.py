@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.operators.latest import latest
 from quillon.operators.ordered import with_previous
 
 
@@ -35,19 +34,26 @@ def with_defaults(df: DataFrame, schema: T.StructType, **stamps: Column | str |
     return df.select(*out)
 
 
-def touched(df: DataFrame) -> DataFrame:
-    return df.withColumn("updated_at", F.current_timestamp())
-
-
 def updated(rows: DataFrame, key: str, value, patch: dict[str, object]) -> DataFrame:
-    """The rows with some columns of one key replaced."""
+    """The rows with some columns of one key replaced; a row that is hit is stamped where the table has updated_at."""
     hit = F.col(key) == F.lit(value)
+    if "updated_at" in rows.columns and "updated_at" not in patch:
+        rows = rows.withColumn("updated_at", F.when(hit, F.current_timestamp()).otherwise(F.col("updated_at")).cast(rows.schema["updated_at"].dataType))
     return rows.select(*[F.when(hit, F.lit(patch[c])).otherwise(F.col(c)).cast(rows.schema[c].dataType).alias(c) if c in patch else F.col(c) for c in rows.columns])
 
 
 def missing_rows(wanted: DataFrame, existing: DataFrame, key: str) -> DataFrame:
-    """Get or create: those wanted that have no row yet, one for each key; null keys create nothing."""
-    return wanted.where(F.col(key).isNotNull()).dropDuplicates([key]).join(existing.select(key).distinct(), key, "left_anti")
+    """Get or create: those wanted that have no row yet, one for each key, the least of several; null keys create nothing."""
+    rest = [c for c in wanted.columns if c != key]
+    one = wanted.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*rest)).alias("__row")) if rest else wanted.where(F.col(key).isNotNull()).distinct()
+    new = one.join(existing.select(key).distinct(), key, "left_anti")
+    return new.select(*[F.col("__row")[c].alias(c) if c in rest else F.col(c) for c in wanted.columns])
+
+
+def website_rows(businesses: DataFrame, websites: DataFrame) -> DataFrame:
+    """The websites (business_id, url), and one for each business that has an address and no row yet."""
+    wanted = businesses.where(F.nullif(F.col("website_url"), F.lit("")).isNotNull()).select(F.col("id").alias("business_id"), F.col("website_url").alias("url"))
+    return websites.select("business_id", "url").unionByName(missing_rows(wanted, websites, "business_id"))
 
 
 def stage_changes(history: DataFrame, key: str = "lead_id", stage: str = "stage", at: str = "created_at", tie: str = "id") -> DataFrame:
@@ -60,11 +66,6 @@ def last_touched(rows: DataFrame, key: str, at: str, name: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max(at).alias(name))
 
 
-def current(rows: DataFrame, key: str, at: str, tie: str = "id") -> DataFrame:
-    """State of a log of states."""
-    return latest(rows, key, at, tie)
-
-
 def follow_up(lead_id: Column, action: Column, date: Column) -> tuple[Column, Column, Column]:
     """Blank action and date become null, and a note is due only where there is an action."""
     own = F.nullif(F.trim(action), F.lit(""))

@@ -10,6 +10,9 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quillon.operators.ordered import with_previous, with_segment
 
 
 class Limiter:
@@ -33,20 +36,27 @@ class Limiter:
 def limited(calls: DataFrame, limit: int, window_us: int, key: str = "key", at: str = "at_us", tie: str = "id") -> DataFrame:
     """Calls with ``allowed``; ``at`` in microseconds.
 
-    Each key is folded in order of time while its rows stream by, so a key with
-    very many calls needs one task's time but never its memory.
+    No window outlasts a pause as long as itself, so each key is divided at such
+    pauses, which are found over ranges of its calls. The stretches between them
+    are folded in order of time while their rows stream by. A stretch needs one
+    task's time but never its memory; one that never pauses is inherently a
+    sequence, since where a window opens depends on all windows before it.
     """
+    columns = calls.columns
+    calls = with_previous(calls, key, [at, tie], at, "__before")
+    calls = calls.withColumn("__opens", F.col("__before").isNull() | (F.col(at) - F.col("__before") >= window_us)).drop("__before")
+    calls = with_segment(calls, key, [at, tie], "__opens", "__segment").select(*columns, F.xxhash64(F.col(key), F.col("__segment")).alias("__stretch"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in calls.schema.fields) + ", allowed boolean"
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, state = None, Limiter()
         for batch in batches:
             out = []
-            for k, t in zip(batch[key], batch[at], strict=True):
+            for k, t in zip(batch["__stretch"], batch[at], strict=True):
                 if k != now:
                     now, state = k, Limiter()
                 out.append(state.call(int(t), limit, window_us))
             yield batch.assign(allowed=out)
 
     parts = int(calls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return calls.repartition(parts, key).sortWithinPartitions(key, at, tie).mapInPandas(fold, schema)
+    return calls.repartition(parts, "__stretch").sortWithinPartitions("__stretch", at, tie).mapInPandas(fold, schema).drop("__stretch")

@@ -122,11 +122,12 @@ def sub_scores() -> dict[str, Column]:
     }
 
 
-def weighted(values: dict[str, Column], weights: dict[str, float]) -> Column:
-    """Rounded, clamped sum of products in the order of the values; a value without weight counts nothing."""
+def weighted(values: dict[str, Column], weights: dict[str, float | Column]) -> Column:
+    """Rounded, clamped sum of products in the order of the values; a value without weight counts nothing. Weights are numbers or columns."""
     total = F.lit(0.0)
     for name, v in values.items():
-        total = total + F.lit(float(weights.get(name, 0.0))) * v
+        w = weights.get(name, 0.0)
+        total = total + (F.coalesce(w, F.lit(0.0)) if isinstance(w, Column) else F.lit(float(w))) * v
     return F.round(clamp(total)).cast("long")
 
 
@@ -143,7 +144,7 @@ def scoring_input(businesses: DataFrame, scans: DataFrame) -> DataFrame:
     return joined.withColumn("scanned", F.col("scan_id").isNotNull())
 
 
-def score(rows: DataFrame, opportunity: dict[str, float] = OPPORTUNITY_WEIGHTS, lead: dict[str, float] = LEAD_WEIGHTS) -> DataFrame:
+def score(rows: DataFrame, opportunity: dict[str, float | Column] = OPPORTUNITY_WEIGHTS, lead: dict[str, float | Column] = LEAD_WEIGHTS) -> DataFrame:
     """Adds the sub-scores (structs), opportunity_score, buying_intent_score, business_value, lead_score and intent_signals."""
     subs = sub_scores()
     out = rows.select("*", *[c.alias(f"sub_{n}") for n, c in subs.items()])

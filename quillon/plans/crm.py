@@ -75,12 +75,8 @@ def costs(usage: DataFrame) -> DataFrame:
     return usage.groupBy("service", "operation").agg(F.count(F.lit(1)).alias("n"), F.sum("cost_units").alias("cost_units"))
 
 
-# USD per million tokens in and out; the names are a parameter.
-RATES = {"standard": (2.0, 10.0), "large": (5.0, 25.0), "small": (1.0, 5.0)}
-
-
-def call_cost(model: Column, tokens_in: Column, tokens_out: Column, rates: dict[str, tuple[float, float]] = RATES) -> Column:
-    """Estimated cost of a call; an unknown model costs nothing."""
+def call_cost(model: Column, tokens_in: Column, tokens_out: Column, rates: dict[str, tuple[float, float]]) -> Column:
+    """Estimated cost of a call by a table of USD per million tokens in and out; an unknown model costs nothing. Prices change, so there is no default table."""
     rate = lambda i: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for m, r in rates.items() for x in (m, r[i])]), model), F.lit(0.0))
     return tokens_in / F.lit(1e6) * rate(0) + tokens_out / F.lit(1e6) * rate(1)
 
@@ -289,7 +285,7 @@ def cost_unit_economics(spark, d):
   FROM ai_reports r LEFT JOIN (VALUES ('standard', 2::DOUBLE, 10::DOUBLE), ('large', 5::DOUBLE, 25::DOUBLE), ('small', 1::DOUBLE, 5::DOUBLE)) AS m(name, i, o) ON r.model = m.name""", "ai_reports"))
 def cost_per_call(spark, d):
     rows = t.ai_reports(spark, d)
-    return rows.select("id", (F.col("input_tokens") + F.col("output_tokens")).alias("units"), call_cost(F.col("model"), F.col("input_tokens"), F.col("output_tokens")).alias("cost_usd"))
+    return rows.select("id", (F.col("input_tokens") + F.col("output_tokens")).alias("units"), call_cost(F.col("model"), F.col("input_tokens"), F.col("output_tokens"), t.TEST_RATES).alias("cost_usd"))
 
 
 @query(sql("""SELECT p.id, CASE WHEN coalesce(sum(price), 0) = 0 THEN NULL ELSE CAST(sum(price) AS DOUBLE) END AS price_total

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import urls
 from quillon.operators import imports, mutations
+from quillon.operators.cuts import shared_path
 from quillon.operators.latest import latest
 from quillon.operators.rate_limit import limited
 from quillon.plans.oracle import sql
 from quillon.plans.registry import query
-from quillon.schemas import ACTIVITY_TYPES, JOB_STATUSES, PROPOSAL_STATUSES, STAGES
+from quillon.schemas import ACTIVITY_TYPES, BUSINESS_SOURCES, DEMO_STATUSES, JOB_STATUSES, JOB_TYPES, PROPOSAL_STATUSES, SCAN_STATUSES, STAGES, USAGE_SERVICES
 from quillon.sources import csv_import, pages
 from quillon.sources import tables as t
 
@@ -94,20 +97,52 @@ def import_anti(spark, d):
     return imports.unseen(_records(spark, d)[0], _existing(spark, d)).select("row", "gbp_place_id")
 
 
-@query()
+#: The sequential rule: a step for each valid row, with the place ids and names kept so far.
+_GREEDY = f"""
+  SELECT v.*, row_number() OVER (ORDER BY row) AS n, lower(name) || '|' || coalesce('=' || address, '') AS who,
+    EXISTS (SELECT 1 FROM {_STORE} s WHERE s.gbp_place_id = v.gbp_place_id OR (lower(s.name) = lower(v.name) AND s.address IS NOT DISTINCT FROM v.address)) AS stored FROM valid v"""
+_STEPS = """
+  SELECT 0::BIGINT AS n, FALSE AS kept, []::VARCHAR[] AS places, []::VARCHAR[] AS whos
+  UNION ALL
+  SELECT g.n, k.kept, CASE WHEN k.kept AND g.gbp_place_id IS NOT NULL THEN list_append(s.places, g.gbp_place_id) ELSE s.places END,
+    CASE WHEN k.kept THEN list_append(s.whos, g.who) ELSE s.whos END
+  FROM steps s JOIN greedy g ON g.n = s.n + 1,
+    LATERAL (SELECT NOT g.stored AND NOT list_contains(s.whos, g.who) AND NOT coalesce(list_contains(s.places, g.gbp_place_id), FALSE) AS kept) k"""
+
+
+def _greedy_sql(body: str) -> str:
+    return sql(body, raw=_RAW, judged=_JUDGED, valid=_VALID, greedy=_GREEDY, steps=_STEPS).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(_greedy_sql("SELECT row, name, address, gbp_place_id FROM greedy JOIN steps USING (n) WHERE kept"))
 def import_dedupe(spark, d):
-    """Greedy: whether a record counts depends on those kept before it; checked against a sequential fold in the tests."""
+    """Greedy: whether a record counts depends on those kept before it."""
     return imports.deduplicate(_records(spark, d)[0], _existing(spark, d)).select("row", "name", "address", "gbp_place_id")
 
 
-@query(_sql(f"""SELECT (SELECT count(*) FROM valid v WHERE NOT EXISTS (SELECT 1 FROM {_STORE} s WHERE s.gbp_place_id = v.gbp_place_id)) AS inserted,
-  (SELECT count(*) FROM valid v WHERE EXISTS (SELECT 1 FROM {_STORE} s WHERE s.gbp_place_id = v.gbp_place_id)) AS duplicates, (SELECT count(*) FROM judged WHERE len(problems) > 0) AS error_rows"""))
+def _import_run(spark: SparkSession, d: str) -> tuple[DataFrame, str]:
+    """From a file that is written here to the rows of a new table."""
+    file, table = shared_path(spark, "import-csv"), shared_path(spark, "businesses")
+    raw = raw_rows(spark, d).orderBy(csv_import.ORDINAL).drop(csv_import.ORDINAL).coalesce(1)
+    raw.write.csv(file, header=True, quote='"', escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    # Limits are those of one upload; this is the bulk of a table.
+    records, errors = csv_import.validated(csv_import.resolved(csv_import.read_csv(spark, file, most_bytes=None)))
+    return imports.import_batch(records, errors, _existing(spark, d), table, owner_id=1, job_id=77), table
+
+
+@query(_greedy_sql("SELECT row AS id, 1::BIGINT AS owner_id, 77::BIGINT AS source_job_id, 'csv_import' AS source, name, city, website_url, rating, review_count, TRUE AS stamped FROM greedy JOIN steps USING (n) WHERE kept"))
+def import_written(spark, d):
+    """What an import has written, read back: file, aliases, validation, greedy rule, stamps."""
+    _, table = _import_run(spark, d)
+    stamped = (F.col("created_at").isNotNull() & (F.col("created_at") == F.col("updated_at"))).alias("stamped")
+    return spark.read.parquet(table).select("id", "owner_id", "source_job_id", "source", "name", "city", "website_url", "rating", "review_count", stamped)
+
+
+@query(_greedy_sql("""SELECT (SELECT count(*) FROM steps WHERE kept) AS inserted, (SELECT count(*) FROM steps WHERE n > 0 AND NOT kept) AS duplicates, (SELECT count(*) FROM judged WHERE len(problems) > 0) AS error_rows,
+  'COMPLETED' AS status, (SELECT count(*) FROM valid) AS progress_current, (SELECT count(*) FROM valid) AS progress_total"""))
 def import_summary(spark, d):
-    """Counts of an import that only looks at place ids in the store."""
-    records, errors = _records(spark, d)
-    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    both = n(records, "n").crossJoin(n(imports.unseen(records, _existing(spark, d)), "inserted")).crossJoin(n(errors, "error_rows"))
-    return both.select("inserted", (F.col("n") - F.col("inserted")).alias("duplicates"), "error_rows")
+    """Counts of that import, and the state of its job."""
+    return _import_run(spark, d)[0]
 
 
 # --- pages ---------------------------------------------------------------------------------------
@@ -117,15 +152,29 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
     return t.base(spark, d, "pages")
 
 
-@query("SELECT page_id, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') AS title FROM pages")
+def _signal(spark: SparkSession, d: str, **names: str) -> DataFrame:
+    s = pages.signals(F.col("html"), F.col("url"))
+    return _pages(spark, d).select("page_id", s.alias("s")).select("page_id", *[F.col(f"s.{n}").alias(name) for name, n in names.items()])
+
+
+def _plain(text: str) -> str:
+    """The characters that references in the pages stand for."""
+    for name, c in (("lt", "'<'"), ("gt", "'>'"), ("quot", "chr(34)"), ("#39", "chr(39)"), ("nbsp", "chr(160)"), ("amp", "'&'")):
+        text = f"replace({text}, '&{name};', {c})"
+    return text
+
+
+_TITLE = f"nullif(trim({_plain("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}), '')"
+
+
+@query(f"SELECT page_id, {_TITLE} AS title, CAST(coalesce(length({_TITLE}), 0) AS INTEGER) AS units FROM pages")
 def html_title(spark, d):
-    return _pages(spark, d).select("page_id", pages.title(F.col("html")).alias("title"))
+    return _signal(spark, d, title="title", units="title_length")
 
 
-@query("SELECT page_id, len(regexp_extract_all(html, '(?i)<h1[\\s>]')) AS h1, len(regexp_extract_all(html, '(?i)<h2[\\s>]')) AS h2, len(regexp_extract_all(html, '(?i)<img[\\s>]')) AS images FROM pages")
+@query("SELECT page_id, CAST(len(regexp_extract_all(html, '(?i)<h1[\\s>]')) AS INTEGER) AS h1, CAST(len(regexp_extract_all(html, '(?i)<h2[\\s>]')) AS INTEGER) AS h2, CAST(len(regexp_extract_all(html, '(?i)<img[\\s>]')) AS INTEGER) AS images FROM pages")
 def html_headings(spark, d):
-    n = lambda tag: pages.element_count(F.col("html"), tag).cast("long")
-    return _pages(spark, d).select("page_id", n("h1").alias("h1"), n("h2").alias("h2"), n("img").alias("images"))
+    return _signal(spark, d, h1="h1_count", h2="h2_count", images="image_count")
 
 
 @query(r"""SELECT page_id, CAST(len(list_filter(h, lambda x: NOT regexp_matches(x, '^(#|mailto:|tel:)') AND (NOT regexp_matches(x, '^[a-z]+:|^//')
@@ -137,12 +186,13 @@ def html_links(spark, d):
     return _pages(spark, d).select("page_id", s.alias("s")).select("page_id", F.col("s.internal_link_count").alias("internal"), F.col("s.external_link_count").alias("external"))
 
 
-@query(r"""SELECT page_id, CASE WHEN b = '' THEN 0 ELSE len(string_split(b, ' ')) END AS words FROM (
-  SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<body[^>]*>(.*)</body>', 1), '(?s)<!--.*?-->', '', 'g'), '<[^>]*>', '', 'g'), '[\s\x{A0}\x{FEFF}]+', ' ', 'g')) AS b FROM pages)""")
+_BARE = r"""regexp_replace(regexp_replace(regexp_extract(html, '(?is)<body[^>]*>(.*)$', 1), '(?s)<!--.*?-->', '', 'g'), '<[^>]*>', '', 'g')"""
+_TEXT = rf"""trim(regexp_replace({_plain(_BARE)}, '[\s\x{{A0}}\x{{FEFF}}]+', ' ', 'g'))"""
+
+
+@query(f"SELECT page_id, CAST(CASE WHEN b = '' THEN 0 ELSE len(string_split(b, ' ')) END AS INTEGER) AS words FROM (SELECT page_id, {_TEXT} AS b FROM pages)")
 def html_words(spark, d):
-    """Words of the visible text by patterns."""
-    text = pages.visible_text(F.col("html"))
-    return _pages(spark, d).select("page_id", F.when(text == "", F.lit(0)).otherwise(F.size(F.split(text, " "))).cast("long").alias("words"))
+    return _signal(spark, d, words="word_count_estimate")
 
 
 @query("""SELECT page_id, contains(html, 'href="tel:') AS phone, contains(html, 'wa.me') OR contains(html, 'api.whatsapp.com') AS whatsapp, regexp_matches(html, '(?i)<form[\\s>]') AS form FROM pages""")
@@ -156,38 +206,71 @@ def html_size(spark, d):
     return _pages(spark, d).select("page_id", F.octet_length("html").alias("html_size_bytes"), pages.https(F.col("url")).alias("https"))
 
 
-@query()
+#: A probe finds nothing if the digest of its address begins so.
+_GONE = ["0", "1", "2", "3", "4"]
+_any = lambda words, text: "(" + " OR ".join(f"contains({text}, '{w}')" for w in words) + ")"
+_probe = lambda path: f"substr(md5(o || '{path}'), 1, 1) NOT IN ({', '.join(repr(x) for x in _GONE)})"
+
+
+@query(rf"""WITH p AS (
+  SELECT *, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS o, regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1) AS h, lower({_TEXT}) AS b, {_TITLE} AS title,
+    list_filter(regexp_extract_all(html, '(?is)<(?:a [^>]*href=|button)[^>]*>(.*?)</(?:a|button)>', 1), lambda x: {_any(pages.CTA_WORDS, "lower(regexp_replace(x, '<[^>]*>', '', 'g'))")}) AS calls FROM pages)
+SELECT page_id, url, 'completed' AS status, NULL::VARCHAR AS error, url LIKE 'https:%' AS https, NULL::INTEGER AS http_status, CAST(strlen(html) AS INTEGER) AS html_size_bytes,
+  {_probe('/robots.txt')} AS robots_txt_present, {_probe('/sitemap.xml')} AS sitemap_present, NULL::INTEGER AS server_response_time_ms, NULL::INTEGER AS lighthouse_performance_score,
+  CAST(len(regexp_extract_all(html, '(?i)<img[\s>]')) AS INTEGER) AS image_count,
+  CAST(len(list_filter(regexp_extract_all(html, '(?i)<img[^>]*>'), lambda x: NOT regexp_matches(x, '(?i) alt="[^"]*\S[^"]*"'))) AS INTEGER) AS images_missing_alt,
+  CAST(len(list_filter(h, lambda x: NOT regexp_matches(x, '^(#|mailto:|tel:)') AND (NOT regexp_matches(x, '^[a-z]+:|^//') OR regexp_extract(x, '^(https?://[^/?#]+)', 1) = o))) AS INTEGER) AS internal_link_count,
+  CAST(len(list_filter(h, lambda x: regexp_matches(x, '^[a-z]+:|^//') AND NOT regexp_matches(x, '^(mailto:|tel:)') AND regexp_extract(x, '^(https?://[^/?#]+)', 1) <> o)) AS INTEGER) AS external_link_count,
+  CAST(CASE WHEN b = '' THEN 0 ELSE len(string_split(b, ' ')) END AS INTEGER) AS word_count_estimate, title, CAST(coalesce(length(title), 0) AS INTEGER) AS title_length,
+  nullif(trim(regexp_extract(html, '(?is)<meta name="description" content="([^"]*)"', 1)), '') AS meta_description,
+  CAST(length(trim(regexp_extract(html, '(?is)<meta name="description" content="([^"]*)"', 1))) AS INTEGER) AS meta_description_length,
+  regexp_matches(html, '(?is)<link rel="canonical" href="[^"]') AS canonical_present, regexp_matches(html, '(?is)<meta name="viewport" content="[^"]') AS has_viewport_meta,
+  contains(html, 'type="application/ld+json"') AS schema_markup_present, CAST(len(regexp_extract_all(html, '(?i)<h1[\s>]')) AS INTEGER) AS h1_count,
+  CAST(len(regexp_extract_all(html, '(?i)<h2[\s>]')) AS INTEGER) AS h2_count, contains(html, 'href="tel:') AS has_phone_link,
+  contains(html, 'wa.me') OR contains(html, 'api.whatsapp.com') AS has_whatsapp_link, regexp_matches(html, '(?i)<form[\s>]') AS has_contact_form,
+  CAST(len(calls) AS INTEGER) AS cta_mentions_count, {_any(pages.TESTIMONIAL_WORDS, 'b')} AS has_testimonials_section,
+  regexp_matches(html, '(?is)<meta name="viewport" content="[^"]') AS has_responsive_meta, '{','.join([*pages.UNAVAILABLE, pages.NOT_CALLED])}' AS unavailable_metrics
+FROM p""")
 def html_full(spark, d):
-    """Every signal of every page, with probes derived from the pages' hosts; checked page by page in the tests."""
+    """Every signal of every page, with probes derived from the pages' hosts."""
     own = _pages(spark, d)
     hosts = own.select(pages.origin(F.col("url")).alias("host")).distinct()
     probes = hosts.select("host", F.explode(F.array(F.lit("/robots.txt"), F.lit("/sitemap.xml"))).alias("path"))
-    probes = probes.withColumn("status", F.when(F.pmod(F.crc32(F.concat("host", "path").cast("binary")), F.lit(3)) == 0, 404).otherwise(200))
+    probes = probes.withColumn("status", F.when(F.substring(F.md5(F.concat("host", "path")), 1, 1).isin(_GONE), 404).otherwise(200))
     return pages.scan(own, probes).withColumn("unavailable_metrics", F.array_join("unavailable_metrics", ","))
 
 
 # --- ownership and checks ------------------------------------------------------------------------
 
 
-def owned(rows: DataFrame, owner: int) -> DataFrame:
-    """Every access to a table goes through its owner."""
-    return rows.where(F.col("owner_id") == owner)
-
-
-def owned_children(rows: DataFrame, businesses: DataFrame, owner: int) -> DataFrame:
-    """Rows of the owner's businesses."""
-    own = owned(businesses, owner).select(F.col("id").alias("__b"))
-    return rows.join(own, F.col("business_id") == F.col("__b"), "left_semi")
-
-
 @query(sql("SELECT id, name FROM businesses WHERE owner_id = 1", "businesses"))
 def owner_scoped(spark, d):
-    return owned(t.businesses(spark, d), 1).select("id", "name")
+    return t.businesses(spark, d, owner=1).select("id", "name")
 
 
 @query(sql("SELECT * FROM scores s WHERE EXISTS (SELECT 1 FROM businesses b WHERE b.id = s.business_id AND owner_id = 1)", "scores", "businesses"))
 def child_semi_join(spark, d):
-    return owned_children(t.scores(spark, d), t.businesses(spark, d), 1)
+    return t.scores(spark, d, owner=1)
+
+
+def _owned_query(name: str, where: str, *needs: str):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return getattr(t, name)(spark, d, owner=2).select("id")
+
+    run.__name__ = f"owned_{name}"
+    query(sql(f"SELECT c.id FROM {name} c WHERE {where}", *dict.fromkeys([name, *needs])))(run)
+
+
+_OF_BUSINESS = "EXISTS (SELECT 1 FROM businesses b WHERE b.id = c.business_id AND b.owner_id = 2)"
+for _n in ("websites", "website_scans", "seo_audits", "local_audits", "competitors", "ai_reports", "proposals", "demos", "leads", "api_usage"):
+    _owned_query(_n, _OF_BUSINESS, "businesses")
+_owned_query("lead_activities", f"EXISTS (SELECT 1 FROM leads l JOIN businesses b ON l.business_id = b.id WHERE l.id = c.lead_id AND b.owner_id = 2)", "leads", "businesses")
+_owned_query("jobs", "c.owner_id = 2")
+
+
+def outside(rows: DataFrame, column: str, allowed: list[str], name: str) -> DataFrame:
+    """(source, value, n): values that a closed set lacks and how often they occur; null is in every set."""
+    return rows.where(~F.col(column).isin(allowed)).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("source"), "value", "n")
 
 
 @query(sql("""SELECT 'jobs' AS source, status AS value, count(*) AS n FROM jobs WHERE status NOT IN ('QUEUED', 'RUNNING', 'COMPLETED', 'CANCELLED') GROUP BY 2
@@ -197,9 +280,6 @@ def child_semi_join(spark, d):
 def enum_violations(spark, d):
     """Values outside a closed set and how often; here of sets made narrower than the model's, so that some are."""
 
-    def outside(rows: DataFrame, column: str, allowed: list[str], name: str) -> DataFrame:
-        return rows.where(~F.col(column).isin(allowed)).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("source"), "value", "n")
-
     less = lambda full, *gone: [x for x in full if x not in gone]
     out = outside(t.jobs(spark, d), "status", less(JOB_STATUSES, "FAILED"), "jobs")
     out = out.unionByName(outside(t.leads(spark, d), "stage", [*STAGES[:3], "WON"], "leads"))
@@ -207,6 +287,27 @@ def enum_violations(spark, d):
     return out.unionByName(outside(t.proposals(spark, d), "status", less(PROPOSAL_STATUSES, "sent", "accepted"), "proposals"))
 
 
+def _odd(column, allowed: list[str], key: str):
+    """A value of the set for most rows, one outside it for every eleventh."""
+    n = len(allowed)
+    return F.when(F.col(key) % 11 == 0, F.concat(F.lit("odd_"), (F.col(key) % 2).cast("string"))).otherwise(F.element_at(F.array(*map(F.lit, allowed)), (F.col(key) % n + 1).cast("int"))).alias(column)
+
+
+_ODD = " UNION ALL ".join(
+    f"SELECT '{name}' AS source, 'odd_' || ({key} % 2) AS value, count(*) AS n FROM {table} WHERE {key} % 11 = 0 GROUP BY 2"
+    for name, table, key in (("job_types", "events", "event_id"), ("business_sources", "customer", "c_custkey"), ("scan_statuses", "orders", "o_orderkey"), ("demo_statuses", "orders", "o_orderkey"), ("usage_services", "events", "event_id"))
+)
+
+
+@query(_ODD)
+def enum_violations_whole(spark, d):
+    """The other five sets as they are, of columns with some values outside them."""
+    sets = [("job_types", "events", "event_id", JOB_TYPES), ("business_sources", "customer", "c_custkey", BUSINESS_SOURCES), ("scan_statuses", "orders", "o_orderkey", SCAN_STATUSES),
+            ("demo_statuses", "orders", "o_orderkey", DEMO_STATUSES), ("usage_services", "events", "event_id", USAGE_SERVICES)]
+    parts = [outside(t.base(spark, d, table).select(_odd("v", allowed, key)), "v", allowed, name) for name, table, key, allowed in sets]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 @query(sql("SELECT owner_id, gbp_place_id, min(id) AS id FROM (SELECT id, owner_id, 'place-' || (id % 50) AS gbp_place_id FROM businesses WHERE gbp_place_id IS NOT NULL) GROUP BY 1, 2", "businesses"))
 def partial_unique(spark, d):
     """One row for each owner and place id, where there is one; the smallest id stays."""
@@ -274,9 +375,16 @@ def job_status_counts(spark, d):
     return latest(t.jobs(spark, d), "job_id", "created_at").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT user_id AS key, event_id AS id, epoch_us(ts) AS at_us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+s AS (
+  SELECT key, id, at_us, n, 1 AS calls, at_us + 86400000000 AS ends, TRUE AS allowed FROM c WHERE n = 1
+  UNION ALL
+  SELECT c.key, c.id, c.at_us, c.n, CASE WHEN c.at_us >= s.ends THEN 1 WHEN s.calls >= 3 THEN s.calls ELSE s.calls + 1 END,
+    CASE WHEN c.at_us >= s.ends THEN c.at_us + 86400000000 ELSE s.ends END, c.at_us >= s.ends OR s.calls < 3
+  FROM s JOIN c ON c.key = s.key AND c.n = s.n + 1)
+SELECT key, id, at_us, allowed FROM s""")
 def rate_limited(spark, d):
-    """Three calls a day for each user; windows open at the first call. Checked against a sequential fold in the tests."""
+    """Three calls a day for each user; windows open at the first call."""
     calls = t.base(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"))
     return limited(calls, 3, 86_400_000_000)
 

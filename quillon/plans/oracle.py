@@ -45,7 +45,7 @@ CTES: dict[str, str] = {
   SELECT event_id AS id, ['anthropic', 'google_places', 'google_pagespeed'][user_id % 3 + 1] AS service, event_type AS operation, user_id AS business_id,
     CAST(floor(value) AS INTEGER) AS units, CAST(floor(value * 100) AS BIGINT) AS cost_units, ts AS created_at FROM events""",
     "jobs": """
-  SELECT event_id AS id, event_id // 4 AS job_id, CASE event_type WHEN 'signup' THEN 'QUEUED' WHEN 'click' THEN 'RUNNING' WHEN 'view' THEN 'RUNNING'
+  SELECT event_id AS id, event_id // 4 AS job_id, event_id // 4 % 3 AS owner_id, CASE event_type WHEN 'signup' THEN 'QUEUED' WHEN 'click' THEN 'RUNNING' WHEN 'view' THEN 'RUNNING'
     WHEN 'purchase' THEN 'COMPLETED' WHEN 'error' THEN 'FAILED' END AS status, CAST(event_id % 7 AS INTEGER) AS progress_current,
     CAST(event_id % 5 AS INTEGER) AS progress_total, ts AS created_at FROM events""",
     "proposals": """
@@ -59,6 +59,11 @@ CTES: dict[str, str] = {
     "ai_reports": """
   SELECT o_orderkey AS id, o_custkey AS business_id, ['standard', 'large', 'small', 'unlisted'][o_orderkey % 4 + 1] AS model,
     o_orderkey * 13 % 5000 AS input_tokens, o_orderkey * 7 % 3000 AS output_tokens, o_orderdate AS generated_at FROM orders WHERE o_orderkey % 5 = 0""",
+    "websites": """
+  SELECT c_custkey AS id, c_custkey AS business_id, 'https://b' || c_custkey || '.example' AS url FROM customer WHERE c_custkey % 5 <> 0 AND c_custkey % 4 = 1""",
+    "seo_audits": "\n  SELECT o_orderkey AS id, o_custkey AS business_id FROM orders WHERE o_orderkey % 6 = 0 AND o_custkey % 9 <> 0",
+    "local_audits": "\n  SELECT c_custkey AS id, c_custkey AS business_id FROM customer WHERE c_custkey % 3 <> 0",
+    "competitors": "\n  SELECT s_suppkey AS id, s_suppkey * 2 + 1 AS business_id, s_name AS competitor_name FROM supplier",
     "stages": f"\n  SELECT * FROM (VALUES {_STAGE_ROWS}) AS s(ord, stage, label)",
     "prices": "\n  SELECT * FROM (VALUES " + ", ".join(f"('{k}', {v})" for k, v in TEST_PRICING.items()) + ") AS p(service, price)",
 }

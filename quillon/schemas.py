@@ -39,7 +39,30 @@ RECORD = T.StructType([
     T.StructField("rating", T.DoubleType()), T.StructField("review_count", T.IntegerType()),
     T.StructField("latitude", T.DoubleType()), T.StructField("longitude", T.DoubleType()), T.StructField("source", T.StringType()),
 ])
-IMPORT_ERROR = T.StructType([T.StructField("row", T.LongType()), T.StructField("message", T.StringType())])
+
+#: A stored business: an imported record with its owner, the job it came by, and stamps.
+BUSINESS = T.StructType([
+    T.StructField("id", T.LongType()), T.StructField("owner_id", T.LongType()), *RECORD.fields, T.StructField("source_job_id", T.LongType()),
+    T.StructField("last_analyzed_at", T.TimestampType()), T.StructField("created_at", T.TimestampType()), T.StructField("updated_at", T.TimestampType()),
+])
+
+# Fixed value: what an agency is called until it says so.
+AGENCY_NAME = "My Agency"
+
+_weights = lambda names: T.StructType([T.StructField(n, T.DoubleType()) for n in names])
+SETTINGS = T.StructType([
+    T.StructField("owner_id", T.LongType()), T.StructField("agency_name", T.StringType()), T.StructField("agency_identity", T.MapType(T.StringType(), T.StringType())),
+    *(T.StructField(n, T.ArrayType(T.StringType())) for n in ("sectors", "countries", "cities", "services")), T.StructField("pricing", T.MapType(T.StringType(), T.DoubleType())),
+    T.StructField("scoring_weights", T.StructType([T.StructField("opportunity", _weights(OPPORTUNITY_WEIGHTS)), T.StructField("lead_score", _weights(LEAD_WEIGHTS))])),
+    T.StructField("ai_model", T.StringType()), T.StructField("created_at", T.TimestampType()), T.StructField("updated_at", T.TimestampType()),
+])
+
+# Fields of what language models return, texts (t) and lists of texts (l). All are required.
+_output = lambda **kinds: T.StructType([T.StructField(n, T.StringType() if k == "t" else T.ArrayType(T.StringType())) for n, k in kinds.items()])
+AUDIT_OUTPUT = _output(summary="t", problems="l", opportunities="l", commercial_impact="t", recommendations="l", priorities="l")
+PROPOSAL_OUTPUT = _output(title="t", services="l", timeline="t", maintenance_terms="t", next_steps="t", content="t")
+OUTREACH_OUTPUT = _output(subject="t", body="t")
+DEMO_OUTPUT = _output(headline="t", subheadline="t", about="t", cta_text="t")
 
 PAGE_SIGNALS = T.StructType([
     T.StructField("image_count", T.IntegerType()), T.StructField("images_missing_alt", T.IntegerType()),

@@ -24,6 +24,13 @@ from quillon.schemas import PAGE_SIGNALS
 CTA_WORDS = ["reserva", "reservar", "book", "contacta", "contactar", "llama", "call", "pide cita", "comprar", "presupuesto"]
 TESTIMONIAL_WORDS = ["testimonio", "opinion", "opinión", "reseña", "review", "lo que dicen"]
 UNAVAILABLE = ["mobile_rendering_screenshot", "full_site_broken_link_crawl", "field_core_web_vitals"]
+NOT_CALLED, CALL_FAILED = "lighthouse_performance_score", "pagespeed_lighthouse_score"
+
+#: Tasks that the pages of one host are dealt over at least.
+SALTS = 16
+
+#: Elements that may stand before the body.
+HEAD = frozenset(("html", "head", "title", "meta", "link", "style", "script", "base", "noscript", "template"))
 
 WHITE = re.compile(r"[\s\xa0\ufeff]+")
 
@@ -39,18 +46,23 @@ class _Signals(HTMLParser):
         self.meta = self.canonical = self.viewport = None
         self.title: list[str] | None = None
         self.in_title = self.in_body = False
-        self.saw_body = False
+        self.head: str | None = None
         self.body: list[str] = []
         self.open: list[tuple[str, list[str]]] = []
         self.calls: list[str] = []
 
     def handle_starttag(self, tag, attrs):
+        if self.in_title:  # within a title markup is text
+            self.title.append(self.get_starttag_text() or "")
+            return
         a: dict[str, str] = {}
         for k, v in attrs:  # the first of repeated attributes counts
             a.setdefault(k, v or "")
-        if tag == "body":
-            self.in_body = self.saw_body = True
-        elif tag == "img":
+        if not self.in_body and tag not in HEAD:
+            self.in_body = True
+        elif not self.in_body and tag in ("title", "style", "script"):
+            self.head = tag
+        if tag == "img":
             self.n["img"] += 1
             self.n["no_alt"] += not WHITE.sub("", a.get("alt", ""))
         elif tag in ("h1", "h2"):
@@ -84,7 +96,16 @@ class _Signals(HTMLParser):
             return
         self.n["internal" if origin is not None and origin == self.origin else "external"] += 1
 
+    def handle_comment(self, data):
+        if self.in_title:
+            self.title.append(f"<!--{data}-->")
+
     def handle_endtag(self, tag):
+        if self.in_title and tag != "title":
+            self.title.append(f"</{tag}>")
+            return
+        if tag == self.head:
+            self.head = None
         if tag == "title":
             self.in_title = False
         elif tag in ("a", "button"):
@@ -94,6 +115,8 @@ class _Signals(HTMLParser):
                     break
 
     def handle_data(self, data):
+        # Text outside the elements of the head begins the body, also where no tag says so.
+        self.in_body = self.in_body or (self.head is None and bool(data.strip(" \t\n\r\f")))
         if self.in_title:
             self.title.append(data)
         if self.in_body:
@@ -134,8 +157,6 @@ def _origin(url: str) -> str | None:
 
 def signals_of(html: str | None, url: str | None) -> dict:
     p = _Signals(url or "")
-    # A document without a body element is all body, as a browser would make it.
-    p.in_body = "<body" not in (html or "").lower()
     p.feed(html or "")
     p.close()
     return p.row()
@@ -159,42 +180,30 @@ def https(url: Column) -> Column:
     return F.lower(url).startswith("https:")
 
 
-def title(html: Column) -> Column:
-    """By pattern alone; agrees with the tokenizer on well-formed pages."""
-    return F.nullif(F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)), F.lit(""))
-
-
-def element_count(html: Column, tag: str) -> Column:
-    return F.regexp_count(html, F.lit(rf"(?i)<{tag}[\s>]"))
-
-
-def visible_text(html: Column) -> Column:
-    """Text of the body with tags and comments taken out and white space folded."""
-    body = F.regexp_extract(html, r"(?is)<body[^>]*>(.*)</body>", 1)
-    bare = F.regexp_replace(F.regexp_replace(body, r"(?s)<!--.*?-->", ""), r"<[^>]*>", "")
-    return F.trim(F.regexp_replace(bare, r"[\s\x{A0}\x{FEFF}]+", " "))
-
-
 def scan(pages: DataFrame, probes: DataFrame | None = None) -> DataFrame:
     """A scan for each page: status, signals as columns, and what could not be measured.
 
     ``pages`` has page_id, url, html; optionally http_status, server_response_time_ms,
-    lighthouse_performance_score and error. A page with an error, or without HTML,
-    is a failed scan without signals.
+    lighthouse_performance_score, page_speed_failed and error. A page with an error,
+    or without HTML, is a failed scan without signals. A host with very many pages
+    is dealt over several tasks, each with the host's probes.
     """
     cols = set(pages.columns)
     optional = lambda c, kind: (F.col(c) if c in cols else F.lit(None)).cast(kind).alias(c)
-    rows = pages.select("page_id", "url", "html", optional("http_status", "int"), optional("server_response_time_ms", "int"), optional("lighthouse_performance_score", "int"), optional("error", "string"))
+    rows = pages.select("page_id", "url", "html", optional("http_status", "int"), optional("server_response_time_ms", "int"), optional("lighthouse_performance_score", "int"), optional("page_speed_failed", "boolean"), optional("error", "string"))
     failed = F.col("error").isNotNull() | F.col("html").isNull()
     rows = rows.withColumn("status", F.when(failed, "failed").otherwise("completed")).withColumn("s", signals(F.col("html"), F.col("url")))
     rows = rows.withColumn("robots_txt_present", F.lit(False)).withColumn("sitemap_present", F.lit(False))
     if probes is not None:
         ok = probes.where(F.col("status").between(200, 399))
-        for path, name in (("/robots.txt", "robots_txt_present"), ("/sitemap.xml", "sitemap_present")):
-            own = ok.where(F.col("path") == path).select(F.col("host").alias("__host")).distinct().withColumn("__hit", F.lit(True))
-            rows = rows.join(own, origin(F.col("url")) == F.col("__host"), "left").withColumn(name, F.coalesce("__hit", F.lit(False))).drop("__host", "__hit")
+        found = ok.groupBy(F.col("host").alias("__host")).agg(F.bool_or(F.col("path") == "/robots.txt").alias("__robots"), F.bool_or(F.col("path") == "/sitemap.xml").alias("__sitemap"))
+        found = found.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.join(found, (origin(F.col("url")) == F.col("__host")) & (F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)) == F.col("__salt")), "left")
+        rows = rows.withColumn("robots_txt_present", F.coalesce("__robots", F.lit(False))).withColumn("sitemap_present", F.coalesce("__sitemap", F.lit(False)))
     done = lambda c: F.when(F.col("status") == "completed", c)
-    missing = F.array_compact(F.array(*map(F.lit, UNAVAILABLE), F.when((F.col("status") == "completed") & F.col("lighthouse_performance_score").isNull(), F.lit("lighthouse_performance_score"))))
+    unscored = (F.col("status") == "completed") & F.col("lighthouse_performance_score").isNull()
+    tried = F.coalesce("page_speed_failed", F.lit(False))
+    missing = F.array_compact(F.array(*map(F.lit, UNAVAILABLE), F.when(unscored & tried, F.lit(CALL_FAILED)).when(unscored, F.lit(NOT_CALLED))))
     return rows.select(
         "page_id", "url", "status", F.coalesce("error", F.when(F.col("html").isNull(), "No se pudo acceder a la web")).alias("error"),
         done(https(F.col("url"))).alias("https"), done(F.col("http_status")).alias("http_status"), done(F.octet_length("html")).alias("html_size_bytes"),

@@ -4,24 +4,55 @@ The model's own tables don't exist in the test data; each is derived from the
 base tables by integer arithmetic, so that any SQL engine arrives at the same
 rows. A deployment replaces these functions by readers of its own tables; the
 operators and plans only see DataFrames.
+
+Every function takes an owner. With one it gives the rows of that owner alone,
+by the table's own column, its business, or its lead; without one, for reports
+over all owners, it gives all.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.schemas import STAGES
+from quillon.operators.settings import default_rows
+from quillon.schemas import SETTINGS, STAGES
 
 
 def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+Reader = Callable[..., DataFrame]
+
+
+def owned(by: str) -> Callable[[Reader], Reader]:
+    """Gives a reader an ``owner``: by ``owner_id``, or by a reference to a business or a lead of that owner."""
+
+    def wrap(read: Reader) -> Reader:
+        @functools.wraps(read)
+        def run(spark: SparkSession, sf_dir: str, owner: int | None = None) -> DataFrame:
+            rows = read(spark, sf_dir)
+            if owner is None:
+                return rows
+            if by == "owner_id":
+                return rows.where(F.col("owner_id") == owner)
+            parents = (businesses if by == "business_id" else leads)(spark, sf_dir, owner).select(F.col("id").alias("__parent"))
+            return rows.join(parents, F.col(by) == F.col("__parent"), "left_semi")
+
+        return run
+
+    return wrap
+
+
 def _unless(condition: Column, value: Column) -> Column:
     return F.when(~condition, value)
 
 
+@owned("owner_id")
 def businesses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One per customer, with its nation as city and its region."""
     places = base(spark, sf_dir, "nation").join(base(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -38,6 +69,7 @@ def businesses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@owned("business_id")
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """History of scores, one per order."""
     i = F.col("o_orderkey")
@@ -47,6 +79,7 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@owned("business_id")
 def website_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """History of page scans, one per even order of customers that are scanned at all."""
     m = F.col("m")
@@ -67,6 +100,7 @@ def website_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@owned("business_id")
 def leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One for every other business, under the same id."""
     i = F.col("c_custkey")
@@ -77,6 +111,7 @@ def leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@owned("lead_id")
 def lead_activities(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.create_map(*map(F.lit, ["signup", "stage_change", "click", "note", "view", "call", "purchase", "email", "error", "meeting"]))
     return base(spark, sf_dir, "events").select(
@@ -85,6 +120,7 @@ def lead_activities(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@owned("business_id")
 def api_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Costs are whole hundredths of a cent, so that sums are exact."""
     services = F.array(*map(F.lit, ["anthropic", "google_places", "google_pagespeed"]))
@@ -95,15 +131,17 @@ def api_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@owned("owner_id")
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """States of jobs over time: four events in a row are those of one job."""
     status = F.create_map(*map(F.lit, ["signup", "QUEUED", "click", "RUNNING", "view", "RUNNING", "purchase", "COMPLETED", "error", "FAILED"]))
     return base(spark, sf_dir, "events").select(
-        F.col("event_id").alias("id"), F.expr("event_id div 4").alias("job_id"), F.try_element_at(status, F.col("event_type")).alias("status"),
+        F.col("event_id").alias("id"), F.expr("event_id div 4").alias("job_id"), F.expr("event_id div 4 % 3").alias("owner_id"), F.try_element_at(status, F.col("event_type")).alias("status"),
         (F.col("event_id") % 7).cast("int").alias("progress_current"), (F.col("event_id") % 5).cast("int").alias("progress_total"), F.col("ts").alias("created_at"),
     )
 
 
+@owned("business_id")
 def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One per order with lines; its services are the kinds of parts ordered."""
     kinds = base(spark, sf_dir, "lineitem").join(base(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
@@ -114,6 +152,7 @@ def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@owned("business_id")
 def demos(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("o_orderkey")
     status = F.element_at(F.array(*map(F.lit, ["draft", "ready", "published"])), (i % 9 / 3 + 1).cast("int"))
@@ -123,6 +162,7 @@ def demos(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@owned("business_id")
 def ai_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("o_orderkey")
     model = F.element_at(F.array(*map(F.lit, ["standard", "large", "small", "unlisted"])), (i % 4 + 1).cast("int"))
@@ -132,5 +172,50 @@ def ai_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@owned("business_id")
+def websites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every fourth business with an address; the others have no row yet."""
+    rows = businesses(spark, sf_dir).where("website_url is not null and id % 4 = 1")
+    return rows.select("id", F.col("id").alias("business_id"), F.col("website_url").alias("url"))
+
+
+@owned("business_id")
+def seo_audits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What scans say for search engines."""
+    rows = website_scans(spark, sf_dir).where("id % 3 = 0")
+    return rows.select("id", F.col("id").alias("website_scan_id"), "business_id", "title", "h1_count", F.col("schema_markup_present").alias("structured_data_present"), F.col("scanned_at").alias("created_at"))
+
+
+@owned("business_id")
+def local_audits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One for each business that a place is known of."""
+    return businesses(spark, sf_dir).where("gbp_place_id is not null").select("id", F.col("id").alias("business_id"), F.lit("google_places").alias("source"), "rating", "review_count")
+
+
+@owned("business_id")
+def competitors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return base(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") * 2 + 1).alias("business_id"), F.col("s_name").alias("competitor_name"), (F.col("s_acctbal") > 0).alias("is_better_positioned"))
+
+
+@owned("owner_id")
+def settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of one of the three owners; the others have the defaults."""
+    own = spark.createDataFrame([(1, {k: v * 2.0 for k, v in TEST_PRICING.items()})], "owner_id long, pricing map<string,double>")
+    rows = default_rows(own).drop("agency_name", "pricing", "scoring_weights").join(own, "owner_id")
+    weights = F.struct(
+        F.struct(*[F.lit(v).alias(k) for k, v in TEST_WEIGHTS["opportunity"].items()]).alias("opportunity"), F.struct(*[F.lit(v).alias(k) for k, v in TEST_WEIGHTS["lead_score"].items()]).alias("lead_score")
+    )
+    return rows.select("*", F.lit("First").alias("agency_name"), weights.cast(SETTINGS["scoring_weights"].dataType).alias("scoring_weights")).select(*SETTINGS.names)
+
+
+#: Weights of the test settings: binary fractions, so that sums are exact in any order.
+TEST_WEIGHTS = {
+    "opportunity": {"website_quality": 0.25, "seo": 0.25, "local_seo": 0.125, "performance": 0.125, "mobile_ux": 0.125, "conversion": 0.125, "competitive_gap": 0.0},
+    "lead_score": {"opportunity": 0.5, "buying_intent": 0.25, "business_value": 0.125, "competitive_gap": 0.125},
+}
+
+#: Rates of test calls: USD per million tokens in and out, by name of the model.
+TEST_RATES = {"standard": (2.0, 10.0), "large": (5.0, 25.0), "small": (1.0, 5.0)}
+
 #: What the price list of test proposals holds, in whole units; one kind is left out.
 TEST_PRICING = {"ECONOMY": 100, "LARGE": 900, "MEDIUM": 450, "PROMO": 250, "SMALL": 150}

@@ -26,7 +26,12 @@ def counts_by_window(events: DataFrame, key: str, at: str = "ts", width: str = "
 
 
 def stage_changes(history: DataFrame) -> DataFrame:
-    """(lead_id, id, at_us, stage) -> (lead_id, id, at_us, from_stage, to_stage) wherever a lead's stage differs from the one before."""
+    """(lead_id, id, at_us, stage) -> (lead_id, id, at_us, from_stage, to_stage) wherever a lead's stage differs from the one before.
+
+    The stage a lead is in never goes stale, so its state, one word, stays as long
+    as the lead. Within a micro-batch a lead's stages go in order of time, between
+    micro-batches in order of arrival.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         before = state.get[0] if state.exists else None

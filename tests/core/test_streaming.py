@@ -44,3 +44,15 @@ def test_job_states_and_windows(spark, tmp_path):
     assert len(got) == 10 and {r.status for r in got} == {"COMPLETED"}
     counts = run(spark, states.counts_by_window(stream.withColumnRenamed("created_at", "ts"), "status"), "windows").collect()
     assert counts and sum(r.n for r in counts) <= 30
+
+
+def test_limiter_state_goes_with_its_window(spark, tmp_path):
+    """Keys that call no more leave no state once the watermark has passed their windows."""
+    second = 1_000_000
+    rows = [("old", i, i * second) for i in range(30)] + [("new", 100 + i, (10_000 + i) * second) for i in range(60)]
+    calls = batches(rows, "key string, id long, at_us long", spark, str(tmp_path / "t"))
+    out = limits.limited_stream(calls, 5, 60 * second, late="10 seconds")
+    q = out.writeStream.outputMode("append").format("memory").queryName("expiry").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert spark.table("expiry").where("key = 'old' and allowed").count() == 5
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 1
