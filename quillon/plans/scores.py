@@ -62,6 +62,11 @@ def _sql(body: str) -> str:
     return sql(body, "businesses", "latest_scans", input=_INPUT, subs=_SUBS, scored=_ALL, led=_LEAD)
 
 
+def with_led(body: str) -> str:
+    """A query over ``led``: businesses with their sub-scores as v_<name>, and all scores."""
+    return _sql(body)
+
+
 def _sub_query(name: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
         return scored(spark, d).select("id", F.col(f"sub_{name}.value").alias("value"), F.col(f"sub_{name}.limited").alias("limited"))
