@@ -2,7 +2,10 @@
 
 A test item of m characters may occur in a document with up to k edits. Split
 into k + 1 pieces, at least one piece of such an occurrence is exact. All pieces
-are looked up at once in every text (Aho-Corasick). Since an edit breaks at most
+are looked up at once in every text (Aho-Corasick). By the same principle some
+two neighbouring pieces, or the last one of an odd number, hold at most as many
+edits as they are less one, so a hit counts only if its neighbour follows with at
+most one edit. Since an edit breaks at most
 q of an item's runs of q characters, hits around which too few of these occur are
 passed over; around the others the item is verified with Myers' bit-parallel distance, so no occurrence within the budget is
 missed and none beyond it is reported.
@@ -85,13 +88,17 @@ class Matcher:
 
         self.items: list[tuple[int, str, int, dict[str, int], Counter]] = []
         self.search = ahocorasick.Automaton()
-        where: dict[str, list[tuple[int, int]]] = {}
+        where: dict[str, list[tuple[int, int, str, str]]] = {}
         for item_id, text in items:
             if not (own := normal(text)):
                 continue
             k = budget(len(own), edits, piece)
-            for at, p in pieces(own, k):
-                where.setdefault(p, []).append((len(self.items), at))
+            own_pieces = pieces(own, k)
+            for i, (at, p) in enumerate(own_pieces):
+                mate = i ^ 1
+                after = own_pieces[mate][1] if i < mate < len(own_pieces) else ""
+                before = own_pieces[mate][1][::-1] if mate < i else ""
+                where.setdefault(p, []).append((len(self.items), at, after, before))
             self.items.append((item_id, own, k, masks(own), Counter(own[i : i + GRAM] for i in range(len(own) - GRAM + 1))))
         for p, places in where.items():
             self.search.add_word(p, (len(p), places))
@@ -105,8 +112,14 @@ class Matcher:
         own = f" {own} "
         starts: dict[int, list[int]] = {}
         for end, (n, places) in self.search.iter(own):
-            for item, at in places:
-                starts.setdefault(item, []).append(end + 1 - n - at)
+            first, last = end + 1 - n, end + 1
+            for item, at, after, before in places:
+                if after:
+                    if not _follows(after, own[last : last + len(after) + 1]):
+                        continue
+                elif before and not _follows(before, own[max(0, first - len(before) - 1) : first][::-1]):
+                    continue
+                starts.setdefault(item, []).append(first - at)
         out = []
         for item, found in starts.items():
             item_id, pattern, k, peq, grams = self.items[item]
@@ -123,6 +136,17 @@ class Matcher:
         return sorted(out)
 
 
+def _follows(piece: str, text: str) -> bool:
+    """Whether the text begins with the piece or something an edit away from it."""
+    if text.startswith(piece):
+        return True
+    n, i = len(piece), 0
+    while i < len(text) and piece[i] == text[i]:
+        i += 1
+    rest = piece[i + 1 :]
+    return rest == text[i + 1 : n] or rest == text[i : n - 1] or piece[i:] == text[i + 1 : n + 1]
+
+
 def _likely(own: str, starts: list[int], k: int, m: int, grams: Counter) -> list[int]:
     """The places around which enough of an item's runs occur for k edits; those within k of each other are tried together."""
     least, out, i = m - GRAM + 1 - k * GRAM, [], 0

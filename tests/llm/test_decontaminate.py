@@ -88,3 +88,23 @@ def test_items_with_words_replaced_are_found():
             text = " ".join(word(5) for _ in range(40))
             assert [x for x, _ in d.Matcher([(1, " ".join(item))]).find(f"{text} {' '.join(leak)} {text}")] == [1]
             assert d.Matcher([(1, " ".join(item))]).find(f"{text} {text}") == []
+
+
+def test_what_follows_with_one_edit():
+    rng = random.Random(6)
+    for _ in range(4000):
+        p = "".join(rng.choice("ab") for _ in range(rng.randint(1, 7)))
+        t = "".join(rng.choice("ab") for _ in range(rng.randint(0, 8)))[: len(p) + 1]
+        want = any(d.myers(d.masks(p), len(p), "")[0] <= 1 if not t[:n] else whole(p, t[:n]) <= 1 for n in range(len(t) + 1))
+        assert d._follows(p, t) == want, (p, t)
+
+
+def whole(p, t):
+    """Edit distance of both in full."""
+    row = list(range(len(t) + 1))
+    for i, a in enumerate(p, 1):
+        new = [i]
+        for j, b in enumerate(t, 1):
+            new.append(min(row[j - 1] + (a != b), row[j] + 1, new[j - 1] + 1))
+        row = new
+    return row[-1]
