@@ -152,18 +152,19 @@ def sequence_plan(sizes: np.ndarray, demand: np.ndarray, length: int, unit: int,
     return out
 
 
-def assignment(sizes: np.ndarray, plan: list[tuple[np.ndarray, int]]) -> dict[int, tuple[np.ndarray, ...]]:
-    """Per bin: first rank, items a sequence, first sequence and first slot of each pattern that holds it."""
+def assignment(sizes: np.ndarray, plan: list[tuple[np.ndarray, int]], exact: int) -> dict[int, tuple[np.ndarray, ...]]:
+    """Per bin: first rank, items a sequence, first sequence, first slot, and tokens in the bins of exact length before, of each pattern that holds it. Those stand first."""
     out: dict[int, list[list[int]]] = {int(s): [] for s in sizes}
     ranks, sequence = dict.fromkeys(out, 0), 0
     for pattern, times in plan:
-        slot = 0
-        for k in np.argsort(-sizes, kind="stable"):
+        slot = before = 0
+        for k in np.argsort(sizes, kind="stable"):
             if n := int(pattern[k]):
                 s = int(sizes[k])
-                out[s].append([ranks[s], n, sequence, slot])
+                out[s].append([ranks[s], n, sequence, slot, before])
                 ranks[s] += n * times
                 slot += n
+                before += n * s if s < exact else 0
         sequence += times
     return {s: tuple(np.array(c, "i8") for c in zip(*rows, strict=True)) for s, rows in out.items() if rows}
 
@@ -212,21 +213,26 @@ def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _placed(before: dict[tuple[int, int], int], places: dict[int, tuple[np.ndarray, ...]]):
+def _placed(before: dict[tuple[int, int], int], places: dict[int, tuple[np.ndarray, ...]], exact: int):
+    """``base``: where a piece of exact length stands, or where those of its sequence end; ``among``: -1 for pieces that stand after others of their sequence by these' lengths."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bins, parts, ranks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("bin", "part", "rank"))
-            sequence, slot = np.zeros(len(bins), "i8"), np.zeros(len(bins), "i8")
+            sequence, slot, base = (np.zeros(len(bins), "i8") for _ in range(3))
             for b in np.unique(bins):
-                first, n, base, first_slot = places[int(b)]
+                first, n, first_sequence, first_slot, tokens = places[int(b)]
                 own = np.flatnonzero(bins == b)
                 rank = ranks[own] + np.array([before[int(p), int(b)] for p in parts[own]], "i8")
                 k = np.searchsorted(first, rank, side="right") - 1
-                sequence[own] = base[k] + (rank - first[k]) // n[k]
-                slot[own] = first_slot[k] + (rank - first[k]) % n[k]
+                nth = (rank - first[k]) % n[k]
+                sequence[own] = first_sequence[k] + (rank - first[k]) // n[k]
+                slot[own] = first_slot[k] + nth
+                base[own] = tokens[k] + (nth * b if b < exact else 0)
             keep = [i for i, c in enumerate(batch.schema.names) if c not in ("bin", "part", "rank")]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in keep), pa.array(sequence), pa.array(slot)], names=[*(batch.schema.names[i] for i in keep), "sequence_id", "slot"]
+                [*(batch.column(i) for i in keep), pa.array(sequence), pa.array(slot), pa.array(base), pa.array(np.where(bins < exact, slot, -1))],
+                names=[*(batch.schema.names[i] for i in keep), "sequence_id", "slot", "base", "among"],
             )
 
     return run
@@ -250,11 +256,13 @@ def pack(docs: DataFrame, path: str, length: int = 2048, unit: int = 8, end_id:
         before[part, b] = total[b]
         total[b] += n
     sizes = np.array(sorted(total), "i8")
-    places = assignment(sizes, sequence_plan(sizes, np.array([total[int(s)] for s in sizes], float), length, unit, rounds))
+    plan = sequence_plan(sizes, np.array([total[int(s)] for s in sizes], float), length, unit, rounds)
+    places = assignment(sizes, plan, length // SHORT)
     kept = PIECES.replace(", bin int", "") + ", ids binary" * with_ids
-    placed = ranked.mapInArrow(_placed(before, places), kept + ", sequence_id long, slot long")
-    earlier = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    return placed.withColumn("offset", F.coalesce(F.sum("length").over(earlier), F.lit(0).cast("long"))).drop("slot")
+    placed = ranked.mapInArrow(_placed(before, places, length // SHORT), kept + ", sequence_id long, slot long, base long, among long")
+    # Short pieces, of which a sequence may hold thousands, stand alone in their window; of the others it holds sixteen at most.
+    earlier = Window.partitionBy("sequence_id", "among").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    return placed.withColumn("offset", F.col("base") + F.coalesce(F.sum("length").over(earlier), F.lit(0))).drop("slot", "base", "among")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
