@@ -22,19 +22,26 @@ match; rows with the same id are searched each on its own.
 
 from __future__ import annotations
 
+import functools
 from collections import Counter
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.shared import values
+
 #: Edits allowed in hundredths of an item's length, and the least length of a piece (which bounds the edits of short items).
 EDITS, PIECE = 10, 8
 #: Characters of the runs that an item and a part of a text must share before they are compared.
 GRAM = 4
 #: Characters of items in one block; more are searched in further passes.
 BLOCK_CHARS = 4_000_000
+#: Items whose masks and runs a worker keeps.
+DETAILS = 1_000
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -86,9 +93,11 @@ class Matcher:
     def __init__(self, items: list[tuple[int, str]], edits: int = EDITS, piece: int = PIECE):
         import ahocorasick
 
-        self.items: list[tuple[int, str, int, dict[str, int], Counter]] = []
+        self.items: list[tuple[int, str, int]] = []
+        self.details = functools.lru_cache(DETAILS)(self._details)
         self.search = ahocorasick.Automaton()
-        where: dict[str, list[tuple[int, int, str, str]]] = {}
+        # Piece -> what may stand after or before it -> items and the piece's places in them.
+        where: dict[str, dict[tuple[str, str], list[tuple[int, int]]]] = {}
         for item_id, text in items:
             if not (own := normal(text)):
                 continue
@@ -98,37 +107,42 @@ class Matcher:
                 mate = i ^ 1
                 after = own_pieces[mate][1] if i < mate < len(own_pieces) else ""
                 before = own_pieces[mate][1][::-1] if mate < i else ""
-                where.setdefault(p, []).append((len(self.items), at, after, before))
-            self.items.append((item_id, own, k, masks(own), Counter(own[i : i + GRAM] for i in range(len(own) - GRAM + 1))))
-        for p, places in where.items():
-            self.search.add_word(p, (len(p), places))
+                where.setdefault(p, {}).setdefault((after, before), []).append((len(self.items), at))
+            self.items.append((item_id, own, k))
+        for p, mates in where.items():
+            self.search.add_word(p, (len(p), [(*m, places) for m, places in mates.items()]))
         if where:
             self.search.make_automaton()
 
+    def _details(self, item: int) -> tuple[dict[str, int], Counter]:
+        own = self.items[item][1]
+        return masks(own), Counter(own[i : i + GRAM] for i in range(len(own) - GRAM + 1))
+
     def find(self, text: str) -> list[tuple[int, int]]:
         """(item id, least distance) of all items that occur within their budget."""
         if not self.items or not (own := normal(text)):
             return []
         own = f" {own} "
         starts: dict[int, list[int]] = {}
-        for end, (n, places) in self.search.iter(own):
+        for end, (n, mates) in self.search.iter(own):
             first, last = end + 1 - n, end + 1
-            for item, at, after, before in places:
+            for after, before, places in mates:
                 if after:
                     if not _follows(after, own[last : last + len(after) + 1]):
                         continue
                 elif before and not _follows(before, own[max(0, first - len(before) - 1) : first][::-1]):
                     continue
-                starts.setdefault(item, []).append(first - at)
+                for item, at in places:
+                    starts.setdefault(item, []).append(first - at)
         out = []
         for item, found in starts.items():
-            item_id, pattern, k, peq, grams = self.items[item]
+            item_id, pattern, k = self.items[item]
             if (pattern if k else f" {pattern} ") in own:
                 out.append((item_id, 0))
                 continue
             if not k:
                 continue
-            best, m = k + 1, len(pattern)
+            best, m, (peq, grams) = k + 1, len(pattern), self.details(item)
             for low, high in _merged(_likely(own, sorted(set(found)), k, m, grams), k, m):
                 best = min(best, myers(peq, m, own[max(0, low) : high])[0])
             if best <= k:
@@ -174,16 +188,30 @@ def _merged(starts: list[int], k: int, m: int) -> Iterator[tuple[int, int]]:
         yield low, high
 
 
+_MATCHERS: dict[str, Matcher] = {}
+
+
+def matcher(key: str, items: list[tuple[int, str]], edits: int, piece: int) -> Matcher:
+    """Of the block a worker process has last searched for, made once."""
+    if key not in _MATCHERS:
+        _MATCHERS.clear()
+        _MATCHERS[key] = Matcher(items, edits, piece)
+    return _MATCHERS[key]
+
+
+def _key(items: list[tuple[int, str]], edits: int, piece: int) -> str:
+    return xxhash.xxh3_128_hexdigest(repr((items, edits, piece)).encode("utf-8", "surrogatepass"))
+
+
 def _matches(items: list[tuple[int, str]], edits: int, piece: int):
-    made: list[Matcher] = []
+    key = _key(items, edits, piece)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not made:
-            made.append(Matcher(items, edits, piece))
+        m = matcher(key, items, edits, piece)
         for batch in batches:
             docs, ids, distances = [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for item_id, d in made[0].find(text) if text else ():
+            for doc_id, text in zip(*map(values, batch.columns), strict=True):
+                for item_id, d in m.find(text) if text else ():
                     docs.append(doc_id), ids.append(item_id), distances.append(d)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (docs, ids, distances)], names=["doc_id", "item_id", "distance"])
 
@@ -223,21 +251,13 @@ def without_leaks(docs: DataFrame, items: DataFrame, edits: int = EDITS, piece:
 
 
 def _has(items: list[tuple[int, str]], edits: int, piece: int):
-    made: list[Matcher] = []
-
-    def run(parts):
-        import pandas as pd
+    key = _key(items, edits, piece)
 
-        if not made:
-            made.append(Matcher(items, edits, piece))
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        m = matcher(key, items, edits, piece)
         for texts in parts:
-            yield pd.Series([bool(t) and bool(made[0].find(t)) for t in texts], dtype=bool)
-
-    from collections.abc import Iterator as It
-
-    import pandas as pd
+            yield pd.Series([bool(t) and bool(m.find(t)) for t in texts], dtype=bool)
 
-    run.__annotations__ = {"parts": It[pd.Series], "return": It[pd.Series]}
     return F.pandas_udf(run, "boolean")
 
 

@@ -108,3 +108,25 @@ def whole(p, t):
             new.append(min(row[j - 1] + (a != b), row[j] + 1, new[j - 1] + 1))
         row = new
     return row[-1]
+
+
+def test_items_of_one_template_and_a_small_memory(monkeypatch):
+    monkeypatch.setattr(d, "DETAILS", 3)
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(7))
+    items = [(i, f"which of the following is true of {word()} {word()} {word()} {word()}") for i in range(40)]
+    m = d.Matcher(items)
+    text = " ".join(word() for _ in range(30))
+    for i, t in items:
+        assert m.find(f"{text} {t} {text}") == [(i, 0)]
+        assert m.find(f"{text} {t[:45]}q{t[45:]} {text}") == [(i, 1)]
+    both = m.find(f"{items[3][1][:40]}q{items[3][1][40:]} {text} {items[9][1][:50]}q{items[9][1][50:]}")
+    assert both == [(3, 1), (9, 1)] and m.details.cache_info().currsize <= 3
+
+
+def test_a_worker_makes_one_matcher_for_a_block():
+    items, others = [(1, "one two three four five")], [(1, "one two three four six")]
+    key, other = d._key(items, 10, 8), d._key(others, 10, 8)
+    assert key != other and d._key(items, 10, 9) != key
+    made = d.matcher(key, items, 10, 8)
+    assert d.matcher(key, items, 10, 8) is made and d.matcher(other, others, 10, 8) is not made and list(d._MATCHERS) == [other]

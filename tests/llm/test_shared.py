@@ -1,6 +1,7 @@
 import os
 from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 
 from quillon.llm import shared
@@ -21,3 +22,10 @@ def test_scratch_tables_go_and_kept_ones_stay(spark):
         assert gone.count() == 3
     assert inner.count() == 4
     assert not any(os.path.exists(p.removeprefix("file://")) for p in gone.inputFiles())
+
+
+def test_values_of_a_column():
+    for n in (0, 1, 256, 700):
+        own = [None if i % 5 == 3 else f"é{i}" for i in range(n)]
+        assert list(shared.values(pa.array(own, pa.string()))) == own
+    assert list(shared.values(pa.array(range(900), pa.int64()).slice(100, 600))) == list(range(100, 700))
