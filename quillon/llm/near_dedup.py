@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.components import components
-from quillon.llm.shared import materialize, scratch
+from quillon.llm.shared import materialize, scratch, values
 
 #: Trees, values in a signature, values that a region shares at least, and documents in a region of which all pairs are tried.
 TREES, DEPTH, SHARED, REGION = 24, 8, 4, 8
@@ -58,6 +58,8 @@ BITS, DEVIATIONS = 128, 5
 FIRST_TREES = 2
 #: Counters of shingles, a fixed number whatever the input, and the relative width of a band of set sizes.
 COUNTERS, BAND = 1 << 20, 1.05
+#: Rows in a range of an order, at most on average: one task holds a range.
+RANGE_ROWS = 1 << 20
 #: Ids of candidates that are broadcast at most (8 bytes each).
 LISTED = 500_000
 
@@ -119,7 +121,7 @@ def _signed(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, marks, trees, sketches = [], [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in values(batch.column(1)):
                 found = shingles(text, words)
                 sizes.append(len(found))
                 mark = tree = sketch = None
@@ -213,7 +215,7 @@ def _pairs(agree: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        # A partition is a range of the order, of about the same number of rows at any size of the input.
+        # A partition is a range of the order, of a bounded number of rows on average (RANGE_ROWS).
         held = [b for b in batches if b.num_rows]
         if not held:
             return
@@ -251,6 +253,11 @@ def _across_cuts(agree: int):
     return run
 
 
+def ranges(classes: DataFrame) -> int:
+    """The session's number of partitions, or more where a range would hold too many rows."""
+    return max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-classes.count() * TREES // RANGE_ROWS))
+
+
 def tree_rows(classes: DataFrame) -> DataFrame:
     """A row for each class and tree."""
     width = 2 * DEPTH
@@ -264,7 +271,7 @@ def candidates(classes: DataFrame, similarity: int) -> DataFrame:
     A range sends at most ``REGION`` rows from either end to its neighbours, so
     what meets for a cut region is bounded by the number of ranges, not of rows.
     """
-    parts, agree = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), least_agreement(similarity)
+    parts, agree = ranges(classes), least_agreement(similarity)
     order = ["tree", "key", "node"]
     rows = tree_rows(classes).repartitionByRange(parts, *order).sortWithinPartitions(*order)
     found = materialize(rows.mapInArrow(_pairs(agree), EDGES), "found")

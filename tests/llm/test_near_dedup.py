@@ -94,6 +94,16 @@ def test_any_number_of_partitions(spark, parts):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_ranges_follow_the_rows(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, " ".join(near(rng, [f"w{j}-{i // 4}" for j in range(60)], 0.05))) for i in range(40)]
+    classes = spark.range(40)
+    assert n.ranges(classes) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    monkeypatch.setattr(n, "RANGE_ROWS", 30)
+    assert n.ranges(classes) == 40 * n.TREES // 30 == 32
+    check(spark, rows, 2)
+
+
 def test_regions_of_several_components(spark):
     """One large group, texts that are nearly like it, and links between some of these."""
     rng = random.Random(11)
