@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.llm.shared import values
+
 #: Bound of the sample that dictionaries are cut from: documents for a language.
 SAMPLE_DOCS = 1_000
 #: Bytes of a dictionary, and of the chunks that texts are encoded in.
@@ -68,7 +70,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: Counter = Counter()
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for lang, text in zip(*map(values, batch.columns), strict=True):
                 counts.update((lang, w) for w in words(text).split())
             langs, found = zip(*counts, strict=True) if counts else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(found, pa.string()), pa.array(counts.values(), pa.int64())], names=["lang", "word", "n"])
@@ -112,13 +114,18 @@ class Compressors:
 _CACHE: dict[int, Compressors] = {}
 
 
+def compressors(dictionaries: dict[str, bytes]) -> Compressors:
+    """One for each worker process."""
+    key = hash(tuple(sorted(dictionaries.items())))
+    if key not in _CACHE:
+        _CACHE.clear()
+        _CACHE[key] = Compressors(dictionaries)
+    return _CACHE[key]
+
+
 def _predict(dictionaries: dict[str, bytes], margin: float):
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        key = hash(tuple(sorted(dictionaries.items())))
-        if key not in _CACHE:
-            _CACHE.clear()
-            _CACHE[key] = Compressors(dictionaries)
-        c = _CACHE[key]
+        c = compressors(dictionaries)
         for texts in parts:
             langs, scores, sure = [], [], []
             for text in texts:

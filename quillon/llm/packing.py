@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import materialize
+from quillon.llm.shared import materialize, values
 from quillon.llm.tokens import encoder, vocabulary
 
 #: Relative distance from the optimum at which no more patterns are sought: the last 0.03 % of sequences would take most of the columns.
@@ -182,7 +182,7 @@ def _pieces(path: str, length: int, unit: int, end_id: int, with_ids: bool):
         e, end = encoder(path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows: list[list] = [[] for _ in range(6 + with_ids)]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc_id, text in zip(*map(values, batch.columns), strict=True):
                 ids = e.ids(text) + end
                 n = len(ids) // 4
                 for start in range(0, n, length):

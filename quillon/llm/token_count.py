@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import materialize
+from quillon.llm.shared import materialize, values
 from quillon.llm.tokens import Encoder, encoder, vocabulary
 
 #: A block is closed beyond so many distinct segments or documents.
@@ -127,7 +127,7 @@ def _blocks(path: str, buckets: int):
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, BLOCKS, strict=True)], schema=BLOCKS)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc_id, text in zip(*map(values, batch.columns), strict=True):
                 found = Counter(c.split(text)) if text else {}
                 docs.append(doc_id)
                 n_bytes.append(len(text.encode()) if text else 0)

@@ -27,7 +27,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import fresh_path, materialize
+from quillon.llm.shared import fresh_path, materialize, values
 from quillon.llm.tokens import encoder, vocabulary
 
 #: Tokens in a row group, about; bytes in a page, and documents at most.
@@ -71,7 +71,7 @@ def _writer(path: str, out: str, end_id: int, encoding: str):
             held_tokens = 0
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc_id, text in zip(*map(values, batch.columns), strict=True):
                 held_ids.append(doc_id)
                 held.append(e.ids(text) + end)
                 held_tokens += len(held[-1]) // 4

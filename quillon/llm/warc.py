@@ -35,7 +35,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import fresh_path, materialize
+from quillon.llm.shared import fresh_path, materialize, values
 
 #: The format's names and signatures.
 ARCHIVES, INDEXES = "archive/", "indexes/"
@@ -238,7 +238,7 @@ def _written(out: str):
             writer = None
 
         for batch in batches:
-            for page_id, url, html, refers_to, is_revisit in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for page_id, url, html, refers_to, is_revisit in zip(*map(values, batch.columns), strict=True):
                 if writer is None:
                     path = f"{folder}/pages-{uuid.uuid4().hex}.zip"
                     stream = fs.open_output_stream(path)
