@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import chat_format, decontaminate, lang_id, line_dedup, near_dedup, packing, quality_rules, token_count, token_files, warc
+from quillon.llm import chat_format, decontaminate, filter_audit, lang_id, line_dedup, near_dedup, packing, quality_rules, resample, token_count, token_files, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_chat_format": chat_format.query,
     "op9_decontaminate": decontaminate.query,
     "op10_token_counts": token_count.query,
+    "op11_filter_audit": filter_audit.query,
+    "op13_resample": resample.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -23,4 +25,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_warc": warc.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
     "op8_chat_format": chat_format.ORACLE,
+    "op11_filter_audit": filter_audit.ORACLE,
+    "op13_resample": resample.ORACLE,
 }
