@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillon.llm import byte_words as w
 
@@ -89,7 +90,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def measure(docs: DataFrame, keep: dict[str, Column], text_col: str = "text") -> DataFrame:
     """The columns ``keep`` of each document, its MEASURES and a digest of its text."""
     own = docs.select(*[c.alias(n) for n, c in keep.items()], F.col(text_col).alias("text"))
-    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[:-1]), *(f"{m} long" for m in MEASURES), "digest binary"])
+    kinds = T.StructType([*own.schema.fields[:-1], *(T.StructField(m, T.LongType()) for m in MEASURES), T.StructField("digest", T.BinaryType())])
     return own.mapInArrow(_scan, kinds)
 
 

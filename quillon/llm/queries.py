@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import chat_format, decontaminate, filter_audit, lang_id, line_dedup, near_dedup, packing, quality_rules, resample, token_count, token_files, warc
+from quillon.llm import chat_format, decontaminate, filter_audit, lang_id, line_dedup, near_dedup, packing, quality_rules, resample, substring_dedup, token_count, token_files, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_decontaminate": decontaminate.query,
     "op10_token_counts": token_count.query,
     "op11_filter_audit": filter_audit.query,
+    "op12_substring_dedup": substring_dedup.query,
     "op13_resample": resample.query,
 }
 
@@ -26,5 +27,6 @@ ORACLE_SQL: dict[str, str] = {
     "op7_line_dedup": line_dedup.ORACLE,
     "op8_chat_format": chat_format.ORACLE,
     "op11_filter_audit": filter_audit.ORACLE,
+    "op12_substring_dedup": substring_dedup.ORACLE,
     "op13_resample": resample.ORACLE,
 }
