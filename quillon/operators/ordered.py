@@ -8,28 +8,6 @@ from pyspark.sql import functions as F
 from quillon.operators.cuts import cut
 
 
-def with_segment(rows: DataFrame, key: str, order: list[str], opens: str, name: str) -> DataFrame:
-    """``rows`` with ``name``: a struct of ``order`` of the last row of the same ``key`` up to this one where ``opens`` holds, null before any.
-
-    By ranges as ``with_previous``: what is carried from range to range is one
-    struct for each, and over these a window finds the last that opens.
-    """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    mark = F.when(F.col(opens), F.struct(*order))
-    ranges = cut(rows.withColumn("__mark", mark).repartitionByRange(parts, key, *order).withColumn("__part", F.spark_partition_id()))
-    within = Window.partitionBy("__part", key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    own = ranges.withColumn("__own", F.last("__mark", ignorenulls=True).over(within))
-    ends = ranges.groupBy("__part", F.col(key).alias("__k")).agg(F.max("__mark").alias("m"), F.max(F.struct(*order)).alias("at"))
-    ends = ends.groupBy("__part").agg(F.max_by(F.struct("__k", "m"), F.struct("__k", "at")).alias("end")).select("__part", "end.*")
-    so_far = Window.partitionBy("__k").orderBy("__part")
-    carried = ends.withColumn("m", F.last("m", ignorenulls=True).over(so_far)).select(
-        F.lead("__part").over(Window.orderBy("__part")).alias("__to"), "__k", "m"
-    ).where("__to is not null")
-    joined = own.join(F.broadcast(carried), F.col("__part") == F.col("__to"), "left")
-    value = F.coalesce("__own", F.when(F.col("__k").eqNullSafe(F.col(key)), F.col("m")))
-    return joined.select(*rows.columns, value.alias(name))
-
-
 def with_previous(rows: DataFrame, key: str, order: list[str], column: str, name: str) -> DataFrame:
     """``rows`` with ``name``: ``column`` of the row before in ``order`` among those of the same ``key``, null for the first.
 

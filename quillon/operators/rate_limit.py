@@ -6,17 +6,18 @@ a multiple of its length, and calls within it don't prolong it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quillon.operators.cuts import cut
 
-from quillon.operators.ordered import with_previous, with_segment
+#: So many successive calls of a key make a block, which is one row.
+BLOCK = 1024
 
 
 class Limiter:
-    """State of one key."""
+    """State of one key, for calls that come one by one."""
 
     __slots__ = ("count", "ends")
 
@@ -33,30 +34,113 @@ class Limiter:
         return True
 
 
+def _once(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def with_successor(calls: DataFrame, window: int, key: str, at: str, tie: str) -> DataFrame:
+    """(k, i, f, row): each call's place i among those of its key, from 0, and the place f of the first call at or after the end of a window that it would open.
+
+    Calls and the ends of their windows are sorted together. Both come in the same
+    order, so the n-th end is that of the n-th call, and the calls before it are
+    its f. Sorting is by ranges of key and time, so that a key may lie in several;
+    what goes from range to range is one row of counts for each.
+    """
+    none = F.lit(None).cast(T.StructType(calls.schema.fields))
+    ends = calls.select(F.col(key).alias("k"), (F.col(at) + window).alias("t"), F.lit(0).alias("call"), F.col(tie).alias("tie"), F.struct(*calls.columns).alias("row"))
+    both = ends.unionByName(calls.select(F.col(key).alias("k"), F.col(at).alias("t"), F.lit(1).alias("call"), F.col(tie).alias("tie"), none.alias("row")))
+    parts = int(calls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = cut(both.repartitionByRange(parts, "k", "t", "call", "tie").withColumn("part", F.spark_partition_id()))
+    so_far = Window.partitionBy("part", "k").orderBy("t", "call", "tie").rowsBetween(Window.unboundedPreceding, 0)
+    counted = ranges.withColumn("calls", F.sum("call").over(so_far)).withColumn("ends", F.sum(1 - F.col("call")).over(so_far))
+    totals = ranges.groupBy("part", F.struct("k").alias("of")).agg(F.sum("call").alias("calls"), F.sum(1 - F.col("call")).alias("ends"))
+    last = totals.groupBy("part").agg(F.max_by(F.struct("of", "calls", "ends"), "of").alias("x")).select("part", "x.*")
+    before = Window.partitionBy("of").orderBy("part")
+    carried = last.select(F.lead("part").over(Window.orderBy("part")).alias("to"), "of", F.sum("calls").over(before).alias("c"), F.sum("ends").over(before).alias("e")).where("to is not null")
+    same = F.col("of") == F.struct("k")
+    joined = counted.where("call = 0").join(F.broadcast(carried), F.col("part") == F.col("to"), "left")
+    return joined.select("k", (F.col("ends") - 1 + F.when(same, F.col("e")).otherwise(0)).alias("i"), (F.col("calls") + F.when(same, F.col("c")).otherwise(0)).alias("f"), "row")
+
+
+def _leaps(start: Column, nodes: Column) -> Column:
+    """Of each call of a block the first place beyond the block that windows lead to from it: pointers are doubled within the block."""
+    out = F.transform(nodes, lambda x: x["f"])
+    for _ in range(BLOCK.bit_length()):
+        out = _once(out, lambda f: F.transform(f, lambda v: F.when(v - start < F.size(f), F.get(f, (v - start).cast("int"))).otherwise(v)))
+    return out
+
+
+def _entries(blocks: DataFrame) -> DataFrame:
+    """(k, block, entry): of every block in which a window opens, the first such call.
+
+    The leaps of a key's first call through its blocks are found by doubling: the
+    nodes are the places that some block's leaps reach, and a round joins each with
+    the node that its own leaps end at. So the rounds are the logarithm of a key's blocks.
+    """
+    first = blocks.where("block = 0").select("k", "block", F.lit(0).cast("long").alias("entry"))
+    many = blocks.where((F.col("block") > 0) | (F.size("nodes") == BLOCK))
+    leaps = cut(many.select("k", "block", _leaps(F.col("block") * BLOCK, F.col("nodes")).alias("leaps")))
+    if leaps.where("block > 0").isEmpty():
+        return first
+    block = F.floor(F.col("e") / BLOCK)
+    nodes = leaps.select("k", F.explode(F.array_distinct("leaps")).alias("e")).unionByName(leaps.where("block = 0").select("k", F.lit(0).cast("long").alias("e"))).distinct()
+    at = leaps.select(F.col("k").alias("of"), "block", "leaps")
+    jumps = nodes.join(at, F.col("k").eqNullSafe(F.col("of")) & (block == F.col("block"))).select("k", "e", F.get("leaps", (F.col("e") % BLOCK).cast("int")).alias("g"))
+    jumps = jumps.where("g is not null")  # the place behind a key's last call is no node
+    jumps, reached = cut(jumps), leaps.where("block = 0").select("k", F.lit(0).cast("long").alias("e"))
+    while True:
+        to = jumps.select(F.col("k").alias("of"), F.col("e").alias("from"), "g")
+        further = reached.join(to, F.col("k").eqNullSafe(F.col("of")) & (F.col("e") == F.col("from"))).select("k", F.col("g").alias("e"))
+        reached = cut(reached.unionByName(further))
+        # A leap out of the key's last block meets no node, and so ends here.
+        ahead = to.join(jumps.select("k", "e", F.col("g").alias("beyond")), F.col("of").eqNullSafe(F.col("k")) & (F.col("g") == F.col("e")))
+        jumps = cut(ahead.select("k", F.col("from").alias("e"), F.col("beyond").alias("g")))
+        if jumps.isEmpty():
+            break
+    within = reached.select("k", block.alias("block"), F.col("e").alias("entry")).where("entry > 0")
+    real = blocks.select(F.col("k").alias("of"), F.col("block").alias("b"), (F.col("block") * BLOCK + F.size("nodes")).alias("end"))
+    within = within.join(real, F.col("k").eqNullSafe(F.col("of")) & (F.col("block") == F.col("b")) & (F.col("entry") < F.col("end")), "left_semi")
+    return first.unionByName(within)
+
+
 def limited(calls: DataFrame, limit: int, window_us: int, key: str = "key", at: str = "at_us", tie: str = "id") -> DataFrame:
-    """Calls with ``allowed``; ``at`` in microseconds.
+    """Calls with ``allowed``, and with ``retry_after_s`` where they are not: whole seconds until the window ends. ``at`` in microseconds.
 
-    No window outlasts a pause as long as itself, so each key is divided at such
-    pauses, which are found over ranges of its calls. The stretches between them
-    are folded in order of time while their rows stream by. A stretch needs one
-    task's time but never its memory; one that never pauses is inherently a
-    sequence, since where a window opens depends on all windows before it.
+    From each call leads a pointer to the call that opens the next window if this one
+    opens one; windows open where pointers lead from a key's first call. They are
+    followed in blocks of a key's successive calls, and from block to block by
+    doubling, so no task has more than one block at a time, be it a key that never pauses. A call is
+    allowed if fewer than ``limit`` are between it and the opener of its window.
+    A call without time is none: ``allowed`` is null. Null keys are one key. Columns
+    need an order (no maps).
     """
     columns = calls.columns
-    calls = with_previous(calls, key, [at, tie], at, "__before")
-    calls = calls.withColumn("__opens", F.col("__before").isNull() | (F.col(at) - F.col("__before") >= window_us)).drop("__before")
-    calls = with_segment(calls, key, [at, tie], "__opens", "__segment").select(*columns, F.xxhash64(F.col(key), F.col("__segment")).alias("__stretch"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in calls.schema.fields) + ", allowed boolean"
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, state = None, Limiter()
-        for batch in batches:
-            out = []
-            for k, t in zip(batch["__stretch"], batch[at], strict=True):
-                if k != now:
-                    now, state = k, Limiter()
-                out.append(state.call(int(t), limit, window_us))
-            yield batch.assign(allowed=out)
+    timed = calls.where(F.col(at).isNotNull())
+    nodes = with_successor(timed, window_us, key, at, tie)
+    blocks = cut(nodes.groupBy("k", F.floor(F.col("i") / BLOCK).alias("block")).agg(F.sort_array(F.collect_list(F.struct("i", "f", "row"))).alias("nodes")))
+    entries = _entries(blocks).select(F.col("k").alias("of"), F.col("block").alias("b"), "entry")
+    opener = lambda x: F.struct(x["i"].alias("i"), x["f"].alias("f"), x["row"][at].alias("at"))
+    begun = F.struct(F.col("entry").alias("next"), F.array().cast("array<struct<i:bigint,f:bigint,at:bigint>>").alias("openers"))
+    walk = F.aggregate("nodes", begun, lambda a, x: F.when(a["next"] == x["i"], F.struct(x["f"].alias("next"), F.concat(a["openers"], F.array(opener(x))).alias("openers"))).otherwise(a))
+    opened = blocks.join(entries, F.col("k").eqNullSafe(F.col("of")) & (F.col("block") == F.col("b")), "left").select("k", "block", "nodes", walk["openers"].alias("openers"))
+    # The window that is open where a block begins, which keys of one block don't need: a row a block.
+    several = opened.where((F.col("block") > 0) | (F.size("nodes") == BLOCK))
+    before = Window.partitionBy("k").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    last = several.select("k", "block", F.when(F.size("openers") > 0, F.element_at("openers", -1)).alias("last"))
+    carried = last.select(F.col("k").alias("of"), F.col("block").alias("b"), F.last("last", ignorenulls=True).over(before).alias("carried")).where("carried is not null")
+    opened = opened.join(carried, F.col("k").eqNullSafe(F.col("of")) & (F.col("block") == F.col("b")), "left")
+    windows = F.when(F.col("carried").isNull(), F.col("openers")).otherwise(F.concat(F.array("carried"), "openers"))
 
-    parts = int(calls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return calls.repartition(parts, "__stretch").sortWithinPartitions("__stretch", at, tie).mapInPandas(fold, schema).drop("__stretch")
+    def members(o: Column) -> Column:
+        start = F.col("block") * BLOCK
+        low, high = F.greatest(o["i"], start), F.least(o["f"], start + F.size("nodes"))
+        own = F.slice("nodes", (low - start + 1).cast("int"), (high - low).cast("int"))
+        return F.transform(own, lambda x: F.struct(x["row"].alias("row"), (x["i"] - o["i"]).alias("n"), o["at"].alias("opened")))
+
+    judged = opened.select(F.inline(F.flatten(F.transform(windows, members))))
+    allowed = (F.col("n") == 0) | (F.col("n") < limit)
+    wait = F.ceil((F.col("opened") + window_us - F.col("row")[at]) / 1_000_000).cast("long")
+    out = judged.select(*[F.col("row")[c].alias(c) for c in columns], allowed.alias("allowed"), F.when(~allowed, wait).alias("retry_after_s"))
+    never = calls.where(F.col(at).isNull()).select(*columns, F.lit(None).cast("boolean").alias("allowed"), F.lit(None).cast("long").alias("retry_after_s"))
+    return out.unionByName(never)

@@ -382,9 +382,9 @@ s AS (
   SELECT c.key, c.id, c.at_us, c.n, CASE WHEN c.at_us >= s.ends THEN 1 WHEN s.calls >= 3 THEN s.calls ELSE s.calls + 1 END,
     CASE WHEN c.at_us >= s.ends THEN c.at_us + 86400000000 ELSE s.ends END, c.at_us >= s.ends OR s.calls < 3
   FROM s JOIN c ON c.key = s.key AND c.n = s.n + 1)
-SELECT key, id, at_us, allowed FROM s""")
+SELECT key, id, at_us, allowed, CASE WHEN NOT allowed THEN (ends - at_us + 999999) // 1000000 END AS retry_after_s FROM s""")
 def rate_limited(spark, d):
-    """Three calls a day for each user; windows open at the first call."""
+    """Three calls a day for each user; windows open at the first call, and a refused call learns how long to wait."""
     calls = t.base(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"))
     return limited(calls, 3, 86_400_000_000)
 

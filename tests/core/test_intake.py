@@ -4,9 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import labels, urls
-from quillon.operators import imports, mutations
+from quillon.operators import imports, mutations, rate_limit
 from quillon.operators.latest import latest
-from quillon.operators.ordered import with_previous, with_segment
+from quillon.operators.ordered import with_previous
 from quillon.operators.rate_limit import Limiter, limited
 from quillon.schemas import BUSINESS, RECORD
 from quillon.sources import csv_import, pages
@@ -184,32 +184,42 @@ def test_rate_limiter_against_a_fold(spark):
     assert [one.call(t, 2, 10) for t in (0, 5, 9, 10, 19, 20)] == [True, True, False, True, True, True]
 
 
-def test_one_key_of_very_many_calls_is_divided(spark):
-    """Stretches between pauses lie in several partitions, and say what the fold says."""
+def folded(rows, limit, window):
+    """Verdict and whole seconds to wait, call by call."""
+    state, out = {}, {}
+    for k, i, t in sorted((r for r in rows if r[2] is not None), key=lambda r: (r[0] or "", r[2], r[1])):
+        one = state.setdefault(k, Limiter())
+        ok = one.call(t, limit, window)
+        out[i] = (ok, None if ok else -((t - one.ends) // 1_000_000))
+    return out | {i: (None, None) for _, i, t in rows if t is None}
+
+
+@pytest.mark.parametrize("block, limit, window, seed", [(4, 1, 200, 1), (16, 3, 40, 2), (1024, 5, 3_000_000, 3), (8, 3, 100_000, 4)])
+def test_limiter_in_blocks(spark, monkeypatch, block, limit, window, seed):
+    """Windows within a block, over many blocks, and blocks in which none opens; keys of one call, none, and null."""
+    monkeypatch.setattr(rate_limit, "BLOCK", block)
+    rng = random.Random(seed)
+    rows = [(rng.choice(["hot"] * 9 + ["a", "b", None]), i, rng.choice([None, *range(0, 40 * window, max(1, window // 7))][: rng.choice([30, 300])])) for i in range(900)]
+    df = spark.createDataFrame(rows, "key string, id long, at_us long").repartition(5)
+    got = limited(df, limit, window)
+    assert got.columns == ["key", "id", "at_us", "allowed", "retry_after_s"]
+    assert {r.id: (r.allowed, r.retry_after_s) for r in got.collect()} == folded(rows, limit, window) and got.count() == 900
+    assert limited(df.limit(0), limit, window).collect() == []
+
+
+def test_one_key_that_never_pauses_is_divided(spark):
+    """200,000 calls of one key without a pause as long as the window, over many tasks and without Python."""
     rng = random.Random(8)
     rows, t = [], 0
-    for i in range(100_000):
-        t += rng.choice([1, 1, 2, 3, 400])
+    for i in range(200_000):
+        t += rng.choice([1, 1, 2, 3, 40])
         rows.append(("hot", i, t))
     out = limited(spark.createDataFrame(rows, "key string, id long, at_us long"), 3, 200)
+    assert not any(n in out._jdf.queryExecution().executedPlan().toString() for n in ("Python", "Pandas", "Arrow"))
     got = out.withColumn("part", F.spark_partition_id()).collect()
-    state = Limiter()
-    want = {i: state.call(t, 3, 200) for _, i, t in rows}
-    assert out.columns == ["key", "id", "at_us", "allowed"] and {r.id: r.allowed for r in got} == want
+    assert {r.id: (r.allowed, r.retry_after_s) for r in got} == folded(rows, 3, 200)
     parts = [sum(r.part == p for r in got) for p in {r.part for r in got}]
-    assert len(parts) == 4 and max(parts) < 40_000
-
-
-def test_segments_span_ranges(spark):
-    rng = random.Random(7)
-    rows = [(rng.choice(["a", "a", "a", "b", None]), i, i, rng.random() < 0.02) for i in range(400)]
-    got = with_segment(spark.createDataFrame(rows, "k string, id long, at long, o boolean"), "k", ["at", "id"], "o", "s").collect()
-    want, last = {}, {}
-    for k, i, t, o in sorted(rows, key=lambda r: (r[0] or "", r[2])):
-        if o:
-            last[k] = (t, i)
-        want[i] = last.get(k)
-    assert {r.id: r.s and tuple(r.s) for r in got} == want and len(got) == 400
+    assert len(parts) >= 3 and max(parts) <= 100_000
 
 
 def test_latest_and_ties(spark):
