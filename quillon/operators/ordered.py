@@ -1,4 +1,4 @@
-"""The value before each row of its key, without gathering a key in one task."""
+"""Places of rows and values before them, without gathering a key or a table in one task."""
 
 from __future__ import annotations
 
@@ -27,3 +27,14 @@ def with_previous(rows: DataFrame, key: str, order: list[str], column: str, name
     joined = own.join(F.broadcast(carried), F.col("__part") == F.col("__to"), "left")
     value = F.when(~F.col("__first"), F.col("__before")).when(F.col("end.k").eqNullSafe(F.col(key)), F.col("end.v"))
     return joined.select(*rows.columns, value.alias(name))
+
+
+def with_rank(rows: DataFrame, order: list[str], name: str, start: int = 0) -> DataFrame:
+    """``rows`` with ``name``: their places in ``order``, from ``start`` + 1 without gaps. The rows of a range follow each other in a partition."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = cut(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()))
+    sizes = ranges.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = sizes.select(F.col("__part").alias("__of"), before.alias("__base"))
+    place = F.col("__base") + F.row_number().over(Window.partitionBy("__part").orderBy(*order)) + start
+    return ranges.join(F.broadcast(bases), F.col("__part") == F.col("__of")).select(*rows.columns, place.cast("long").alias(name))

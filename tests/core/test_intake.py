@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import labels, urls
-from quillon.operators import imports, mutations, rate_limit
+from quillon.operators import commit_log, imports, mutations, rate_limit
 from quillon.operators.latest import latest
 from quillon.operators.ordered import with_previous
 from quillon.operators.rate_limit import Limiter, limited
@@ -102,7 +102,7 @@ def test_import_from_file_to_table(spark, tmp_path):
     table = str(tmp_path / "table")
     r = imports.import_batch(records, errors, store, table, owner_id=4, job_id=8).first()
     assert (r.inserted, r.duplicates, r.error_rows, r.status, r.progress_current, r.progress_total) == (2, 2, 2, "COMPLETED", 4, 4)
-    back = spark.read.parquet(table)
+    back = commit_log.read(spark, table, BUSINESS)
     assert back.schema.names == BUSINESS.names
     assert sorted((x.name, x.owner_id, x.source_job_id, x.source, x.created_at == x.updated_at) for x in back.collect()) == [("A", 4, 8, "csv_import", True), ("b", 4, 8, "csv_import", True)]
 
