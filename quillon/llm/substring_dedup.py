@@ -79,6 +79,13 @@ def _changes(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _in(values: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Whether each value is in a sorted array."""
+    if not len(of):
+        return np.zeros(len(values), bool)
+    return of[np.minimum(np.searchsorted(of, values), len(of) - 1)] == values
+
+
 class _Words:
     """The words of some texts, with what windows over them need."""
 
@@ -193,7 +200,7 @@ def _extended(window: int, block: int, bits: int):
             for _, _, t in _texts(column, 2):
                 start = t.starts(block)
                 own = w.runs(t.hashes[0], block)[start] >> np.uint64(32 - bits)
-                start = start[np.isin(own, anchors, kind="sort")]
+                start = start[_in(own, anchors)]
                 if len(start):
                     near = t.covered(start, window - block, window - block + 1)
                     passage = t.starts(window)
@@ -272,7 +279,7 @@ def _cleaned(window: int):
                 if len(of):
                     start = t.starts(window)
                     one = w.runs(t.hashes[0], window)[start]
-                    start = start[np.isin(one, of, kind="sort")]
+                    start = start[_in(one, of)]
                     start = start[_among(*(w.runs(h, window)[start] for h in t.hashes), of, with_)]
                     gone = t.covered(start, 0, window)
                 texts += _kept(binary.slice(low, high - low), t, gone)
