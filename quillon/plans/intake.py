@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import urls
-from quillon.operators import imports, mutations
+from quillon.operators import commit_log, imports, mutations
 from quillon.operators.cuts import shared_path
 from quillon.operators.latest import latest
 from quillon.operators.rate_limit import limited
 from quillon.plans.oracle import sql
 from quillon.plans.registry import query
-from quillon.schemas import ACTIVITY_TYPES, BUSINESS_SOURCES, DEMO_STATUSES, JOB_STATUSES, JOB_TYPES, PROPOSAL_STATUSES, SCAN_STATUSES, STAGES, USAGE_SERVICES
+from quillon.schemas import ACTIVITY_TYPES, BUSINESS, BUSINESS_SOURCES, DEMO_STATUSES, JOB_STATUSES, JOB_TYPES, PROPOSAL_STATUSES, SCAN_STATUSES, STAGES, USAGE_SERVICES
 from quillon.sources import csv_import, pages
 from quillon.sources import tables as t
 
@@ -120,22 +120,29 @@ def import_dedupe(spark, d):
     return imports.deduplicate(_records(spark, d)[0], _existing(spark, d)).select("row", "name", "address", "gbp_place_id")
 
 
+def _written_csv(spark: SparkSession, raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Records and errors of files that are written here; limits are those of one upload, and this is the bulk of a table."""
+    folder = shared_path(spark, "import-csv")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = raw.repartitionByRange(parts, csv_import.ORDINAL).sortWithinPartitions(csv_import.ORDINAL).drop(csv_import.ORDINAL)
+    rows.write.csv(folder, header=True, quote='"', escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return csv_import.validated(csv_import.resolved(csv_import.read_csv(spark, folder, most_bytes=None)))
+
+
 def _import_run(spark: SparkSession, d: str) -> tuple[DataFrame, str]:
-    """From a file that is written here to the rows of a new table."""
-    file, table = shared_path(spark, "import-csv"), shared_path(spark, "businesses")
-    raw = raw_rows(spark, d).orderBy(csv_import.ORDINAL).drop(csv_import.ORDINAL).coalesce(1)
-    raw.write.csv(file, header=True, quote='"', escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    # Limits are those of one upload; this is the bulk of a table.
-    records, errors = csv_import.validated(csv_import.resolved(csv_import.read_csv(spark, file, most_bytes=None)))
+    """From files to the rows of a new table."""
+    table = shared_path(spark, "businesses")
+    records, errors = _written_csv(spark, raw_rows(spark, d))
     return imports.import_batch(records, errors, _existing(spark, d), table, owner_id=1, job_id=77), table
 
 
-@query(_greedy_sql("SELECT row AS id, 1::BIGINT AS owner_id, 77::BIGINT AS source_job_id, 'csv_import' AS source, name, city, website_url, rating, review_count, TRUE AS stamped FROM greedy JOIN steps USING (n) WHERE kept"))
+@query(_greedy_sql("""SELECT row_number() OVER (ORDER BY row) AS id, 1::BIGINT AS owner_id, 77::BIGINT AS source_job_id, 'csv_import' AS source, name, city, website_url, rating, review_count, TRUE AS stamped
+  FROM greedy JOIN steps USING (n) WHERE kept"""))
 def import_written(spark, d):
-    """What an import has written, read back: file, aliases, validation, greedy rule, stamps."""
+    """What an import has written, read back: files, aliases, validation, greedy rule, ids, stamps."""
     _, table = _import_run(spark, d)
     stamped = (F.col("created_at").isNotNull() & (F.col("created_at") == F.col("updated_at"))).alias("stamped")
-    return spark.read.parquet(table).select("id", "owner_id", "source_job_id", "source", "name", "city", "website_url", "rating", "review_count", stamped)
+    return commit_log.read(spark, table, BUSINESS).select("id", "owner_id", "source_job_id", "source", "name", "city", "website_url", "rating", "review_count", stamped)
 
 
 @query(_greedy_sql("""SELECT (SELECT count(*) FROM steps WHERE kept) AS inserted, (SELECT count(*) FROM steps WHERE n > 0 AND NOT kept) AS duplicates, (SELECT count(*) FROM judged WHERE len(problems) > 0) AS error_rows,
@@ -145,6 +152,58 @@ def import_summary(spark, d):
     return _import_run(spark, d)[0]
 
 
+_QUOTED = """
+  SELECT c_custkey + 2 AS row, 'Negocio ' || c_custkey || chr(10) || 'con "comillas", y comas' AS name, CASE WHEN c_custkey % 3 = 0 THEN 'calle; ' || c_custkey END AS address,
+    CASE WHEN c_custkey % 2 = 0 THEN 'a' || chr(10) || chr(10) || '"b"' ELSE 'llano' END AS city FROM customer"""
+
+
+@query(sql("SELECT row, name, address, city FROM quoted", quoted=_QUOTED))
+def import_quoted(spark, d):
+    """Files whose quoted fields hold line ends, quotes and separators, each read by several tasks."""
+    i = F.col("c_custkey")
+    n = i.cast("string")
+    raw = t.base(spark, d, "customer").select(
+        (i + 1).alias(csv_import.ORDINAL), F.concat(F.lit("Negocio "), n, F.lit('\ncon "comillas", y comas')).alias("nombre"), F.when(i % 3 == 0, F.concat(F.lit("calle; "), n)).alias("dirección"),
+        F.when(i % 2 == 0, 'a\n\n"b"').otherwise("llano").alias("ciudad"),
+    )
+    return _written_csv(spark, raw)[0].select("row", "name", "address", "city")
+
+
+#: Of the records with even rows and then all: in that order, with the place ids and names kept so far.
+_TWICE = _GREEDY.replace("ORDER BY row)", "ORDER BY row % 2, row)")
+
+
+@query(_greedy_sql("""SELECT row_number() OVER (ORDER BY n) AS id, CASE WHEN row % 2 = 0 THEN 1 ELSE 2 END::BIGINT AS source_job_id, name, address, gbp_place_id
+  FROM greedy JOIN steps USING (n) WHERE kept""").replace(_GREEDY, _TWICE))
+def import_twice(spark, d):
+    """Half of the records, then all of them, and then the first import again, which adds nothing."""
+    table = shared_path(spark, "businesses")
+    records, errors = _records(spark, d)
+    half = records.where("row % 2 = 0")
+    for job, rows in ((1, half), (2, records), (1, half)):
+        imports.import_batch(rows, errors, _existing(spark, d), table, owner_id=1, job_id=job)
+    return commit_log.read(spark, table, BUSINESS).select("id", "source_job_id", "name", "address", "gbp_place_id")
+
+
+_CHAINS = """
+  SELECT o_orderkey AS row, 'N' || (o_orderkey // 60) || '-' || (o_orderkey % 60 // 2) AS name, 'p' || (o_orderkey // 60) || '-' || ((o_orderkey % 60 + 1) // 2) AS gbp_place_id FROM orders"""
+#: Along a chain a record goes if the one before it is there and stays; so every second stays, from where the chain begins or breaks.
+_CHAINED = """
+  SELECT row, name, gbp_place_id FROM (SELECT *, row - min(row) OVER (PARTITION BY row // 60, row - place) AS after FROM (SELECT *, row_number() OVER (PARTITION BY row // 60 ORDER BY row) AS place FROM chains))
+  WHERE after % 2 = 0"""
+
+
+@query(sql(_CHAINED, chains=_CHAINS))
+def import_chains(spark, d):
+    """Chains of records, each like the next by name or by place id in turn: components folded beside each other."""
+    i = F.col("o_orderkey")
+    part = lambda c: F.concat_ws("-", F.expr("o_orderkey div 60").cast("string"), c.cast("string"))
+    rows = t.base(spark, d, "orders").select(
+        i.alias("row"), F.concat(F.lit("N"), part(F.expr("o_orderkey % 60 div 2"))).alias("name"), F.lit(None).cast("string").alias("address"), F.concat(F.lit("p"), part(F.expr("(o_orderkey % 60 + 1) div 2"))).alias("gbp_place_id")
+    )
+    return imports.deduplicate(rows, rows.limit(0)).select("row", "name", "gbp_place_id")
+
+
 # --- pages ---------------------------------------------------------------------------------------
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from quillon.functions.urls import is_email, is_url
 from quillon.operators.cuts import cut
+from quillon.sources import records
 
 # Accepted header names by field, in order of preference.
 ALIASES = {
@@ -57,7 +58,12 @@ def delimiter(first_line: str) -> str:
 
 
 def read_csv(spark: SparkSession, path: str, most_bytes: int | None = MOST_BYTES) -> DataFrame:
-    """All columns as text under their own names, with the number of each line and the text of malformed ones."""
+    """All columns as text under their own names, with the number of each row and the text of malformed ones.
+
+    ``path`` is a file or a folder of files with the same header; their rows are numbered on in
+    the order of the files' names. Ranges of a file are read beside each other, also where
+    quoted fields have line ends. Of a field that spans lines the ends become a line feed.
+    """
     lines = spark.read.text(path)
     if most_bytes is not None:
         size = lines.agg(F.coalesce(F.sum(F.octet_length("value") + 1), F.lit(0)).alias("n")).first()["n"]
@@ -74,11 +80,14 @@ def read_csv(spark: SparkSession, path: str, most_bytes: int | None = MOST_BYTES
         n = n or f"_c{i}"
         taken[n] = taken.get(n, 0) + 1
         columns.append(n if taken[n] == 1 else f"{n}_{taken[n] - 1}")
-    schema = T.StructType([*(T.StructField(c, T.StringType()) for c in columns), T.StructField(CORRUPT, T.StringType())])
-    rows = spark.read.csv(path, schema=schema, header=True, sep=sep, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, enforceSchema=True, multiLine=True, quote='"', escape='"')
-    # One file in one pass keeps its order; a number within the partition follows it.
-    # Malformed lines can't be asked for alone in an open file, so the parsed rows are written once.
-    return cut(rows.withColumn(ORDINAL, F.monotonically_increasing_id() + 1))
+    own = records.records(spark, path, sep)
+    heads = own.where("n = 0").select(F.regexp_replace("value", "^\ufeff", "").alias("value")).distinct().limit(2).collect()
+    if len(heads) > 1:
+        raise ValueError("the files have different headers")
+    kinds = ", ".join(f"`{c.replace('`', '``')}` string" for c in [*columns, CORRUPT])
+    fields = F.from_csv("value", kinds, {"sep": sep, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "quote": '"', "escape": '"'})
+    # Rows are asked for several times, as records, as errors and for counts.
+    return cut(own.where("n > 0").select(F.col("n").alias(ORDINAL), fields.alias("f")).select(ORDINAL, "f.*"))
 
 
 def resolved(raw: DataFrame) -> DataFrame:
