@@ -43,8 +43,8 @@ from pyspark.sql import types as T
 
 from quillon.llm import byte_words as w
 
-#: Bytes of text in a chunk, and hashes that a task holds until they are sent.
-CHUNK, HELD = 16 << 20, 2_000_000
+#: Bytes of text in a chunk; those whose hashes make a range; and hashes that a task holds until they are sent.
+CHUNK, RANGE, HELD = 4 << 20, 16 << 20, 2_000_000
 #: The most partitions that chunks or ranges are dealt to; beyond, a partition has several, one after the other.
 MOST_PARTITIONS = 20_000
 
@@ -310,8 +310,10 @@ def drop_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = docs.agg(F.sum(F.octet_length(text_col)).alias("n")).first().n or 0
     chunks = max(parts, -(-size // CHUNK))
-    bits = (chunks - 1).bit_length()
-    dealt_to = min(chunks, MOST_PARTITIONS)
+    # Ranges are larger than chunks, and a partition has several chunks, so that partitions are about even.
+    ranges = max(parts, -(-size // RANGE))
+    bits = (ranges - 1).bit_length()
+    dealt_to = min(ranges, MOST_PARTITIONS)
 
     own = [c for c in docs.columns if c not in ("n_words", "n_removed", "repeats")]
     rows = docs.select(F.struct(*[c for c in own if c != text_col], F.lit(None).cast("boolean").alias("__none")).alias("row"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))

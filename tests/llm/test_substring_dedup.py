@@ -56,6 +56,7 @@ def corpus(rng, window, n):
 @pytest.mark.parametrize("window, chunk, held, block", [(35, 16 << 20, 2_000_000, 1 << 20), (5, 900, 100, 64), (4, 3000, 50, 200), (2, 1 << 20, 2_000_000, 1 << 20)])
 def test_against_brute_force(spark, monkeypatch, window, chunk, held, block):
     monkeypatch.setattr(s, "CHUNK", chunk)
+    monkeypatch.setattr(s, "RANGE", 2 * chunk)
     monkeypatch.setattr(s, "HELD", held)
     monkeypatch.setattr(s, "MOST_PARTITIONS", 3 if chunk == 900 else 20_000)
     monkeypatch.setattr(s.w, "BLOCK", block)
