@@ -1,65 +1,40 @@
-"""Configuration from a mapping of texts, and the source of data that it chooses."""
+"""Where a session's relations come from, as its settings say.
 
-from __future__ import annotations
-
-from collections.abc import Mapping
-from dataclasses import dataclass, fields
-from urllib.parse import urlsplit
+``spark.quillon.data`` is the folder of the tables, ``spark.quillon.owner`` whose rows they
+are, and ``spark.quillon.examples`` a folder that is read as long as nobody is named.
+"""
 
-from pyspark.sql import SparkSession
-
-#: The kinds of source.
-PROVIDERS = ("mock", "store")
-ADDRESSES = ("store_url", "webhook_url")
+from __future__ import annotations
 
+from typing import NamedTuple
 
-@dataclass(frozen=True)
-class Config:
-    """Every entry is optional; what is missing turns its integration off."""
+from pyspark.sql import DataFrame, SparkSession
 
-    store_url: str | None = None
-    store_key: str | None = None
-    store_key_before: str | None = None
-    service_key: str | None = None
-    places_key: str | None = None
-    page_speed_key: str | None = None
-    model_key: str | None = None
-    site_token: str | None = None
-    site_id: str | None = None
-    webhook_url: str | None = None
-    provider: str | None = None
+from quillon.sources import tables
 
-    @classmethod
-    def read(cls, given: Mapping[str, str | None], prefix: str = "") -> Config:
-        """Blank counts as unset; other entries are ignored; an invalid address or provider is an error."""
-        own = {f.name: given.get(prefix + f.name) or None for f in fields(cls)}
-        bad = [n for n in ADDRESSES if own[n] and not (urlsplit(own[n]).scheme and urlsplit(own[n]).netloc)]
-        if own["provider"] is not None and own["provider"] not in PROVIDERS:
-            bad.append("provider")
-        if bad:
-            raise ValueError(f"invalid configuration: {', '.join(bad)}")
-        return cls(**own)
+PREFIX = "spark.quillon."
 
-    @classmethod
-    def of(cls, spark: SparkSession, prefix: str = "spark.quillon.") -> Config:
-        return cls.read(dict(spark.sparkContext.getConf().getAll()), prefix)
 
-    @property
-    def has_store(self) -> bool:
-        return bool(self.store_url and (self.store_key or self.store_key_before))
+class Source(NamedTuple):
+    """A folder, and the owner whose rows are seen; without one all are."""
 
-    @property
-    def has_admin(self) -> bool:
-        return self.has_store and bool(self.service_key)
+    folder: str
+    owner: int | None
 
-    @property
-    def has_site(self) -> bool:
-        return bool(self.site_token and self.site_id)
+    def relation(self, spark: SparkSession, name: str) -> DataFrame:
+        """A relation of the data model by its name."""
+        if name not in tables.RELATIONS:
+            raise ValueError(f"no relation is called {name}")
+        return getattr(tables, name)(spark, self.folder, self.owner)
 
-    @property
-    def chosen(self) -> str:
-        return self.provider or ("store" if self.has_store else "mock")
 
-    def folder(self, owner: str | None, store: str, mock: str) -> str:
-        """Where tables are read from: the store if there is one and somebody is signed in, else the examples."""
-        return store if self.has_store and owner else mock
+def source(spark: SparkSession) -> Source:
+    """The source that the session's settings choose. A blank setting is none; an owner that is no number, and settings that name no folder to read, are refused."""
+    given = {n: (spark.conf.get(PREFIX + n, None) or "").strip() for n in ("data", "owner", "examples")}
+    if given["owner"] and not given["owner"].isdecimal():
+        raise ValueError(f"{PREFIX}owner is no number: {given['owner']}")
+    if given["data"] and given["owner"]:
+        return Source(given["data"], int(given["owner"]))
+    if not given["examples"]:
+        raise ValueError(f"set {PREFIX}data and {PREFIX}owner, or {PREFIX}examples")
+    return Source(given["examples"], None)

@@ -17,7 +17,6 @@ STAGE_LABELS = [
 ]
 ACTIVITY_TYPES = ["stage_change", "note", "call", "email", "meeting", "whatsapp"]
 USAGE_SERVICES = ["anthropic", "google_places", "google_pagespeed", "webflow"]
-SECTORS = ["Restaurantes", "Hoteles", "Clínicas dentales", "Peluquerías", "Talleres"]
 HIGH_VALUE_SECTORS = ["Hoteles", "Clínicas dentales", "Restaurantes"]
 
 # Default weights, by name of the sub-score and in the order in which products are added up.
@@ -26,12 +25,6 @@ OPPORTUNITY_WEIGHTS = {
 }
 LEAD_WEIGHTS = {"opportunity": 0.35, "buying_intent": 0.35, "business_value": 0.15, "competitive_gap": 0.15}
 
-# Price list in EUR of the default settings.
-PRICING = {
-    "Diseño y desarrollo web": 1800.0, "SEO": 450.0, "SEO local": 350.0, "Optimización Google Business Profile": 250.0,
-    "Optimización de conversión": 400.0, "Automatización de marketing": 500.0,
-}
-
 #: What an import yields.
 RECORD = T.StructType([
     T.StructField("name", T.StringType(), False),

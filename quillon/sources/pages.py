@@ -222,3 +222,14 @@ def pagespeed(answer: Column) -> Column:
         F.coalesce(F.round(score * 100), F.lit(0.0)).cast("int").alias("performance_score"), audit("largest-contentful-paint").alias("largest_contentful_paint_ms"),
         audit("total-blocking-time").alias("total_blocking_time_ms"), audit("cumulative-layout-shift").alias("cumulative_layout_shift"),
     )
+
+
+def with_answers(pages: DataFrame, answers: DataFrame) -> DataFrame:
+    """Pages with what stored answers of the page speed service say: ``answers`` has page_id and answer, null where the call failed.
+
+    A page without a row was not asked about. Of several answers to a page the greatest counts.
+    """
+    one = answers.where("page_id is not null").groupBy(F.col("page_id").alias("__page")).agg(F.max("answer").alias("__answer"))
+    rows = pages.join(one, F.col("page_id") == F.col("__page"), "left")
+    score = F.when(F.col("__answer").isNotNull(), pagespeed(F.col("__answer"))["performance_score"])
+    return rows.select(*pages.columns, score.alias("lighthouse_performance_score"), (F.col("__page").isNotNull() & F.col("__answer").isNull()).alias("page_speed_failed"))

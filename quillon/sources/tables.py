@@ -200,14 +200,17 @@ def competitors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @owned("owner_id")
 def settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of one of the three owners; the others have the defaults."""
-    own = spark.createDataFrame([(1, {k: v * 2.0 for k, v in TEST_PRICING.items()})], "owner_id long, pricing map<string,double>")
-    rows = default_rows(own).drop("agency_name", "pricing", "scoring_weights").join(own, "owner_id")
+    rows = default_rows(spark.range(1, 2).select(F.col("id").alias("owner_id"))).drop("agency_name", "pricing", "scoring_weights")
+    pricing = F.create_map(*[F.lit(x) for k, v in TEST_PRICING.items() for x in (k, v * 2.0)])
     weights = F.struct(
         F.struct(*[F.lit(v).alias(k) for k, v in TEST_WEIGHTS["opportunity"].items()]).alias("opportunity"), F.struct(*[F.lit(v).alias(k) for k, v in TEST_WEIGHTS["lead_score"].items()]).alias("lead_score")
     )
-    return rows.select("*", F.lit("First").alias("agency_name"), weights.cast(SETTINGS["scoring_weights"].dataType).alias("scoring_weights")).select(*SETTINGS.names)
+    return rows.select("*", F.lit("First").alias("agency_name"), pricing.alias("pricing"), weights.cast(SETTINGS["scoring_weights"].dataType).alias("scoring_weights")).select(*SETTINGS.names)
 
 
+#: The relations that have an owner.
+RELATIONS = frozenset(("businesses", "websites", "website_scans", "seo_audits", "local_audits", "competitors", "scores", "ai_reports", "proposals", "demos", "leads", "lead_activities", "api_usage", "jobs", "settings"))
+
 #: Weights of the test settings: binary fractions, so that sums are exact in any order.
 TEST_WEIGHTS = {
     "opportunity": {"website_quality": 0.25, "seo": 0.25, "local_seo": 0.125, "performance": 0.125, "mobile_ux": 0.125, "conversion": 0.125, "competitive_gap": 0.0},

@@ -3,25 +3,42 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.config import Config
+from quillon.config import Source, source
 from quillon.functions import labels, payloads
 from quillon.operators import settings
 from quillon.operators.cuts import shared_path
 from quillon.schemas import AUDIT_OUTPUT, LEAD_WEIGHTS, OPPORTUNITY_WEIGHTS, OUTREACH_OUTPUT
 
 
-def test_blank_is_unset_and_bad_values_are_refused():
-    c = Config.read({"store_url": "https://s.example", "store_key": "", "store_key_before": "k", "site_token": "t", "site_id": "", "other": "x", "provider": ""})
-    assert c.has_store and not c.has_admin and not c.has_site and c.store_key is None and c.chosen == "store"
-    assert Config.read({}).chosen == "mock" and Config.read({"store_url": "https://s.example", "store_key": "k", "provider": "mock"}).chosen == "mock"
-    for bad in ({"store_url": "nowhere"}, {"webhook_url": "x y"}, {"provider": "else"}):
-        with pytest.raises(ValueError, match=next(iter(bad))):
-            Config.read(bad)
-    assert (c.folder("me", "s", "m"), c.folder(None, "s", "m"), Config().folder("me", "s", "m")) == ("s", "m", "m")
-
-
-def test_config_of_a_session(spark):
-    assert Config.of(spark) == Config()
+def test_source_of_a_session(spark):
+    def chosen(**given):
+        for k in ("data", "owner", "examples"):
+            spark.conf.set(f"spark.quillon.{k}", given.get(k, ""))
+        try:
+            return source(spark)
+        finally:
+            for k in ("data", "owner", "examples"):
+                spark.conf.unset(f"spark.quillon.{k}")
+
+    assert chosen(data="/d", owner=" 7 ", examples="/e") == Source("/d", 7)
+    assert chosen(data="/d", owner=" ", examples="/e") == chosen(owner="7", examples="/e") == Source("/e", None)
+    for bad, why in (({"data": "/d"}, "examples"), ({}, "examples"), ({"data": "/d", "owner": "me", "examples": "/e"}, "no number")):
+        with pytest.raises(ValueError, match=why):
+            chosen(**bad)
+    with pytest.raises(ValueError, match="no relation"):
+        Source("/e", None).relation(spark, "base")
+
+
+def test_settings_of_very_many_owners(spark, monkeypatch):
+    """Broadcast or in parts, rows get the same; an owner without settings, and none at all, get null."""
+    rows = spark.range(500).select("id", F.when(F.col("id") % 10 != 0, 1).when(F.col("id") % 20 != 0, F.col("id")).alias("owner_id"))
+    own = settings.default_rows(spark.createDataFrame([(1,), (10,), (30,)], "owner_id long"))
+    got = settings.with_settings(rows, own, "agency_name")
+    want = {r.id: r.settings for r in got.collect()}
+    assert want[1].agency_name == "My Agency" and want[10].agency_name == "My Agency" and want[50] is None and want[20] is None
+    assert "hashpartitioning(owner_id" not in got._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(settings, "MOST_OWNERS", 2)
+    assert {r.id: r.settings for r in settings.with_settings(rows, own, "agency_name").collect()} == want
 
 
 def test_no_folder_is_refused():
