@@ -434,18 +434,25 @@ def job_status_counts(spark, d):
     return latest(t.jobs(spark, d), "job_id", "created_at").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH RECURSIVE c AS (SELECT user_id AS key, event_id AS id, epoch_us(ts) AS at_us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+LIMITED = """WITH RECURSIVE c AS (SELECT user_id AS key, event_id AS id, epoch_us(ts) AS at_us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
 s AS (
   SELECT key, id, at_us, n, 1 AS calls, at_us + 86400000000 AS ends, TRUE AS allowed FROM c WHERE n = 1
   UNION ALL
   SELECT c.key, c.id, c.at_us, c.n, CASE WHEN c.at_us >= s.ends THEN 1 WHEN s.calls >= 3 THEN s.calls ELSE s.calls + 1 END,
     CASE WHEN c.at_us >= s.ends THEN c.at_us + 86400000000 ELSE s.ends END, c.at_us >= s.ends OR s.calls < 3
   FROM s JOIN c ON c.key = s.key AND c.n = s.n + 1)
-SELECT key, id, at_us, allowed, CASE WHEN NOT allowed THEN (ends - at_us + 999999) // 1000000 END AS retry_after_s FROM s""")
+SELECT key, id, at_us, allowed, CASE WHEN NOT allowed THEN (ends - at_us + 999999) // 1000000 END AS retry_after_s FROM s"""
+
+
+def calls(spark: SparkSession, d: str) -> DataFrame:
+    """Each event as a call of its user."""
+    return t.base(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"))
+
+
+@query(LIMITED)
 def rate_limited(spark, d):
     """Three calls a day for each user; windows open at the first call, and a refused call learns how long to wait."""
-    calls = t.base(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"))
-    return limited(calls, 3, 86_400_000_000)
+    return limited(calls(spark, d), 3, 86_400_000_000)
 
 
 @query("SELECT event_id AS id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")

@@ -9,12 +9,13 @@ from quillon.config import PREFIX, source
 from quillon.functions import payloads
 from quillon.operators import commit_log, incremental, mutations
 from quillon.operators.cuts import shared_path
-from quillon.plans import crm
+from quillon.plans import crm, intake
 from quillon.plans.oracle import sql
 from quillon.plans.registry import query
 from quillon.schemas import OUTREACH_OUTPUT
 from quillon.sources import csv_import, pages
 from quillon.sources import tables as t
+from quillon.streaming import in_order
 
 # --- updates -------------------------------------------------------------------------------------
 
@@ -162,3 +163,43 @@ def business_activities(spark, d):
     leads = t.leads(spark, d).select(F.col("id").alias("lead"), "business_id", "stage").join(rows, F.col("business_id") == F.col("of"))
     done = t.lead_activities(spark, d).select(F.col("id").alias("activity_id"), "lead_id", "type", "created_at")
     return done.join(leads, F.col("lead_id") == F.col("lead")).select(F.col("of").alias("id"), "name", "lead_score", "stage", "activity_id", "type", "created_at")
+
+
+# --- streams -------------------------------------------------------------------------------------
+
+_FAR = 4_000 * 86_400_000_000
+
+
+def _streamed(spark: SparkSession, rows: DataFrame, key: str, build) -> DataFrame:
+    """What a stream makes of the rows when they arrive in no order, three files one after the other, and a last row lets all others pass."""
+    folder, out, state = (shared_path(spark, n) for n in ("arrivals", "stream", "stream-state"))
+    rows.repartition(3, F.xxhash64("id")).write.parquet(folder)
+    # No row is later than the newest by so much; the last one is.
+    last = rows.agg((F.max("at_us") + _FAR).alias("at_us"))
+    end = last.select(*[F.col("at_us") if c == "at_us" else F.lit(-1 if c in ("id", key) else None).cast(kind).alias(c) for c, kind in rows.dtypes])
+    end.write.mode("append").parquet(folder)
+    was = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", in_order.STORE)
+    try:
+        stream = build(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder))
+        done = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", state).trigger(availableNow=True).start(out)
+        done.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", was)
+    return spark.read.schema(stream.schema).parquet(out).where("id <> -1")
+
+
+@query(intake.LIMITED.replace("SELECT user_id AS key", "SELECT CAST(user_id AS VARCHAR) AS key"))
+def rate_limited_stream(spark, d):
+    """The limiter on a stream says what it says of the batch."""
+    rows = intake.calls(spark, d).withColumn("key", F.col("key").cast("string"))
+    return _streamed(spark, rows, "key", lambda s: in_order.limited(s, 3, 86_400_000_000, late="2000 days"))
+
+
+@query(sql("""SELECT lead_id, id, epoch_us(created_at) AS at_us, from_stage, to_stage FROM (
+  SELECT lead_id, id, created_at, description AS to_stage, lag(description) OVER (PARTITION BY lead_id ORDER BY created_at, id) AS from_stage FROM lead_activities)
+  WHERE from_stage <> to_stage""", "lead_activities"))
+def stage_changes_stream(spark, d):
+    """Changes of stage out of a stream."""
+    rows = t.lead_activities(spark, d).select("lead_id", "id", F.unix_micros(F.col("created_at").cast("timestamp")).alias("at_us"), F.col("description").alias("stage"))
+    return _streamed(spark, rows, "lead_id", lambda s: in_order.stage_changes(s, late="2000 days", idle_us=_FAR))
