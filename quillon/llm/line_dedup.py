@@ -1,11 +1,12 @@
 """Dropping lines that many documents share.
 
-Lines are exploded with a normalised key, keys are hashed to 128 bits, the
-distinct documents of each hash are counted, and documents are put together
-again without the lines over the threshold, in their order. Of the documents
-that hold such a line the one with the largest id keeps it. Only ids and hashes
+Lines are exploded with their positions and a normalised key, keys are hashed to 128
+bits, the distinct documents of each hash are counted, and documents are put together
+again from the positions that stay, in their order. Of the documents that hold a line over the
+threshold the one with the largest id keeps it. Only ids, positions and hashes
 of long lines are shuffled for the count; a hash that very many documents share
-is pre-aggregated before it is shuffled and its join is split when skewed.
+is pre-aggregated before it is shuffled and its join is split when skewed. All
+is built-in functions.
 
 Null and empty texts are one empty line and stay as they are. A null id counts
 as no document and loses nothing. Rows with the same id count as one document
@@ -15,10 +16,6 @@ and lose the same lines. Columns of the input pass through; ``n_lines`` and
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,56 +30,42 @@ def line_key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(WHITE)), UPPER, LOWER)
 
 
-def _key(line: str) -> str:
-    return line.strip(WHITE)
-
-
 def shared_lines(docs: DataFrame, min_chars: int, min_docs: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(document, hash) of every long line, and per hash over the threshold the document that keeps it."""
-    keys = F.filter(F.transform(F.split(F.col(text_col), "\n", -1), line_key), lambda k: F.char_length(k) >= min_chars)
-    hashes = F.array_distinct(F.transform(keys, lambda k: F.unhex(F.md5(k))))
-    held = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__doc"), F.explode(hashes).alias("__hash"))
-    held = materialize(held.dropDuplicates(), "lines")
-    over = held.groupBy("__hash").agg(F.count(F.lit(1)).alias("n"), F.max("__doc").alias("keeper")).where(F.col("n") >= min_docs)
+    """(document, text, position, hash) of every long line, and per hash over the threshold the document that keeps it. A text is told by its hash, since an id may have several."""
+    keys = F.transform(F.split(F.col(text_col), "\n", -1), lambda line, i: F.struct(i.alias("pos"), line_key(line).alias("key")))
+    long = F.transform(F.filter(keys, lambda k: F.char_length(k["key"]) >= min_chars), lambda k: F.struct(k["pos"].alias("__pos"), F.unhex(F.md5(k["key"])).alias("__hash")))
+    # Hashed before they are exploded: no line's row carries the text.
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__doc"), F.xxhash64(text_col).alias("__text"), long.alias("__lines"))
+    held = materialize(texts.select("__doc", "__text", F.inline("__lines")), "lines")
+    over = held.select("__doc", "__hash").dropDuplicates().groupBy("__hash").agg(F.count(F.lit(1)).alias("n"), F.max("__doc").alias("keeper")).where(F.col("n") >= min_docs)
     return held, materialize(over.select(F.col("__hash").alias("__over"), "keeper"), "shared-lines")
 
 
-def _without(min_chars: int):
-    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, drops in parts:
-            kept, n_lines, n_dropped = [], [], []
-            for text, drop in zip(texts, drops, strict=True):
-                lines = text.split("\n") if text else [""]
-                n_lines.append(len(lines))
-                if drop is None or text is None:
-                    kept.append(text)
-                    n_dropped.append(0)
-                    continue
-                gone = {bytes(h) for h in drop}
-                rest = [x for x in lines if len(k := _key(x)) < min_chars or hashlib.md5(k.encode().lower()).digest() not in gone]
-                kept.append("\n".join(rest))
-                n_dropped.append(len(lines) - len(rest))
-            yield pd.DataFrame({"text": kept, "n_lines": n_lines, "n_dropped": n_dropped})
-
-    return F.pandas_udf(run, "text string, n_lines long, n_dropped long")
-
-
 def drop_shared_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without their shared lines, with n_lines (before) and n_dropped."""
     held, over = shared_lines(docs, min_chars, min_docs, id_col, text_col)
     drops = (
         held.join(over, F.col("__hash") == F.col("__over"))
         .where(F.col("__doc") < F.col("keeper"))
-        .groupBy("__doc")
-        .agg(F.collect_list("__hash").alias("__drops"))
+        .groupBy("__doc", "__text")
+        .agg(F.collect_set("__pos").alias("__drops"))
     )
-    # Rows without id meet nothing; they are spread by their texts. The row's other columns travel as one, so that no name clashes.
+    # The row's other columns travel as one, so that no name clashes. Rows without id meet nothing; their texts spread them.
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    nobody = F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).otherwise(0)
-    rows = docs.select(F.struct(*[c for c in own if c != text_col]).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), nobody.alias("spread"))
-    out = rows.join(drops, (F.col("id") == F.col("__doc")) & (F.col("spread") == 0), "left").withColumn("new", _without(min_chars)(F.col("text"), F.col("__drops")))
-    keep = [F.col("new.text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in own]
-    return out.select(*keep, "new.n_lines", "new.n_dropped")
+    rows = docs.select(F.struct(*[c for c in own if c != text_col], F.lit(0).alias("__any")).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash"))
+    joined = rows.join(drops, (F.col("id") == F.col("__doc")) & (F.col("hash") == F.col("__text")), "left")
+
+    def put_together(lines: Column) -> Column:
+        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__drops"))
+        kept = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
+        return F.struct(F.when(F.col("__drops").isNull(), F.col("text")).otherwise(kept).alias("text"), F.size(lines).alias("n"))
+
+    # As an argument of a lambda the split is made once for a text.
+    whole = F.element_at(F.transform(F.array(F.split("text", "\n", -1)), put_together), 1)
+    out = joined.select("row", whole.alias("new"), F.size("__drops").alias("d")).select("row", "new.text", "new.n", "d")
+    keep = [F.col("text") if c == text_col else F.col("row")[c].alias(c) for c in own]
+    count = lambda c, least, name: F.greatest(F.col(c), F.lit(least)).cast("long").alias(name)
+    return out.select(*[k.alias(c) for k, c in zip(keep, own, strict=True)], count("n", 1, "n_lines"), count("d", 0, "n_dropped"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
