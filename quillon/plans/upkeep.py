@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.config import PREFIX, source
 from quillon.functions import payloads
-from quillon.operators import commit_log, incremental, mutations
+from quillon.operators import commit_log, incremental, mutations, search
 from quillon.operators.cuts import shared_path
 from quillon.plans import crm, intake
 from quillon.plans.oracle import sql
@@ -203,3 +205,16 @@ def stage_changes_stream(spark, d):
     """Changes of stage out of a stream."""
     rows = t.lead_activities(spark, d).select("lead_id", "id", F.unix_micros(F.col("created_at").cast("timestamp")).alias("at_us"), F.col("description").alias("stage"))
     return _streamed(spark, rows, "lead_id", lambda s: in_order.stage_changes(s, late="2000 days", idle_us=_FAR))
+
+
+# --- search --------------------------------------------------------------------------------------
+
+
+@query(sql("""SELECT 'r#0000001' AS term, id, name FROM businesses WHERE contains(lower(name), 'r#0000001') UNION ALL SELECT 'MER#%1_3', id, name FROM businesses WHERE name ILIKE '%MER#%1_3%'
+  UNION ALL SELECT '7', id, name FROM businesses WHERE contains(lower(name), '7') UNION ALL SELECT '#%9', id, name FROM businesses WHERE contains(lower(name), '#%9')""", "businesses"))
+def search_indexed(spark, d):
+    """Names that contain a term, with and without wildcards, by the trigram index; a term of one letter looks through all."""
+    path = shared_path(spark, "search")
+    search.build(spark, path, t.businesses(spark, d).select("id", "name"))
+    out = [search.search(spark, path, term, wild).select(F.lit(term).alias("term"), "id", "name") for term, wild in (("r#0000001", False), ("MER#%1_3", True), ("7", False), ("#%9", False))]
+    return functools.reduce(DataFrame.unionByName, out)
