@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.operators.cuts import cut
+from quillon.operators.skew import even_join
 from quillon.schemas import AGENCY_NAME, LEAD_WEIGHTS, OPPORTUNITY_WEIGHTS, SETTINGS
 
 
@@ -30,23 +31,21 @@ def ensured(settings: DataFrame, owners: DataFrame, ai_model: str | None = None)
     return settings.select(*SETTINGS.names).unionByName(default_rows(lacking, ai_model))
 
 
-#: So many owners' settings or fewer are sent to every task; more are joined in this many parts of each owner.
-MOST_OWNERS, PARTS = 20_000, 32
+#: So many owners' settings or fewer are sent to every task.
+MOST_OWNERS = 20_000
 
 
 def with_settings(rows: DataFrame, settings: DataFrame, *names: str) -> DataFrame:
     """Rows with some of their owner's settings, as struct ``settings``; settings have one row an owner.
 
     An owner may have any share of the rows, so rows are never dealt by owner alone:
-    the settings are counted and broadcast, or, beyond the bound, copied for each part
-    of an owner's rows.
+    the settings are counted and broadcast, or, beyond the bound, joined with the rows of
+    frequent owners in pieces.
     """
     own = cut(settings.select(F.col("owner_id").alias("__owner"), F.struct(*names).alias("settings")))
     if own.limit(MOST_OWNERS + 1).count() <= MOST_OWNERS:
         return rows.join(F.broadcast(own), F.col("owner_id") == F.col("__owner"), "left").drop("__owner")
-    own = own.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    part = F.pmod(F.xxhash64(*[c for c, kind in rows.dtypes if not kind.startswith("map")]), F.lit(PARTS))
-    return rows.join(own, (F.col("owner_id") == F.col("__owner")) & (part == F.col("__part")), "left").drop("__owner", "__part")
+    return even_join(rows, own, F.col("owner_id"), "__owner").drop("__owner")
 
 
 def weights(part: str) -> dict[str, Column]:

@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.operators.skew import even_join
 from quillon.schemas import PAGE_SIGNALS
 
 # Words that call to action, words of testimonials, and what a scan never measures.
@@ -26,9 +27,6 @@ TESTIMONIAL_WORDS = ["testimonio", "opinion", "opinión", "reseña", "review", "
 UNAVAILABLE = ["mobile_rendering_screenshot", "full_site_broken_link_crawl", "field_core_web_vitals"]
 NOT_CALLED, CALL_FAILED = "lighthouse_performance_score", "pagespeed_lighthouse_score"
 
-#: Tasks that the pages of one host are dealt over at least.
-SALTS = 16
-
 #: Elements that may stand before the body.
 HEAD = frozenset(("html", "head", "title", "meta", "link", "style", "script", "base", "noscript", "template"))
 
@@ -186,20 +184,21 @@ def scan(pages: DataFrame, probes: DataFrame | None = None) -> DataFrame:
     ``pages`` has page_id, url, html; optionally http_status, server_response_time_ms,
     lighthouse_performance_score, page_speed_failed and error. A page with an error,
     or without HTML, is a failed scan without signals. A host with very many pages
-    is dealt over several tasks, each with the host's probes.
+    is dealt over several tasks in proportion, each with the host's probes.
     """
     cols = set(pages.columns)
     optional = lambda c, kind: (F.col(c) if c in cols else F.lit(None)).cast(kind).alias(c)
     rows = pages.select("page_id", "url", "html", optional("http_status", "int"), optional("server_response_time_ms", "int"), optional("lighthouse_performance_score", "int"), optional("page_speed_failed", "boolean"), optional("error", "string"))
     failed = F.col("error").isNotNull() | F.col("html").isNull()
-    rows = rows.withColumn("status", F.when(failed, "failed").otherwise("completed")).withColumn("s", signals(F.col("html"), F.col("url")))
+    rows = rows.withColumn("status", F.when(failed, "failed").otherwise("completed"))
     rows = rows.withColumn("robots_txt_present", F.lit(False)).withColumn("sitemap_present", F.lit(False))
     if probes is not None:
         ok = probes.where(F.col("status").between(200, 399))
         found = ok.groupBy(F.col("host").alias("__host")).agg(F.bool_or(F.col("path") == "/robots.txt").alias("__robots"), F.bool_or(F.col("path") == "/sitemap.xml").alias("__sitemap"))
-        found = found.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = rows.join(found, (origin(F.col("url")) == F.col("__host")) & (F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)) == F.col("__salt")), "left")
+        # Pages are dealt before their signals are computed, so that the pages of one host are parsed beside each other.
+        rows = even_join(rows, found, origin(F.col("url")), "__host")
         rows = rows.withColumn("robots_txt_present", F.coalesce("__robots", F.lit(False))).withColumn("sitemap_present", F.coalesce("__sitemap", F.lit(False)))
+    rows = rows.withColumn("s", signals(F.col("html"), F.col("url")))
     done = lambda c: F.when(F.col("status") == "completed", c)
     unscored = (F.col("status") == "completed") & F.col("lighthouse_performance_score").isNull()
     tried = F.coalesce("page_speed_failed", F.lit(False))
