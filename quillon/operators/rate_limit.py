@@ -119,18 +119,25 @@ def limited(calls: DataFrame, limit: int, window_us: int, key: str = "key", at:
     timed = calls.where(F.col(at).isNotNull())
     nodes = with_successor(timed, window_us, key, at, tie)
     blocks = cut(nodes.groupBy("k", F.floor(F.col("i") / BLOCK).alias("block")).agg(F.sort_array(F.collect_list(F.struct("i", "f", "row"))).alias("nodes")))
-    entries = _entries(blocks).select(F.col("k").alias("of"), F.col("block").alias("b"), "entry")
     opener = lambda x: F.struct(x["i"].alias("i"), x["f"].alias("f"), x["row"][at].alias("at"))
-    begun = F.struct(F.col("entry").alias("next"), F.array().cast("array<struct<i:bigint,f:bigint,at:bigint>>").alias("openers"))
-    walk = F.aggregate("nodes", begun, lambda a, x: F.when(a["next"] == x["i"], F.struct(x["f"].alias("next"), F.concat(a["openers"], F.array(opener(x))).alias("openers"))).otherwise(a))
-    opened = blocks.join(entries, F.col("k").eqNullSafe(F.col("of")) & (F.col("block") == F.col("b")), "left").select("k", "block", "nodes", walk["openers"].alias("openers"))
-    # The window that is open where a block begins, which keys of one block don't need: a row a block.
-    several = opened.where((F.col("block") > 0) | (F.size("nodes") == BLOCK))
-    before = Window.partitionBy("k").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    last = several.select("k", "block", F.when(F.size("openers") > 0, F.element_at("openers", -1)).alias("last"))
-    carried = last.select(F.col("k").alias("of"), F.col("block").alias("b"), F.last("last", ignorenulls=True).over(before).alias("carried")).where("carried is not null")
-    opened = opened.join(carried, F.col("k").eqNullSafe(F.col("of")) & (F.col("block") == F.col("b")), "left")
-    windows = F.when(F.col("carried").isNull(), F.col("openers")).otherwise(F.concat(F.array("carried"), "openers"))
+
+    def openers(entry: Column) -> Column:
+        """The calls of a block at which windows open, from the first such on."""
+        begun = F.struct(entry.alias("next"), F.array().cast("array<struct<i:bigint,f:bigint,at:bigint>>").alias("openers"))
+        return F.aggregate("nodes", begun, lambda a, x: F.when(a["next"] == x["i"], F.struct(x["f"].alias("next"), F.concat(a["openers"], F.array(opener(x))).alias("openers"))).otherwise(a))["openers"]
+
+    several = (F.col("block") > 0) | (F.size("nodes") == BLOCK)
+    if blocks.where(several).select("k").isEmpty():  # every key begins in its only block
+        opened = blocks.select("nodes", "block", openers(F.lit(0).cast("long")).alias("windows"))
+    else:
+        entries = _entries(blocks).select(F.col("k").alias("of"), F.col("block").alias("b"), "entry")
+        opened = blocks.join(entries, F.col("k").eqNullSafe(F.col("of")) & (F.col("block") == F.col("b")), "left").select("k", "block", "nodes", openers(F.col("entry")).alias("openers"))
+        # The window that is open where a block begins, which keys of one block don't need: a row a block.
+        before = Window.partitionBy("k").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        last = opened.where(several).select("k", "block", F.when(F.size("openers") > 0, F.element_at("openers", -1)).alias("last"))
+        carried = last.select(F.col("k").alias("of"), F.col("block").alias("b"), F.last("last", ignorenulls=True).over(before).alias("carried")).where("carried is not null")
+        opened = opened.join(carried, F.col("k").eqNullSafe(F.col("of")) & (F.col("block") == F.col("b")), "left")
+        opened = opened.select("nodes", "block", F.when(F.col("carried").isNull(), F.col("openers")).otherwise(F.concat(F.array("carried"), "openers")).alias("windows"))
 
     def members(o: Column) -> Column:
         start = F.col("block") * BLOCK
@@ -138,7 +145,7 @@ def limited(calls: DataFrame, limit: int, window_us: int, key: str = "key", at:
         own = F.slice("nodes", (low - start + 1).cast("int"), (high - low).cast("int"))
         return F.transform(own, lambda x: F.struct(x["row"].alias("row"), (x["i"] - o["i"]).alias("n"), o["at"].alias("opened")))
 
-    judged = opened.select(F.inline(F.flatten(F.transform(windows, members))))
+    judged = opened.select(F.inline(F.flatten(F.transform("windows", members))))
     allowed = (F.col("n") == 0) | (F.col("n") < limit)
     wait = F.ceil((F.col("opened") + window_us - F.col("row")[at]) / 1_000_000).cast("long")
     out = judged.select(*[F.col("row")[c].alias(c) for c in columns], allowed.alias("allowed"), F.when(~allowed, wait).alias("retry_after_s"))
