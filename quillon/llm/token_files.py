@@ -32,6 +32,8 @@ from quillon.llm.tokens import encoder, vocabulary
 
 #: Tokens in a row group, about; bytes in a page, and documents at most.
 GROUP_TOKENS, PAGE_BYTES, PAGE_DOCS = 1 << 20, 64 << 10, 256
+#: Bytes of text in a file, about; there are at least as many files as the session has partitions.
+FILE_BYTES = 64 << 20
 
 FILE = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("n_tokens", pa.int32()), ("ids", pa.list_(pa.field("element", pa.uint16(), nullable=False)))])
 WIDE = FILE.set(3, pa.field("ids", pa.list_(pa.field("element", pa.uint32(), nullable=False))))
@@ -89,9 +91,10 @@ def _writer(path: str, out: str, end_id: int, encoding: str):
 def write_tokens(docs: DataFrame, path: str, out: str, end_id: int = 1, encoding: str = "dictionary", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode and write all documents to files in the shared folder ``out``; a row of the manifest for each row group."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
     order = ["doc_id", F.xxhash64("text")]
-    ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order, "text")
+    ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     kinds = "part int, path string, row_group int, n_docs long, n_tokens long"
     return materialize(ordered.mapInArrow(_writer(path, out, end_id, encoding), kinds), "token-manifest")
 
