@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.operators.cuts import cut
 from quillon.operators.skew import even_join
 from quillon.schemas import AGENCY_NAME, LEAD_WEIGHTS, OPPORTUNITY_WEIGHTS, SETTINGS
 
@@ -39,12 +38,13 @@ def with_settings(rows: DataFrame, settings: DataFrame, *names: str) -> DataFram
     """Rows with some of their owner's settings, as struct ``settings``; settings have one row an owner.
 
     An owner may have any share of the rows, so rows are never dealt by owner alone:
-    the settings are counted and broadcast, or, beyond the bound, joined with the rows of
+    up to a bound the settings are fetched and broadcast; beyond it they are joined with the rows of
     frequent owners in pieces.
     """
-    own = cut(settings.select(F.col("owner_id").alias("__owner"), F.struct(*names).alias("settings")))
-    if own.limit(MOST_OWNERS + 1).count() <= MOST_OWNERS:
-        return rows.join(F.broadcast(own), F.col("owner_id") == F.col("__owner"), "left").drop("__owner")
+    own = settings.select(F.col("owner_id").alias("__owner"), F.struct(*names).alias("settings"))
+    few = own.limit(MOST_OWNERS + 1).collect()
+    if len(few) <= MOST_OWNERS:
+        return rows.join(F.broadcast(rows.sparkSession.createDataFrame(few, own.schema)), F.col("owner_id") == F.col("__owner"), "left").drop("__owner")
     return even_join(rows, own, F.col("owner_id"), "__owner").drop("__owner")
 
 
