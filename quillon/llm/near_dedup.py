@@ -60,6 +60,8 @@ FIRST_TREES = 2
 COUNTERS, BAND = 1 << 20, 1.05
 #: Rows in a range of an order, at most on average: one task holds a range.
 RANGE_ROWS = 1 << 20
+#: Pairs that a task holds before it gives them away; what it finds again later is folded by the shuffle.
+HELD_PAIRS = 1 << 17
 #: Ids of candidates that are broadcast at most (8 bytes each).
 LISTED = 500_000
 
@@ -225,9 +227,10 @@ def _pairs(agree: int):
             if high - low > 1:
                 for a, b, first in rows.pairs(low, high, agree):
                     out[a, b] = out.get((a, b), False) or first
-        columns = list(zip(*out, strict=True)) or [(), ()]
-        n, none = len(out), [None] * len(out)
-        yield _edge_batch([columns[0], columns[1], list(out.values()), none, none, none, none], n)
+                    if len(out) >= HELD_PAIRS:
+                        yield _pair_batch(out)
+                        out.clear()
+        yield _pair_batch(out)
         # The rows on either side of a cut, for the regions that it may divide.
         ends = sorted({*range(min(edges[1], REGION)), *range(max(edges[-2], edges[-1] - REGION), edges[-1])})
         n, part = len(ends), TaskContext.get().partitionId()
@@ -236,6 +239,12 @@ def _pairs(agree: int):
     return run
 
 
+def _pair_batch(pairs: dict[tuple[int, int], bool]) -> pa.RecordBatch:
+    n, none = len(pairs), [None] * len(pairs)
+    columns = list(zip(*pairs, strict=True)) or [(), ()]
+    return _edge_batch([columns[0], columns[1], list(pairs.values()), none, none, none, none], n)
+
+
 def _edge_batch(columns: list, n: int) -> pa.RecordBatch:
     kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["a", "b", "early", "part", "tree", "key", "sketch"])
