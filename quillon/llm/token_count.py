@@ -7,16 +7,23 @@ lists, dealt into buckets by a hash of the segment and compressed, are all that
 is shuffled for the count: equal segments of all blocks meet in a bucket, are
 counted once, and their counts are joined to the frequencies of the blocks.
 
+Blocks close by the bytes of their distinct segments as well as by number, and
+there are more buckets where texts have more bytes, so that a task's memory
+follows neither the number of documents nor their length. A single segment, up
+to a whole text where a vocabulary can't be cut, is held as one string.
+
 Null and empty texts have 0 tokens and 0 bytes. Documents with the same id each
 keep a row. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +35,14 @@ from pyspark.sql import functions as F
 from quillon.llm.shared import materialize, values
 from quillon.llm.tokens import Encoder, encoder, vocabulary
 
-#: A block is closed beyond so many distinct segments or documents.
-BLOCK_SEGMENTS, BLOCK_DOCS = 600_000, 50_000
+#: A block is closed beyond so many distinct segments, characters of these, or documents.
+BLOCK_SEGMENTS, BLOCK_CHARS, BLOCK_DOCS = 600_000, 16 << 20, 50_000
+#: Bytes of texts for a bucket, at most.
+BUCKET_BYTES = 1 << 30
+#: Counts that a task remembers; beyond these it forgets the older half, and counts a forgotten segment anew if it comes again.
+KNOWN = 2_000_000
+#: Longer segments are remembered by a hash of 128 bits.
+LONGEST = 64
 
 BLOCKS = pa.schema([
     ("block_id", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())),
@@ -94,17 +107,37 @@ def counter(path: str) -> PieceCounter:
     return _COUNTERS[path]
 
 
+class Counts(dict):
+    """Token counts of the segments of a bucket, each counted when first asked for."""
+
+    def __init__(self, count):
+        super().__init__()
+        self.count, self.older = count, {}
+
+    def of(self, segment: str) -> int:
+        key = segment if len(segment) <= LONGEST else hashlib.blake2b(segment.encode(), digest_size=16).digest()
+        if (n := self.get(key)) is None:
+            n = self.older.get(key)
+            if n is None:
+                n = self.count(segment)
+            if len(self) >= KNOWN // 2:
+                self.older = dict(self)
+                self.clear()
+            self[key] = n
+        return n
+
+
 def _blocks(path: str, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        c, part, n = counter(path), TaskContext.get().partitionId(), 0
+        c, part, n, held = counter(path), TaskContext.get().partitionId(), 0, 0
         vocab: dict[str, int] = {}
         docs, sizes, n_bytes, at, often = [], [], [], [], []
 
         def close() -> pa.RecordBatch:
             """Segments take their places anew: by bucket, and in order within."""
-            nonlocal n
+            nonlocal n, held
             segments = list(vocab)
             of = np.fromiter((zlib.crc32(s.encode()) % buckets for s in segments), "i4", len(segments))
             table = pa.table({"bucket": of, "segment": pa.array(segments, pa.string())})
@@ -121,7 +154,7 @@ def _blocks(path: str, buckets: int):
                 times.append(x[o])
             flat = lambda xs: np.concatenate(xs) if xs else np.zeros(0, "i8")
             row = [[part << 32 | n], [docs[:]], [n_bytes[:]], [sizes[:]], [squeeze(flat(gaps))], [squeeze(flat(times))], [chunks]]
-            n += 1
+            n, held = n + 1, 0
             for x in (docs, sizes, n_bytes, at, often, vocab):
                 x.clear()
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, BLOCKS, strict=True)], schema=BLOCKS)
@@ -133,9 +166,11 @@ def _blocks(path: str, buckets: int):
                 n_bytes.append(len(text.encode()) if text else 0)
                 sizes.append(len(found))
                 if found:
+                    known = len(vocab)
                     at.append(np.fromiter((vocab.setdefault(s, len(vocab)) for s in found), "i4", len(found)))
                     often.append(np.fromiter(found.values(), "i4", len(found)))
-                if len(vocab) >= BLOCK_SEGMENTS or len(docs) >= BLOCK_DOCS:
+                    held += sum(map(len, islice(reversed(vocab), len(vocab) - known)))
+                if len(vocab) >= BLOCK_SEGMENTS or held >= BLOCK_CHARS or len(docs) >= BLOCK_DOCS:
                     yield close()
         if docs:
             yield close()
@@ -148,17 +183,14 @@ def _counted(path: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, bucket = counter(path), None
-        known: dict[str, int] = {}
+        known = Counts(c.count)
         for batch in batches:
             out = []
             for b, chunk in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
                 if b != bucket:
-                    bucket, known = b, {}
+                    bucket, known = b, Counts(c.count)
                 own = unpack_strings(chunk.as_py())
-                for s in own:
-                    if s not in known:
-                        known[s] = c.count(s)
-                out.append(squeeze(np.fromiter(map(known.__getitem__, own), "i8", len(own))))
+                out.append(squeeze(np.fromiter(map(known.of, own), "i8", len(own))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["block_id", "bucket", "pieces"])
 
     return run
@@ -192,7 +224,8 @@ def _summed(path: str):
 def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // (2 * BUCKET_BYTES)))
     kinds = "block_id long, doc_ids array<long>, n_bytes array<long>, sizes array<int>, at binary, often binary, chunks array<binary>"
     blocks = materialize(rows.mapInArrow(_blocks(path, 2 * parts), kinds), "token-blocks")
     spread = blocks.select("block_id", F.posexplode("chunks").alias("bucket", "chunk")).where("chunk is not null")

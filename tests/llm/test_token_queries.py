@@ -120,3 +120,45 @@ def test_many_rows_without_id_are_divided(spark):
     assert len(docs) == 4 and max(docs) < 2000
     got = sorted((r.start, r.n_tokens) for r in token_files.read_digests(manifest, out).collect())
     assert len(got) == 4000 and all(a + n == b for (a, n), (b, _) in zip(got, got[1:]))
+
+
+def test_blocks_close_by_bytes(spark, monkeypatch):
+    """Of texts that can't be cut a block holds a bounded number of characters, however many documents there are."""
+    import sentencepiece
+
+    path = vocabulary("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = [f"text number {i} " + "of many words " * 400 for i in range(1000)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(token_count, "BLOCK_CHARS", 1 << 19)
+    blocks = rows.mapInArrow(token_count._blocks(path, 4), "block_id long, doc_ids array<long>, n_bytes array<long>, sizes array<int>, at binary, often binary, chunks array<binary>")
+    held = [sum(r.n_bytes) for r in blocks.select("n_bytes").collect()]
+    assert sum(held) == sum(map(len, texts)) and len(held) > 5 and max(held) < (1 << 19) + 10_000
+    got = sorted((r.doc_id, r.n_tokens) for r in token_count.count_tokens(rows, path).collect())
+    assert got == [(i, len(sp.encode(t))) for i, t in enumerate(texts)]
+
+
+def test_a_long_text_without_blanks(spark):
+    """Two rows of 5 MB, one segment each, among short ones."""
+    text = "abcdefghij" * 500_000
+    rows = spark.range(4).selectExpr("id doc_id", "if(id < 2, repeat('abcdefghij', 500000), 'abcdefghij') text")
+    got = {r.doc_id: (r.n_bytes, r.n_tokens) for r in token_count.count_tokens(rows, vocabulary("byte_bpe_50k.json")).collect()}
+    assert got[0] == got[1] == (len(text), len(wanted("byte_bpe_50k.json", text))) and got[2] == got[3] == (10, len(wanted("byte_bpe_50k.json", "abcdefghij")))
+
+
+def test_more_buckets_than_partitions(spark, monkeypatch):
+    rows = [(i, f"Text {i % 37} about w{i} and w{i // 2}, " + "y" * (i % 90)) for i in range(300)]
+    monkeypatch.setattr(token_count, "BUCKET_BYTES", sum(len(t) for _, t in rows) // 16 + 1)
+    monkeypatch.setattr(token_count, "BLOCK_SEGMENTS", 50)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_tokens) for r in token_count.count_tokens(docs, vocabulary("byte_bpe_50k.json")).collect())
+    assert got == sorted((i, len(wanted("byte_bpe_50k.json", t))) for i, t in rows)
+
+
+def test_forgotten_counts_are_counted_anew(monkeypatch):
+    monkeypatch.setattr(token_count, "KNOWN", 4)
+    asked = []
+    counts = token_count.Counts(lambda s: asked.append(s) or len(s))
+    segments = ["a", "bb", "a", "x" * 100, "x" * 100, "ccc", "dddd", "a", "x" * 101]
+    assert [counts.of(s) for s in segments] == [len(s) for s in segments]
+    assert asked.count("bb") == 1 and asked.count("x" * 100) == 1 and len(counts) + len(counts.older) <= 4
