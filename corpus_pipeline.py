@@ -44,8 +44,8 @@ def _whole(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with a margin stay."""
-    dictionaries = lang_id.train(docs.where(~lang_id.held_out()))
-    if not dictionaries and not docs.isEmpty():
+    dictionaries = lang_id.learn(docs.where(~lang_id.held_out()))
+    if dictionaries.isEmpty() and not docs.isEmpty():
         raise ValueError("no document has a label, so no language can be learned")
     return _whole(lang_id.identify(_apart(docs), dictionaries).where("accepted"), docs.columns)
 

@@ -69,6 +69,27 @@ def test_every_label_gets_a_dictionary(spark, monkeypatch):
     assert got["l149"] == b" word " and all(len(got[x].split()) <= 2 for x in ("one-id", "xx"))
 
 
+def test_many_labels_go_in_blocks(spark):
+    """No block holds more than its bound, and the best of all blocks is what all dictionaries at once give."""
+    code = lambda i: "".join("abcdefghij"[int(c)] for c in f"{i:03}")
+    rows = [(i, " ".join(f"{code(i)}{x} {x}{code(i)}" for x in ("in", "or", "un", "ta")) * 2, f"l{i:03}") for i in range(600)]
+    learned = l.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    sizes = [len(b) for b in l.blocks(learned)]
+    assert sum(sizes) == 600 and max(sizes) <= l.BLOCK_LABELS and len(sizes) >= 10
+    whole = {k: v for b in l.blocks(learned) for k, v in b.items()}
+    texts = [rows[i][1] for i in range(0, 600, 50)] + [None, "", "?", "aa bb"]
+    docs = spark.createDataFrame([(i, t, "x", 0) for i, t in enumerate(texts)], "doc_id long, text string, row string, two int")
+    judged = {r.doc_id: r for r in l.identify(docs, learned).collect()}
+    assert len(judged) == len(texts) and judged[0].row == "x" and judged[0].two == 0
+    every = l.Compressors(whole)
+    for i, t in enumerate(texts):
+        if not t or t == "?":
+            assert (judged[i].lang_pred, judged[i].score, judged[i].accepted) == ("und", 0.0, False)
+            continue
+        (best, lang), (runner, _) = sorted(zip(every.sizes(t), every.langs))[:2]
+        assert judged[i].lang_pred == lang and judged[i].score == pytest.approx(1 - best / runner) and judged[i].accepted == (judged[i].score >= l.MARGIN)
+
+
 def by_hand(rows, texts):
     """All of it anew, without the module's functions: (language, lead) of each text."""
     import zstandard
