@@ -152,7 +152,8 @@ def test_more_buckets_than_partitions(spark, monkeypatch):
     monkeypatch.setattr(token_count, "BLOCK_SEGMENTS", 50)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((r.doc_id, r.n_tokens) for r in token_count.count_tokens(docs, vocabulary("byte_bpe_50k.json")).collect())
-    assert got == sorted((i, len(wanted("byte_bpe_50k.json", t))) for i, t in rows)
+    library = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    assert got == sorted((i, len(library.encode(t, add_special_tokens=False).ids)) for i, t in rows)
 
 
 def test_forgotten_counts_are_counted_anew(monkeypatch):
