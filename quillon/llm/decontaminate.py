@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import values
+from quillon.llm.shared import turn_to, values
 
 #: Edits allowed in hundredths of an item's length, and the least length of a piece (which bounds the edits of short items).
 EDITS, PIECE = 10, 8
@@ -193,6 +193,7 @@ _MATCHERS: dict[str, Matcher] = {}
 
 def matcher(key: str, items: list[tuple[int, str]], edits: int, piece: int) -> Matcher:
     """Of the block a worker process has last searched for, made once."""
+    turn_to("benchmark", _MATCHERS.clear)
     if key not in _MATCHERS:
         _MATCHERS.clear()
         _MATCHERS[key] = Matcher(items, edits, piece)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import materialize, values
+from quillon.llm.shared import materialize, turn_to, values
 
 #: Bound of the sample that dictionaries are cut from: documents for a language.
 SAMPLE_DOCS = 1_000
@@ -128,6 +128,7 @@ _CACHE: dict[int, Compressors] = {}
 
 def compressors(dictionaries: dict[str, bytes]) -> Compressors:
     """One for each worker process."""
+    turn_to("languages", _CACHE.clear)
     key = hash(tuple(sorted(dictionaries.items())))
     if key not in _CACHE:
         _CACHE.clear()

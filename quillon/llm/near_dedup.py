@@ -47,8 +47,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.components import components
-from quillon.llm.shared import materialize, scratch, values
+from quillon.llm.components import components, few_files
+from quillon.llm.shared import materialize, scratch, turn_to, values
 
 #: Trees, values in a signature, values that a region shares at least, and documents in a region of which all pairs are tried.
 TREES, DEPTH, SHARED, REGION = 24, 8, 4, 8
@@ -121,6 +121,7 @@ def signature(found: np.ndarray) -> tuple[bytes, bytes]:
 
 def _signed(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("shingles", _WORDS.clear)
         for batch in batches:
             sizes, marks, trees, sketches = [], [], [], []
             for text in values(batch.column(1)):
@@ -309,6 +310,7 @@ def mixed_members(classes: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("shingles", _WORDS.clear)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 own = [shingles(t, words).tobytes() for t in batch.column(0).slice(at, 256).to_pylist()]
@@ -463,7 +465,8 @@ def _moved(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels after links (a, b) between them."""
     tops = components(links).select(F.col("node").alias("was"), F.col("label").alias("top"))
     moved = labels.join(tops, F.col("label") == F.col("was"), "left").select("node", F.coalesce("top", "label").alias("label"))
-    return materialize(moved.unionAll(tops.select(F.col("was").alias("node"), F.col("top").alias("label"))).distinct(), "labels")
+    moved = moved.unionAll(tops.select(F.col("was").alias("node"), F.col("top").alias("label"))).distinct()
+    return materialize(few_files(moved, labels.count() + tops.count()), "labels")
 
 
 def _new_links(pairs: DataFrame, labels: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:

@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+#: Bytes of text after which Spark closes a batch for a Python worker, and the setting that says so. By its own default, 64 MB, a batch
+#: is a whole partition of common size, which the executor and the worker each hold, once on the way in and once on the way out.
+BATCH_BYTES, BATCH_SETTING = "4m", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _OPEN = threading.local()
 
+#: What this worker process has turned to last, and how what it keeps for that is let go.
+_TURNED: list[tuple[str, Callable[[], None]]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names for shared files. Without one there is no place that all executors are known to see, so this refuses."""
@@ -40,6 +48,30 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the batches of the session's Python tasks by ``BATCH_BYTES``, unless the session has its own bound. Results don't depend on it."""
+    if BATCH_SETTING not in spark.conf.getAll:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+
+
+def turn_to(work: str, forget: Callable[[], None]) -> None:
+    """Told by a task when it begins, before it makes what its worker process keeps for later tasks.
+
+    Spark uses a worker process for the tasks of all stages, one after the other.
+    What it keeps for other work than this goes, and the memory back to the system.
+    """
+    if _TURNED and _TURNED[0][0] == work:
+        return
+    if _TURNED:
+        _TURNED.pop()[1]()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+    _TURNED.append((work, forget))
+
+
 def values(column: pa.Array, step: int = 256) -> Iterator:
     """Of a column of a batch, so many at a time as Python objects; a batch of long texts is never held twice."""
     for at in range(0, len(column), step):

@@ -16,6 +16,8 @@ import re
 from array import array
 from collections.abc import Iterable
 
+from quillon.llm.shared import turn_to
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: The pre-token patterns of byte-level vocabularies and of the word vocabulary.
@@ -190,6 +192,7 @@ _ENCODERS: dict[str, Encoder] = {}
 
 def encoder(path: str) -> Encoder:
     """One encoder for each vocabulary and worker process."""
+    turn_to("tokens", _ENCODERS.clear)
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]

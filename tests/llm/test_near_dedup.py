@@ -216,3 +216,16 @@ def test_components(spark):
     want = {x: find(x) for a, b in links if a != b for x in (a, b)}
     assert {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long")).collect()} == want
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_few_links_are_written_in_few_files(spark):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        found = components(spark.createDataFrame([(i, i + 1) for i in range(200) if i % 10 != 9], "a long, b long"))
+        assert len(found.inputFiles()) == 1
+        assert {r.node: r.label for r in found.collect()} == {i: i // 10 * 10 for i in range(200)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

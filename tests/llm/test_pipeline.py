@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline as cp
-from quillon.llm import decontaminate
+from quillon.llm import decontaminate, shared
 from tests.llm.test_lang_id import by_hand
 from tests.llm.test_line_dedup import key
 from tests.llm.test_near_dedup import brute
@@ -135,3 +135,16 @@ def test_empty_table_in_every_stage(spark, stages, folder):
     for name, stage in stages.items():
         out = stage(spark, table(spark, []), folder)
         assert out.collect() == [] and (name == "packing" or out.columns == table(spark, []).columns)
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no test data")
+def test_stages_with_python_bound_their_batches(spark):
+    docs = spark.createDataFrame([(i, "some words of a short text", "en", "web") for i in range(1, 9)], "doc_id long, text string, lang string, source string")
+    before = spark.conf.getAll.get(shared.BATCH_SETTING)
+    try:
+        for name, stage in cp.STAGES:
+            spark.conf.unset(shared.BATCH_SETTING)
+            stage(spark, docs, DIR)
+            assert name == "lines" or spark.conf.get(shared.BATCH_SETTING) == shared.BATCH_BYTES, name
+    finally:
+        spark.conf.unset(shared.BATCH_SETTING) if before is None else spark.conf.set(shared.BATCH_SETTING, before)
